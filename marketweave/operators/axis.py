@@ -58,13 +58,15 @@ class Frames:
         return F.lead(c, n).over(self.w)
 
 
-def number_rows(df: DataFrame, axis: Axis, name: str = "__rn") -> DataFrame:
-    """0-based row number per series. Unbounded series are numbered per time bucket and shifted
-    by the counts of the earlier buckets, so no task sees a whole series."""
+def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", size: str | None = None) -> DataFrame:
+    """0-based row number per series, and the row count of the series when ``size`` is given.
+    Unbounded series are numbered per time bucket and shifted by the counts of the earlier
+    buckets, so no task sees a whole series."""
     keys = list(axis.keys)
     if axis.bounded:
-        w = Window.partitionBy(*keys).orderBy(*axis.order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+        part = Window.partitionBy(*keys)
+        out = df.withColumn(name, (F.row_number().over(part.orderBy(*axis.order)) - 1).cast("long"))
+        return out.withColumn(size, F.count(F.lit(1)).over(part)) if size else out
     bucketed = df.withColumn("__bucket", F.date_trunc(axis.bucket, F.col(axis.order[0])))
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,6 +74,7 @@ def number_rows(df: DataFrame, axis: Axis, name: str = "__rn") -> DataFrame:
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__bucket").alias("__b"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
+        *([F.sum("__n").over(Window.partitionBy(*keys)).alias(size)] if size else []),
     )
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__bucket").eqNullSafe(F.col("__b"))]
     joined = bucketed.join(offsets, on, "left")

@@ -82,8 +82,7 @@ def quantile_buckets(df: DataFrame, c: str, q: int = 3, name: str = "bucket") ->
 
 
 def _with_position(df: DataFrame, axis: Axis) -> DataFrame:
-    sizes = df.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("__size"))
-    return number_rows(df, axis, "__pos").join(sizes, list(axis.keys))
+    return number_rows(df, axis, "__pos", size="__size")
 
 
 def chronological_split(df: DataFrame, axis: Axis, test_share: float = 0.2) -> DataFrame:

@@ -56,18 +56,15 @@ def mentions_symbol(c: str, symbol: str) -> Column:
 
 
 def word_grams(text: Column, longest: int) -> Column:
-    """Distinct upper-case runs of 1..longest words."""
+    """Upper-case runs of 1..longest words, repeats included (they end in the distinct of the join)."""
     words = F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    def runs(ws: Column) -> Column:
-        out = ws
-        for n in range(2, longest + 1):
-            starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1)))
-            grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(ws, i, F.lit(n)), " "))
-            out = F.concat(out, F.coalesce(grams, F.array().cast("array<string>")))
-        return F.array_distinct(out)
-
-    return runs(words)
+    # zip_with evaluates its inputs once per row; slicing inside a lambda would do so per word
+    out = grams = words
+    for n in range(2, longest + 1):
+        tail = F.slice(words, n, F.greatest(F.size(words), F.lit(0)))
+        grams = F.filter(F.zip_with(grams, tail, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+        out = F.concat(out, grams)
+    return out
 
 
 def match_entities(docs: DataFrame, text: str, pk: Sequence[str], aliases: DataFrame) -> DataFrame:

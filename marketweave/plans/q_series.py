@@ -38,24 +38,24 @@ def simple_moving_averages(spark, sf):
 
 @query(
     "partial_moving_averages",
-    f"""{WITH}, x AS (SELECT *, {', '.join(f'avg(close) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS sma_{n}' for n in (20, 50, 200))} FROM bars)
-    SELECT key, day, {', '.join(f'round(sma_{n}, 5) AS sma_{n}, round((close / sma_{n} - 1) * 100, 5) AS price_vs_sma_{n}' for n in (20, 50, 200))} FROM x""",
+    f"""{WITH}, x AS (SELECT *, {', '.join(f'avg(volume) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS sma_{n}' for n in (20, 50, 200))} FROM bars)
+    SELECT key, day, {', '.join(f'round(sma_{n}, 7) AS sma_{n}, round((volume / sma_{n} - 1) * 100, 7) AS price_vs_sma_{n}' for n in (20, 50, 200))} FROM x""",
 )
 def partial_moving_averages(spark, sf):
-    out = s.moving_averages_partial(bars(spark, sf), BAR_AXIS)
-    return _pick(out, *[c for n in (20, 50, 200) for c in (f"sma_{n}", f"price_vs_sma_{n}")], digits=5)
+    out = s.moving_averages_partial(bars(spark, sf), BAR_AXIS, "volume")
+    return _pick(out, *[c for n in (20, 50, 200) for c in (f"sma_{n}", f"price_vs_sma_{n}")], digits=7)
 
 
 @query(
     "moving_average_spreads",
     f"""{WITH}, x AS (SELECT *, {FULL(20, 'avg', 'close')} AS a, {FULL(50, 'avg', 'close')} AS b, {FULL(200, 'avg', 'close')} AS c FROM bars)
-    SELECT key, day, round(a - b, 4) AS sma_20_vs_50, round(b - c, 4) AS sma_50_vs_200,
+    SELECT key, day, round(a - b, 4) AS sma_20_vs_50, round(b - c, 5) AS sma_50_vs_200,
            round(close / a, 6) AS price_vs_sma_20, round(close / b, 6) AS price_vs_sma_50, round(close / c, 6) AS price_vs_sma_200 FROM x""",
 )
 def moving_average_spreads(spark, sf):
     out = s.average_spreads(bars(spark, sf), BAR_AXIS)
     return out.select(
-        "key", "day", r("sma_20_vs_50", 4).alias("sma_20_vs_50"), r("sma_50_vs_200", 4).alias("sma_50_vs_200"),
+        "key", "day", r("sma_20_vs_50", 4).alias("sma_20_vs_50"), r("sma_50_vs_200", 5).alias("sma_50_vs_200"),
         *[r(f"price_vs_sma_{n}", 6).alias(f"price_vs_sma_{n}") for n in (20, 50, 200)],
     )
 

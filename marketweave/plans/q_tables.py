@@ -119,7 +119,7 @@ def bars_with_daily_news(spark, sf):
     f"""{WITH}, soc AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority AS p, o_totalprice AS t FROM orders),
     a AS (SELECT day, count(*) AS post_count, avg(t) AS t_avg, sum(t) AS t_sum FROM soc GROUP BY day),
     m AS (SELECT day, avg(close) AS index_close FROM bars GROUP BY day)
-    SELECT b.key, b.day, a.post_count, round(a.t_avg, 3) AS o_totalprice_avg, round(a.t_sum, 1) AS o_totalprice_sum, round(m.index_close, 7) AS index_close
+    SELECT b.key, b.day, a.post_count, round(a.t_avg, 6) AS o_totalprice_avg, round(a.t_sum, 4) AS o_totalprice_sum, round(m.index_close, 7) AS index_close
     FROM bars b LEFT JOIN a ON a.day = b.day LEFT JOIN m ON m.day = b.day""",
 )
 def bars_with_social_and_indicator(spark, sf):
@@ -128,7 +128,7 @@ def bars_with_social_and_indicator(spark, sf):
     index = b.groupBy("day").agg(F.avg("close").alias("index_close"))
     out = ig.attach_daily(ig.attach_daily(b, ig.daily_activity(social, ["day"], ["o_totalprice"]), ["day"]), index, ["day"])
     return out.select(
-        "key", "day", "post_count", r("o_totalprice_avg", 3).alias("o_totalprice_avg"), r("o_totalprice_sum", 1).alias("o_totalprice_sum"),
+        "key", "day", "post_count", r("o_totalprice_avg", 6).alias("o_totalprice_avg"), r("o_totalprice_sum", 4).alias("o_totalprice_sum"),
         r("index_close", 7).alias("index_close"),
     )
 

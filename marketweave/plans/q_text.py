@@ -21,9 +21,9 @@ def _cnt(pattern: str, src: str = "text") -> str:
     return f"len(regexp_extract_all({src}, '{pattern}'))"
 
 
-def _features(spark, sf, parts: dict, name: str = "documents", pk=("doc_id",)):
+def _features(spark, sf, parts: dict, name: str = "documents", pk=("doc_id",), digits: int = 6):
     real = ("ratio", "avg", "diversity", "mean", "std", "score", "balance", "intensity")
-    cols = [r(c, 6).alias(n) if any(k in n for k in real) else c.cast("long").alias(n) for n, c in parts.items()]
+    cols = [r(c, digits).alias(n) if any(k in n for k in real) else c.cast("long").alias(n) for n, c in parts.items()]
     return table(spark, sf, name).select(*pk, *cols)
 
 
@@ -57,11 +57,11 @@ def text_linguistic_features(spark, sf):
     rf"""WITH d AS (SELECT doc_id, {WS} AS ws, list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '[^{lx.SPACE_SIGNS}]')) AS ss FROM documents),
     e AS (SELECT doc_id, len(ws) > 0 AND len(ss) > 0 AS ok, len(ws) / nullif(len(ss), 0) AS ps, list_sum(list_transform(ws, lambda w: length(w))) / nullif(len(ws), 0) AS pw,
           len(list_filter(ws, lambda w: length(w) > 6)) / nullif(len(ws), 0) AS cr FROM d)
-    SELECT doc_id, round(CASE WHEN ok THEN 206.835 - 1.015 * ps - 84.6 * pw ELSE 0 END, 6) AS flesch_score, round(CASE WHEN ok THEN 5.89 * pw - 0.3 * ps - 15.8 ELSE 0 END, 6) AS coleman_score,
-      round(CASE WHEN ok THEN cr ELSE 0 END, 6) AS complex_word_ratio FROM e""",
+    SELECT doc_id, round(CASE WHEN ok THEN 206.835 - 1.015 * ps - 84.6 * pw ELSE 0 END, 8) AS flesch_score, round(CASE WHEN ok THEN 5.89 * pw - 0.3 * ps - 15.8 ELSE 0 END, 8) AS coleman_score,
+      round(CASE WHEN ok THEN cr ELSE 0 END, 8) AS complex_word_ratio FROM e""",
 )
 def text_readability_scores(spark, sf):
-    return _features(spark, sf, tx.readability(F.col("text")))
+    return _features(spark, sf, tx.readability(F.col("text")), digits=8)
 
 
 def _sql_in(words) -> str:
@@ -103,7 +103,8 @@ def text_term_weights(spark, sf):
 
 def _sql_unescape(c: str) -> str:
     for entity, char in lx.HTML_ENTITIES:
-        c = f"replace({c}, '{entity}', '{char}')"
+        quoted = char.replace("'", "''")
+        c = f"replace({c}, '{entity}', '{quoted}')"
     return c
 
 
@@ -205,14 +206,14 @@ _SQL_LEX = f"""lx AS (SELECT * FROM (VALUES {', '.join(str(x) for x in LEXICON)}
 
 @query(
     "text_polarity_scores",
-    rf"""WITH {_SQL_LEX} SELECT doc_id, word_count, positive_words, negative_words, round(polarity, 6) AS polarity, round(subjectivity, 6) AS subjectivity,
+    rf"""WITH {_SQL_LEX} SELECT doc_id, word_count, positive_words, negative_words, round(polarity, 9) AS polarity, round(subjectivity, 9) AS subjectivity,
       round(coalesce(positive_words / nullif(word_count, 0), 0), 6) AS positive_ratio, round(coalesce(negative_words / nullif(word_count, 0), 0), 6) AS negative_ratio,
       CAST(regexp_matches(text, '(?i)\b({'|'.join(lx.NEGATIONS)})\b') AS INT) AS has_negation, {_cnt('!')} AS exclamations, {_cnt(chr(92) + '?')} AS questions FROM s""",
 )
 def text_polarity_scores(spark, sf):
     out = to.lexicon_scores(table(spark, sf, "documents"), "doc_id", "text", _lexicon(spark))
     real = ("polarity", "subjectivity", "positive_ratio", "negative_ratio")
-    return out.select(*[r(c).alias(c) if c in real else F.col(c) for c in out.columns])
+    return out.select(*[r(c, 9 if c in real[:2] else 6).alias(c) if c in real else F.col(c) for c in out.columns])
 
 
 @query(

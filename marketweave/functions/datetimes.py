@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,26 @@ from pyspark.sql import functions as F
 from marketweave.functions import lexicons as lx
 
 
+# The signs each part of a format stands for.
+_PARTS = (("SSSSSS", r"\\d{6}"), ("yyyy", r"\\d{4}"), ("XX", r"(Z|[+-]\\d{4})"), ("'T'", "T"), ("MM|dd|HH|mm|ss", r"\\d{2}"))
+
+
+def shape_of(fmt: str) -> str:
+    """Regular expression of the texts a format can read."""
+    out = fmt.replace(".", r"\.")
+    for part, signs in _PARTS:
+        out = re.sub(part, signs, out)
+    return f"^{out}$"
+
+
+def try_format(c: Column, fmt: str) -> Column:
+    """Parse with one format. A failed parse costs an exception, so the shape is tested first."""
+    return F.when(c.rlike(shape_of(fmt)), F.try_to_timestamp(c, F.lit(fmt)))
+
+
 def parse_datetime(c: Column, formats: Sequence[str] = lx.DATETIME_FORMATS) -> Column:
     """First format that fits; null when none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    return F.coalesce(*[try_format(c, f) for f in formats])
 
 
 def from_epoch(c: Column) -> Column:

@@ -86,8 +86,13 @@ def to_boolean(c: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_number(c: Column) -> Column:
-    return F.trim(c.cast("string")).try_cast("double")
+    """Number or null. A failed cast costs an exception, so the shape is tested first."""
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def inverse_yeo_johnson(x: Column, lam: float) -> Column:

@@ -87,16 +87,20 @@ TYPES = ("integer", "float", "boolean", "datetime", "categorical", "text")
 def type_scores(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row per column: a score per type, the best type and its confidence. One aggregate."""
     cols = list(cols or df.columns)
+    parsed = {c: f"__s{i}" for i, c in enumerate(cols)}
+    parsed.update({c + "/x": f"__x{i}" for i, c in enumerate(cols)})
+    df = df.select(*[F.trim(F.col(c).cast("string")).alias(parsed[c]) for c in cols]).select(
+        "*", *[to_number(F.col(parsed[c])).alias(parsed[c + "/x"]) for c in cols]
+    )
 
     def metrics(c: str) -> list[Column]:
-        s = F.trim(F.col(c).cast("string"))
-        x = s.try_cast("double")
+        s, x = F.col(parsed[c]), F.col(parsed[c + "/x"])
         return [
             F.count(s).alias("n"),
             F.count(x).alias("numbers"),
             F.count_if(x != F.floor(x)).alias("fractions"),
             F.count_if(to_boolean(s).isNotNull()).alias("booleans"),
-            F.greatest(*[F.count(F.try_to_timestamp(s, F.lit(f))) for f in lx.INFERENCE_FORMATS]).alias("dates"),
+            F.greatest(*[F.count(dt.try_format(s, f)) for f in lx.INFERENCE_FORMATS]).alias("dates"),
             F.approx_count_distinct(s, 0.01).alias("distinct"),
             F.avg(F.length(s)).alias("avg_length"),
             F.bool_or(s.contains(" ") ).alias("spaces"),
@@ -106,13 +110,15 @@ def type_scores(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     m = pf._per_column(df, cols, metrics)
     n = F.col("n")
     num, dates, bools = (F.coalesce(sdiv(c, n), F.lit(0.0)) for c in ("numbers", "dates", "booleans"))
+    # a column with fractions must not tie as integer
+    whole = F.coalesce(sdiv(F.col("numbers") - F.col("fractions"), n), F.lit(0.0))
     ratio = F.coalesce(sdiv("distinct", n), F.lit(0.0))
     fractions = F.col("fractions") > 0
     plus = lambda e, b: F.least(e + b, F.lit(1.0))
     base_text = F.when(F.col("avg_length") > 10, 0.8).when(F.col("avg_length") > 5, 0.6).otherwise(0.3)
     scored = m.select(
         "column", "n", "distinct",
-        F.when((num > 0.9) & ~fractions, plus(num, 0.1)).otherwise(num).alias("integer"),
+        F.when((num > 0.9) & ~fractions, plus(num, 0.1)).otherwise(whole).alias("integer"),
         F.when((num > 0.8) & fractions, plus(num, 0.1)).otherwise(num).alias("float"),
         F.when((bools > 0.8) & (F.col("distinct") == 2), plus(bools, 0.2)).otherwise(bools).alias("boolean"),
         F.when(dates > 0.9, plus(dates, 0.1)).otherwise(dates).alias("datetime"),
@@ -133,7 +139,7 @@ def converted(c: str, kind: str) -> Column:
     col = F.col(c)
     s = F.trim(col.cast("string"))
     return {
-        "integer": lambda: s.try_cast("double").cast("long"),
+        "integer": lambda: to_number(s).cast("long"),
         "float": lambda: to_number(col),
         "boolean": lambda: to_boolean(col),
         "datetime": lambda: dt.parse_datetime(s, lx.INFERENCE_FORMATS),

@@ -67,9 +67,13 @@ def weighted_sentiment(news: Column, social: Column) -> Column:
 
 
 def volume_sentiment(df: DataFrame, axis, volume: str = "volume", sentiment: str = "combined_sentiment") -> DataFrame:
-    mean = df.groupBy(*axis.keys).agg((F.avg(volume) + 1).alias("__mean"))
-    out = df.withColumn("volume_sentiment", F.col(volume) * F.abs(sentiment)).join(mean, list(axis.keys), "left")
-    return out.withColumn("volume_sentiment_ratio", sdiv("volume_sentiment", "__mean")).drop("__mean")
+    """Volume times absolute sentiment, and that over (mean volume of the series + 1)."""
+    from marketweave.operators.skew import join_key_values
+
+    mean = df.groupBy(*axis.keys).agg((F.avg(volume) + 1).alias("__mean"), F.count(F.lit(1)).alias("__rows"))
+    out = df.withColumn("volume_sentiment", F.col(volume) * F.abs(sentiment))
+    both = out.join(mean, list(axis.keys)) if axis.bounded else join_key_values(out, mean, axis.keys, "__rows")
+    return both.withColumn("volume_sentiment_ratio", sdiv("volume_sentiment", "__mean")).drop("__mean", "__rows")
 
 
 def vote_balance(up: Column, down: Column) -> Column:

@@ -154,7 +154,7 @@ def _cells(cols: Sequence[str], side: float) -> list:
     return [F.floor(F.col(c) / side).cast("long").alias(f"c{i}") for i, c in enumerate(cols)]
 
 
-def dbscan_noise(df: DataFrame, cols: Sequence[str], pk: Sequence[str], eps: float = 0.5, min_points: int = 5, salts: int = 16) -> DataFrame:
+def dbscan_noise(df: DataFrame, cols: Sequence[str], pk: Sequence[str], eps: float = 0.5, min_points: int = 5, salts: int | None = None) -> DataFrame:
     """Rows that belong to no dense region (exact, for up to three columns).
 
     The plane is cut into cells whose diagonal is at most eps. All rows of a cell with
@@ -177,7 +177,9 @@ def dbscan_noise(df: DataFrame, cols: Sequence[str], pk: Sequence[str], eps: flo
         df.dropna(subset=cols).groupBy(*[F.col(c).cast("double").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("w")).withColumn("pid", F.xxhash64(*cols))
         .select("*", *_cells(cols, side))
     )
-    sizes = points.groupBy(*cell).agg(F.sum("w").alias("size"))
+    sizes = points.groupBy(*cell).agg(F.sum("w").alias("size"), F.count(F.lit(1)).alias("n"))
+    fullest = sizes.agg(F.max("n")).first()[0] or 1
+    salts = salts or min(1024, math.ceil(fullest / 1_000_000))
     thin_cells = sizes.filter(F.col("size") < min_points).select(*cell)
     thin = cut(points.join(thin_cells, cell))
     # thin rows announce themselves to the neighbour cells, once per salt

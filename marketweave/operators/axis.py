@@ -24,8 +24,9 @@ class Axis:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     bounded: bool = False
-    bucket: str = "day"
-    """date_trunc unit used to number the rows of an unbounded series in parallel."""
+    bucket: str | None = None
+    """date_trunc unit used to number the rows of an unbounded series in parallel; chosen from the
+    fullest day of the fullest series when not given."""
     block_rows: int = 200_000
 
 
@@ -58,6 +59,21 @@ class Frames:
         return F.lead(c, n).over(self.w)
 
 
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_unit(df: DataFrame, axis: Axis) -> str:
+    """Coarsest unit for which no bucket of a series should hold more than BUCKET_ROWS rows."""
+    if axis.bucket:
+        return axis.bucket
+    per_day = df.groupBy(*axis.keys, F.to_date(axis.order[0]).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    fullest = per_day.agg(F.max("__n")).first()[0] or 0
+    for unit, per in (("day", 1), ("hour", 24), ("minute", 24 * 60)):
+        if fullest / per <= BUCKET_ROWS:
+            return unit
+    return "second"
+
+
 def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", size: str | None = None) -> DataFrame:
     """0-based row number per series, and the row count of the series when ``size`` is given.
     Unbounded series are numbered per time bucket and shifted by the counts of the earlier
@@ -67,7 +83,7 @@ def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", size: str | None
         part = Window.partitionBy(*keys)
         out = df.withColumn(name, (F.row_number().over(part.orderBy(*axis.order)) - 1).cast("long"))
         return out.withColumn(size, F.count(F.lit(1)).over(part)) if size else out
-    bucketed = df.withColumn("__bucket", F.date_trunc(axis.bucket, F.col(axis.order[0])))
+    bucketed = df.withColumn("__bucket", F.date_trunc(bucket_unit(df, axis), F.col(axis.order[0])))
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -143,7 +159,7 @@ def running(df: DataFrame, axis: Axis, specs: dict[str, tuple[str, Column]], rev
         return (F.greatest if kind == "max" else F.least)(earlier, later)
 
     inputs = df.withColumns({f"__in_{n}": c for n, (_, c) in specs.items()}).withColumn(
-        "__bucket", F.date_trunc(axis.bucket, F.col(axis.order[0]))
+        "__bucket", F.date_trunc(bucket_unit(df, axis), F.col(axis.order[0]))
     )
     rank = F.struct(*axis.order)
     partial = {

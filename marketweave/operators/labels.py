@@ -105,7 +105,7 @@ def expanding_folds(df: DataFrame, axis: Axis, folds: int = 3) -> DataFrame:
 
 def stratified_split(
     df: DataFrame, label: str, pk: Sequence[str], shares: Sequence[tuple[str, float]] = (("train", 0.7), ("val", 0.15), ("test", 0.15)),
-    buckets: int = 4096,
+    buckets: int = 65536,
 ) -> DataFrame:
     """Exact shares inside each class in hash order of the primary key.
 

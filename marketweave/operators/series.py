@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketweave.functions.num import flag, sdiv
 from marketweave.operators.axis import Axis, Frames, Stage, apply_stages, running
+from marketweave.operators.skew import join_key_values
 
 # Default periods.
 SMA_PERIODS = (5, 10, 20, 50, 200)
@@ -304,26 +305,38 @@ def rolling_features(
     relative: bool = True,
 ) -> DataFrame:
     """Rolling statistics, each null until its frame is full, and the position of the row in them."""
-    aggs = {
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-        "median": lambda c: F.percentile(c, 0.5),
-        "q25": lambda c: F.percentile(c, 0.25),
-        "q75": lambda c: F.percentile(c, 0.75),
-    }
+    aggs = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    shares = {"median": 0.5, "q25": 0.25, "q75": 0.75}
     first: Stage = {}
     second: Stage = {}
+    drop = []
+
+    def at_share(arr: str, n: int, q: float):
+        """Linear interpolation in a sorted frame of exactly n values."""
+        pos = q * (n - 1)
+        lo, frac = int(pos), pos - int(pos)
+        a = F.col(arr)[lo]
+        value = a if frac == 0 else a + (F.col(arr)[lo + 1] - a) * frac
+        return F.when(F.size(arr) == n, value)
+
     for c in cols:
         for n in windows:
-            for s in stats:
-                first[f"{c}_rolling_{s}_{n}"] = _full(n, aggs[s], c)
+            for st in stats:
+                if st in aggs:
+                    first[f"{c}_rolling_{st}_{n}"] = _full(n, aggs[st], c)
+            wanted = [st for st in stats if st in shares]
+            if wanted:
+                # one sorted frame serves all its quantiles
+                arr = f"__{c}_frame_{n}"
+                first[arr] = lambda f, c=c, n=n: F.array_sort(F.collect_list(c).over(f.rows(n)))
+                drop.append(arr)
+                for st in wanted:
+                    second[f"{c}_rolling_{st}_{n}"] = lambda f, arr=arr, n=n, q=shares[st]: at_share(arr, n, q)
             if relative:
                 mean, std = f"{c}_rolling_mean_{n}", f"{c}_rolling_std_{n}"
                 second[f"{c}_vs_rolling_mean_{n}"] = lambda f, c=c, m=mean: sdiv(c, m) - 1
                 second[f"{c}_zscore_{n}"] = lambda f, c=c, m=mean, s=std: sdiv(F.col(c) - F.col(m), F.col(s))
-    return apply_stages(df, axis, [first, second] if second else [first], back=max(windows) - 1)
+    return apply_stages(df, axis, [first, second] if second else [first], back=max(windows) - 1, drop=drop)
 
 
 # -- sentiment panels -------------------------------------------------------------------------
@@ -341,8 +354,9 @@ def sentiment_momentum(df: DataFrame, axis: Axis, c: str = "combined_sentiment")
 def activity_spikes(df: DataFrame, axis: Axis, c: str) -> DataFrame:
     """1 where the value is above 1.5 times its 7-row mean, and the value over (series maximum + 1)."""
     out = apply_stages(df, axis, [{f"{c}_spike": lambda f: flag(F.col(c) > 1.5 * f.full(7, F.avg, c))}], back=6)
-    peak = df.groupBy(*axis.keys).agg((F.max(c) + 1).alias("__peak"))
-    return out.join(peak, list(axis.keys), "left").withColumn(f"{c}_normalized", sdiv(c, "__peak")).drop("__peak")
+    peak = df.groupBy(*axis.keys).agg((F.max(c) + 1).alias("__peak"), F.count(F.lit(1)).alias("__rows"))
+    both = out.join(peak, list(axis.keys)) if axis.bounded else join_key_values(out, peak, axis.keys, "__rows")
+    return both.withColumn(f"{c}_normalized", sdiv(c, "__peak")).drop("__peak", "__rows")
 
 
 def price_sentiment_divergence(

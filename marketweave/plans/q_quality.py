@@ -226,3 +226,39 @@ def datetime_success_rates(spark, sf):
     df = _date_strings(spark, sf).select("event_id", F.col("s").alias("created_s"))
     cols = ql.datetime_candidates(df)
     return ql.standardise_datetimes(df, cols)[1].select(F.expr("replace(column, 'created_', '')").alias("column"), "null_before", "null_after", r("success_rate").alias("success_rate"))
+
+
+@query("repaired_quality_report")
+def repaired_quality_report(spark, sf):
+    """Quality scores before and after the repair of infinite and extreme values."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("value") > 20, float("inf")).otherwise(F.col("value")).alias("v"))
+    fixed = ql.repair(e.select(F.col("event_id").cast("string").alias("event_id"), "event_type", "v"), floors={"v": 1.0})
+    return ql.quality_scores(e, "before").unionByName(ql.quality_scores(fixed, "after"))
+
+
+@query(
+    "ranked_datasets",
+    """WITH x AS (SELECT 'orders' AS dataset, count(*) AS rows FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents)
+    SELECT dataset, rows, CAST(row_number() OVER (ORDER BY rows DESC, dataset) AS INT) AS rank FROM x""",
+)
+def ranked_datasets(spark, sf):
+    from marketweave.operators.labels import top_k
+    from marketweave.operators.profile import dataset_rollup
+
+    names = ("orders", "events", "lineitem", "documents")
+    return top_k(dataset_rollup({t: table(spark, sf, t) for t in names}), F.col("rows"), ["dataset"], len(names)).select("dataset", "rows", "rank")
+
+
+@query("prepared_orders")
+def prepared_orders(spark, sf):
+    """The whole preparation chain over the orders."""
+    from marketweave.plans.workflows import prepare_table
+
+    return prepare_table(table(spark, sf, "orders"), keep=["o_orderkey", "o_custkey"])
+
+
+@query("prepared_documents")
+def prepared_documents(spark, sf):
+    from marketweave.plans.workflows import prepare_table
+
+    return prepare_table(table(spark, sf, "documents"), text=["text"], keep=["doc_id"])

@@ -120,11 +120,11 @@ def streamed_daily_bars(spark, sf):
 @query(
     "streamed_rolling_means",
     f"""WITH w AS (SELECT event_type, date_trunc('day', ts) + i * INTERVAL 1 DAY AS e, value FROM events, range(1, 6) t(i))
-    SELECT event_type, e AS "end", round(avg(value), 6) AS mean, count(value) AS rows FROM w GROUP BY 1, 2 HAVING e {_CLOSED}""",
+    SELECT event_type, e AS "end", round(avg(value), 9) AS mean, count(value) AS rows FROM w GROUP BY 1, 2 HAVING e {_CLOSED}""",
 )
 def streamed_rolling_means(spark, sf):
     out = _run(spark, st.rolling_means(_events(spark, sf), ["event_type"], "ts", "value", "5 days", "1 day"), "rolling")
-    return out.select("event_type", F.col("end").cast("timestamp_ntz").alias("end"), r("mean").alias("mean"), "rows")
+    return out.select("event_type", F.col("end").cast("timestamp_ntz").alias("end"), r("mean", 9).alias("mean"), "rows")
 
 
 @query(

@@ -99,7 +99,7 @@ def run_idempotent(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.parquet(out).select(*stream.columns)
 
 
 def late_rows(query) -> int:

@@ -2,6 +2,9 @@
 
 Counts that need each distinct word once fold over the sorted words: the array set functions
 compare strings pairwise, which is quadratic in the length of a text.
+
+The feature functions take the words of the text as a second column (``staged_words``), so the
+text is split once per row and not once per feature.
 """
 
 from __future__ import annotations
@@ -40,9 +43,10 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(sdiv(a, b), F.lit(0.0))
 
 
-def basic_stats(text: Column) -> dict[str, Column]:
+def basic_stats(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    chars, wc = F.length(t), F.size(words(t))
+    ws = words(t) if ws is None else ws
+    chars, wc = F.length(t), F.size(ws)
     sentences = F.regexp_count(t, F.lit(r"[.!?]+"))
     digits, upper = F.regexp_count(t, F.lit(r"\p{Nd}")), F.regexp_count(t, F.lit("[A-Z]"))
     special = F.regexp_count(t, F.lit(NOT_WORD))
@@ -50,7 +54,7 @@ def basic_stats(text: Column) -> dict[str, Column]:
         "char_count": chars,
         "char_count_no_space": F.length(F.regexp_replace(t, SPACE, "")),
         "word_count": wc,
-        "avg_word_length": _ratio(_total_length(words(t)), wc),
+        "avg_word_length": _ratio(_total_length(ws), wc),
         "sentence_count": sentences,
         "avg_sentence_length": wc / (sentences + 1),
         "digit_count": digits,
@@ -63,11 +67,11 @@ def basic_stats(text: Column) -> dict[str, Column]:
     }
 
 
-def linguistic(text: Column) -> dict[str, Column]:
+def linguistic(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    ws = words(t)
+    ws = words(t) if ws is None else ws
     wc = F.size(ws)
-    unique = distinct_words(words(F.lower(t)))
+    unique = distinct_words(F.transform(ws, lambda w: F.lower(w)))
     lengths = F.transform(ws, lambda w: F.length(w))
     mean = _ratio(_total_length(ws), wc)
     squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, n: acc + n * n)
@@ -86,9 +90,9 @@ def linguistic(text: Column) -> dict[str, Column]:
     }
 
 
-def readability(text: Column) -> dict[str, Column]:
+def readability(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    ws = words(t)
+    ws = words(t) if ws is None else ws
     wc = F.size(ws)
     sentences = F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: s.rlike(f"[^{lx.SPACE_SIGNS}]")))
     valid = (wc > 0) & (sentences > 0)
@@ -106,9 +110,9 @@ def count_in(ws: Column, lexicon) -> Column:
     return F.size(F.filter(ws, lambda w: w.isin(*lexicon)))
 
 
-def lexicon_sentiment(text: Column) -> dict[str, Column]:
+def lexicon_sentiment(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    ws = words(F.lower(t))
+    ws = F.transform(words(t) if ws is None else ws, lambda w: F.lower(w))
     pos, neg = count_in(ws, lx.POSITIVE_WORDS), count_in(ws, lx.NEGATIVE_WORDS)
     return {
         "positive_words": pos,
@@ -118,11 +122,11 @@ def lexicon_sentiment(text: Column) -> dict[str, Column]:
     }
 
 
-def light_features(text: Column) -> dict[str, Column]:
+def light_features(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     return {
         "text_length": F.length(t),
-        "word_count": F.size(words(t)),
+        "word_count": F.size(words(t) if ws is None else ws),
         "has_question": t.contains("?").cast("int"),
         "has_exclamation": t.contains("!").cast("int"),
     }
@@ -142,7 +146,8 @@ def squeeze(c: Column) -> Column:
 
 
 def _or_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    # nullif evaluates the long expression once, a CASE would do so twice
+    return F.nullif(c, F.lit(""))
 
 
 def strip(c: Column) -> Column:
@@ -184,9 +189,13 @@ def clean_news(text: Column, case: str = "lower", level: str = "light") -> Colum
     return _or_null(squeeze(c))
 
 
-def news_features(text: Column) -> dict[str, Column]:
+def news_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{lx.WORD_SIGNS}']+"), lambda w: w != "")
+
+
+def news_features(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    ws = F.filter(F.split(F.lower(t), f"[^{lx.WORD_SIGNS}']+"), lambda w: w != "")
+    ws = news_words(text) if ws is None else ws
     wc = F.size(ws)
     sentences = F.greatest(F.regexp_count(t, F.lit(r"[.!?]+")), F.when(F.trim(t) != "", 1).otherwise(0))
     per_sentence, per_word = _ratio(wc, sentences), _ratio(_total_length(ws), wc)
@@ -232,9 +241,10 @@ def clean_social(text: Column, emoji: str = "remove") -> Column:
     return _or_null(squeeze(c))
 
 
-def social_features(text: Column) -> dict[str, Column]:
+def social_features(text: Column, ws: Column | None = None) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    wc = F.size(words(t))
+    ws = words(t) if ws is None else ws
+    wc = F.size(ws)
     return {
         "has_url": t.rlike(lx.URL).cast("int"),
         "has_user_mention": t.rlike(lx.USER_MENTION).cast("int"),
@@ -242,7 +252,7 @@ def social_features(text: Column) -> dict[str, Column]:
         "has_emoji": t.rlike(lx.EMOJI_CLASS).cast("int"),
         "word_count": wc,
         "char_count": F.length(t),
-        "avg_word_length": _ratio(_total_length(words(t)), wc),
+        "avg_word_length": _ratio(_total_length(ws), wc),
     }
 
 

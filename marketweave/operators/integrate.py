@@ -55,9 +55,12 @@ def mentions_symbol(c: str, symbol: str) -> Column:
     return F.col(c).rlike(rf"(?i)\$?\b{symbol}\b")
 
 
-def word_grams(text: Column, longest: int) -> Column:
-    """Upper-case runs of 1..longest words, repeats included (they end in the distinct of the join)."""
-    words = F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def upper_words(text: Column) -> Column:
+    return F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def word_grams(words: Column, longest: int) -> Column:
+    """Runs of 1..longest words, repeats included (they end in the distinct of the join)."""
     # zip_with evaluates its inputs once per row; slicing inside a lambda would do so per word
     out = grams = words
     for n in range(2, longest + 1):
@@ -74,10 +77,11 @@ def match_entities(docs: DataFrame, text: str, pk: Sequence[str], aliases: DataF
     join, for all entities at once; a small alias table is broadcast after its size was counted.
     """
     norm = aliases.select(
-        "entity", F.array_join(F.filter(F.split(F.upper("alias"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("__gram")
+        "entity", F.array_join(upper_words(F.col("alias")), " ").alias("__gram")
     ).distinct()
     size, longest = norm.agg(F.count(F.lit(1)), F.max(F.size(F.split("__gram", " ")))).first()
-    grams = docs.select(*pk, F.explode(word_grams(F.col(text), longest or 1)).alias("__gram"))
+    staged = docs.select(*pk, upper_words(F.col(text)).alias("__ws"))
+    grams = staged.select(*pk, F.explode(word_grams(F.col("__ws"), longest or 1)).alias("__gram"))
     side = F.broadcast(norm) if size <= SMALL_LOOKUP else norm
     return grams.join(side, "__gram").select(*pk, "entity").distinct()
 

@@ -101,7 +101,7 @@ def type_scores(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             F.count_if(x != F.floor(x)).alias("fractions"),
             F.count_if(to_boolean(s).isNotNull()).alias("booleans"),
             F.greatest(*[F.count(dt.try_format(s, f)) for f in lx.INFERENCE_FORMATS]).alias("dates"),
-            F.approx_count_distinct(s, 0.01).alias("distinct"),
+            F.approx_count_distinct(s).alias("distinct"),
             F.avg(F.length(s)).alias("avg_length"),
             F.bool_or(s.contains(" ") ).alias("spaces"),
             F.bool_or(s.rlike("[.,!?;:]")).alias("marks"),

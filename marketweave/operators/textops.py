@@ -13,9 +13,22 @@ from marketweave.functions.num import sdiv
 from marketweave.operators.integrate import SMALL_LOOKUP
 
 
-def terms(text: Column, stop_words: Sequence[str] = lx.STOP_WORDS) -> Column:
-    """Words of two or more signs without stop words, and pairs of neighbours among them."""
-    ws = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{lx.WORD_SIGNS}]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+def add_features(df: DataFrame, text: str, *families, split=tx.words) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with the words of the text as a column, and the feature columns over it."""
+    staged = df.withColumn("__ws", split(F.coalesce(F.col(text), F.lit(""))))
+    out: dict[str, Column] = {}
+    for family in families:
+        out.update(family(F.col(text), F.col("__ws")))
+    return staged, out
+
+
+def content_words(text: Column, stop_words: Sequence[str] = lx.STOP_WORDS) -> Column:
+    """Words of two or more signs without stop words."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{lx.WORD_SIGNS}]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+
+
+def terms(ws: Column) -> Column:
+    """The words and the pairs of neighbours among them."""
     tail = F.slice(ws, 2, F.greatest(F.size(ws), F.lit(0)))
     pairs = F.filter(F.zip_with(ws, tail, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
     return F.concat(ws, pairs)
@@ -26,7 +39,7 @@ def term_weights(docs: DataFrame, pk: str, text: str, vocabulary: int = 50, meth
 
     The first pass counts terms; the second keeps only vocabulary terms before it shuffles.
     """
-    exploded = docs.select(pk, F.explode(terms(F.col(text))).alias("term"))
+    exploded = docs.select(pk, content_words(F.col(text)).alias("__ws")).select(pk, F.explode(terms(F.col("__ws"))).alias("term"))
     top = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary)
     names = [r["term"] for r in top.collect()]  # at most `vocabulary` rows
     tf = exploded.filter(F.col("term").isin(*names) if names else F.lit(False)).groupBy(pk, "term").agg(F.count(F.lit(1)).alias("tf"))

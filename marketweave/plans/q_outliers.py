@@ -10,6 +10,7 @@ from marketweave.operators import outliers as ol
 from marketweave.operators import scaling as scl
 from marketweave.plans.registry import query
 from marketweave.plans.roles import table
+from marketweave.session import spread
 
 COLS = ("l_quantity", "l_extendedprice")
 PK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -141,7 +142,7 @@ def _points(spark, sf, dims: int = 2):
 
 @query("isolation_forest_flags")
 def isolation_forest_flags(spark, sf):
-    out = an.isolation_forest(_lines(spark, sf).withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity")), [*COLS, "unit"], PK)
+    out = an.isolation_forest(spread(_lines(spark, sf), *PK).withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity")), [*COLS, "unit"], PK)
     return out.select(*PK, r("anomaly_score").alias("anomaly_score"), "outlier_isolation_forest")
 
 

@@ -10,7 +10,7 @@ from marketweave.operators import integrate as ig
 from marketweave.operators import profile as pf
 from marketweave.operators import series as s
 from marketweave.plans.registry import query
-from marketweave.plans.roles import BAR_AXIS, SQL_BARS, SQL_NEWS, bars, daily_orders, table
+from marketweave.plans.roles import BAR_AXIS, SQL_BARS, SQL_NEWS, bars, daily_orders, table, texts
 
 WITH = "WITH " + SQL_BARS
 
@@ -147,7 +147,7 @@ _SQL_ALIAS = "a AS (SELECT * FROM (VALUES " + ", ".join(f"({e}, '{a}')" for e, n
     f"WITH {_SQL_GRAMS}, {_SQL_ALIAS} SELECT DISTINCT doc_id, CAST(entity AS INT) AS entity FROM w, a WHERE contains(t, ' ' || alias || ' ')",
 )
 def texts_matched_to_entities(spark, sf):
-    return ig.match_entities(table(spark, sf, "documents"), "text", ["doc_id"], _alias_table(spark))
+    return ig.match_entities(texts(spark, sf, "documents"), "text", ["doc_id"], _alias_table(spark))
 
 
 @query(
@@ -155,7 +155,7 @@ def texts_matched_to_entities(spark, sf):
     f"WITH {_SQL_ALIAS} SELECT DISTINCT doc_id, CAST(entity AS INT) AS entity FROM documents, a WHERE contains(upper(text), alias)",
 )
 def texts_matched_by_substring(spark, sf):
-    return ig.match_entities_contains(table(spark, sf, "documents"), ["text"], ["doc_id"], ENTITIES)
+    return ig.match_entities_contains(texts(spark, sf, "documents"), ["text"], ["doc_id"], ENTITIES)
 
 
 @query(
@@ -169,7 +169,7 @@ def integrated_entity_panel(spark, sf):
     """Texts of all entities matched in one job, aggregated per day, joined on the bars."""
     from marketweave.plans.workflows import integrate_panel
 
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     dated = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 100000.0).alias("score")
     )

@@ -10,7 +10,7 @@ from marketweave.functions import text as tx
 from marketweave.functions.num import r
 from marketweave.operators import textops as to
 from marketweave.plans.registry import query
-from marketweave.plans.roles import table
+from marketweave.plans.roles import table, texts
 
 SP = rf"[{lx.SPACE_SIGNS}]"
 WS = f"list_filter(regexp_split_to_array(text, '{SP}+'), lambda x: x <> '')"
@@ -21,10 +21,10 @@ def _cnt(pattern: str, src: str = "text") -> str:
     return f"len(regexp_extract_all({src}, '{pattern}'))"
 
 
-def _features(spark, sf, parts: dict, name: str = "documents", pk=("doc_id",), digits: int = 6):
+def _features(spark, sf, family, name: str = "documents", pk=("doc_id",), digits: int = 6, split=tx.words):
     real = ("ratio", "avg", "diversity", "mean", "std", "score", "balance", "intensity")
-    cols = [r(c, digits).alias(n) if any(k in n for k in real) else c.cast("long").alias(n) for n, c in parts.items()]
-    return table(spark, sf, name).select(*pk, *cols)
+    df, parts = to.add_features(texts(spark, sf, name).select(*pk, "text"), "text", family, split=split)
+    return df.select(*pk, *[r(c, digits).alias(n) if any(k in n for k in real) else c.cast("long").alias(n) for n, c in parts.items()])
 
 
 @query(
@@ -37,7 +37,7 @@ def _features(spark, sf, parts: dict, name: str = "documents", pk=("doc_id",), d
       round({_cnt(f'[^{lx.WORD_SIGNS}{lx.SPACE_SIGNS}]')} / (length(text) + 1), 6) AS special_ratio FROM d""",
 )
 def text_basic_statistics(spark, sf):
-    return _features(spark, sf, tx.basic_stats(F.col("text")))
+    return _features(spark, sf, tx.basic_stats)
 
 
 @query(
@@ -49,7 +49,7 @@ def text_basic_statistics(spark, sf):
       CAST(regexp_matches(text, '@[{lx.WORD_SIGNS}]') AS BIGINT) AS contains_mention, CAST(regexp_matches(text, '#[{lx.WORD_SIGNS}]') AS BIGINT) AS contains_hashtag FROM e""",
 )
 def text_linguistic_features(spark, sf):
-    return _features(spark, sf, tx.linguistic(F.col("text")))
+    return _features(spark, sf, tx.linguistic)
 
 
 @query(
@@ -61,7 +61,7 @@ def text_linguistic_features(spark, sf):
       round(CASE WHEN ok THEN cr ELSE 0 END, 8) AS complex_word_ratio FROM e""",
 )
 def text_readability_scores(spark, sf):
-    return _features(spark, sf, tx.readability(F.col("text")), digits=8)
+    return _features(spark, sf, tx.readability, digits=8)
 
 
 def _sql_in(words) -> str:
@@ -74,7 +74,7 @@ def _sql_in(words) -> str:
     SELECT doc_id, p AS positive_words, n AS negative_words, round((p - n) / (len(wl) + 1), 6) AS sentiment_balance, round({_cnt('[!?]')} / (length(text) + 1), 6) AS emotional_intensity FROM e""",
 )
 def text_lexicon_sentiment(spark, sf):
-    return _features(spark, sf, tx.lexicon_sentiment(F.col("text")))
+    return _features(spark, sf, tx.lexicon_sentiment)
 
 
 @query(
@@ -82,7 +82,7 @@ def text_lexicon_sentiment(spark, sf):
     rf"""SELECT conv_id, turn, length(text) AS text_length, len({WS}) AS word_count, CAST(contains(text, '?') AS BIGINT) AS has_question, CAST(contains(text, '!') AS BIGINT) AS has_exclamation FROM conversations""",
 )
 def conversation_light_features(spark, sf):
-    return _features(spark, sf, tx.light_features(F.col("text")), "conversations", ("conv_id", "turn"))
+    return _features(spark, sf, tx.light_features, "conversations", ("conv_id", "turn"))
 
 
 _TERMS = rf"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^{lx.WORD_SIGNS}]+'), lambda w: length(w) >= 2 AND w NOT IN {_sql_in(lx.STOP_WORDS)}) AS ws FROM documents),
@@ -97,7 +97,7 @@ _TERMS = rf"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text)
     SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
 )
 def text_term_weights(spark, sf):
-    out = to.term_weights(table(spark, sf, "documents"), "doc_id", "text")
+    out = to.term_weights(texts(spark, sf, "documents"), "doc_id", "text")
     return out.select("doc_id", "term", "tf", r("weight").alias("weight"))
 
 
@@ -129,7 +129,7 @@ def _sql_news(src: str, c: str, pk: str) -> str:
 
 @query("news_text_cleaning", _sql_news("pages", "html", "page_id"))
 def news_text_cleaning(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.clean_news(F.col("html")).alias("clean"))
+    return texts(spark, sf, "pages").select("page_id", tx.clean_news(F.col("html")).alias("clean"))
 
 
 @query(
@@ -138,7 +138,7 @@ def news_text_cleaning(spark, sf):
     SELECT page_id, nullif(array_to_string(list_filter(string_split(clean, ' '), lambda w: w NOT IN {_sql_in(lx.STOP_WORDS)} AND length(w) >= 3), ' '), '') AS clean FROM c""",
 )
 def news_text_without_common_words(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.clean_news(F.col("html"), level="medium").alias("clean"))
+    return texts(spark, sf, "pages").select("page_id", tx.clean_news(F.col("html"), level="medium").alias("clean"))
 
 
 @query(
@@ -152,13 +152,13 @@ def news_text_without_common_words(spark, sf):
       round(CASE WHEN sc > 0 AND len(ws) > 0 THEN least(greatest(206.835 - 1.015 * ps - 84.6 * pw, 0), 100) ELSE 0 END, 6) AS readability_score FROM e""",
 )
 def news_text_features(spark, sf):
-    return _features(spark, sf, tx.news_features(F.col("text")))
+    return _features(spark, sf, tx.news_features, split=tx.news_words)
 
 
 @query("social_text_cleaning")
 def social_text_cleaning(spark, sf):
     """Needs a back-reference (runs of one sign), which the SQL engine's patterns lack."""
-    return table(spark, sf, "documents").select("doc_id", tx.clean_social(F.col("text")).alias("clean"))
+    return texts(spark, sf, "documents").select("doc_id", tx.clean_social(F.col("text")).alias("clean"))
 
 
 @query(
@@ -168,7 +168,7 @@ def social_text_cleaning(spark, sf):
       length(text) AS char_count, round(coalesce(list_sum(list_transform({WS}, lambda w: length(w))) / nullif(len({WS}), 0), 0), 6) AS avg_word_length FROM conversations""",
 )
 def social_text_features(spark, sf):
-    return _features(spark, sf, tx.social_features(F.col("text")), "conversations", ("conv_id", "turn"))
+    return _features(spark, sf, tx.social_features, "conversations", ("conv_id", "turn"))
 
 
 _SQL_SENT_CLEAN = (
@@ -178,12 +178,12 @@ _SQL_SENT_CLEAN = (
 
 @query("sentiment_text_cleaning", f"SELECT doc_id, {_SQL_SENT_CLEAN} AS clean FROM documents")
 def sentiment_text_cleaning(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean_for_sentiment(F.col("text")).alias("clean"))
+    return texts(spark, sf, "documents").select("doc_id", tx.clean_for_sentiment(F.col("text")).alias("clean"))
 
 
 @query("sentiment_text_preparation")
 def sentiment_text_preparation(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.sentiment_text(F.col("text")).alias("prepared"))
+    return texts(spark, sf, "documents").select("doc_id", tx.sentiment_text(F.col("text")).alias("prepared"))
 
 
 # A small polarity lexicon made of words that occur in the texts.
@@ -211,7 +211,7 @@ _SQL_LEX = f"""lx AS (SELECT * FROM (VALUES {', '.join(str(x) for x in LEXICON)}
       CAST(regexp_matches(text, '(?i)\b({'|'.join(lx.NEGATIONS)})\b') AS INT) AS has_negation, {_cnt('!')} AS exclamations, {_cnt(chr(92) + '?')} AS questions FROM s""",
 )
 def text_polarity_scores(spark, sf):
-    out = to.lexicon_scores(table(spark, sf, "documents"), "doc_id", "text", _lexicon(spark))
+    out = to.lexicon_scores(texts(spark, sf, "documents"), "doc_id", "text", _lexicon(spark))
     real = ("polarity", "subjectivity", "positive_ratio", "negative_ratio")
     return out.select(*[r(c, 9 if c in real[:2] else 6).alias(c) if c in real else F.col(c) for c in out.columns])
 
@@ -222,7 +222,7 @@ def text_polarity_scores(spark, sf):
       round(avg(polarity) * (1 - avg(subjectivity)), 6) AS sentiment_score FROM s GROUP BY lang""",
 )
 def corpus_polarity(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     scored = to.lexicon_scores(d, "doc_id", "text", _lexicon(spark)).join(d.select("doc_id", "lang"), "doc_id")
     out = to.corpus_polarity(scored, ["lang"])
     return out.select("lang", *[r(c).alias(c) for c in ("polarity", "subjectivity", "sentiment_score")], "count")
@@ -236,13 +236,13 @@ def corpus_polarity(spark, sf):
       CAST(bool_or(regexp_matches(text, '{lx.HTML_TAG}')) AS INT) AS has_html, any_value(v) AS vocabulary, round(any_value(v) / sum(len(wl)), 6) AS richness FROM d, u""",
 )
 def text_column_characteristics(spark, sf):
-    out = to.text_characteristics(table(spark, sf, "documents"), ["text"])
+    out = to.text_characteristics(texts(spark, sf, "documents"), ["text"])
     return out.select(*[r(c).alias(c) if c in ("avg_words", "avg_chars", "richness") else F.col(c) for c in out.columns])
 
 
 @query("text_columns_preprocessed")
 def text_columns_preprocessed(spark, sf):
-    return to.preprocess_columns(table(spark, sf, "conversations"), ["text"], "auto")[1]
+    return to.preprocess_columns(texts(spark, sf, "conversations"), ["text"], "auto")[1]
 
 
 # -- date strings -----------------------------------------------------------------------------

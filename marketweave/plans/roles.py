@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.operators.axis import Axis
+from marketweave.session import spread
 
 # Bars per key are limited by the calendar, so their windows may run whole.
 BAR_AXIS = Axis(keys=("key",), order=("day",), bounded=True)
@@ -17,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Identifiers of the text tables.
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table over all cores, also when it is one small file: its work is per row and heavy."""
+    return spread(table(spark, sf_dir, name), *TEXT_KEYS[name])
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier. The aggregation combines on the map side, so a supplier with a
     third of all lines costs one row per day after the shuffle."""

@@ -45,3 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a source that Spark reads in fewer splits than it has cores.
+
+    Such a source is at most one split size per core, so the shuffle is small; a larger one
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

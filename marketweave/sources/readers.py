@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True) -> DataFrame:
-    """UTF-8, or Latin-1 when some line does not decode (Spark puts U+FFFD there). Without a
-    schema every column is a string, to be typed afterwards; the data are not scanned to guess."""
-    broken = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    """UTF-8, or Latin-1 when some line does not decode. Without a schema every column is a
+    string, to be typed afterwards; the data are not scanned to guess types."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     encoding = "ISO-8859-1" if broken.take(1) else "UTF-8"
     reader = spark.read.option("header", header).option("encoding", encoding).option("multiLine", False).option("quote", '"').option("escape", '"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)

@@ -11,6 +11,7 @@ from marketweave.operators import ml
 from marketweave.operators import series as s
 from marketweave.plans.registry import query
 from marketweave.plans.roles import BAR_AXIS, bars, daily_orders, table
+from marketweave.session import cut
 
 STOCK = ["daily_return", "volatility_5d", "volatility_20d", "volume_ratio_20", "price_vs_sma_20"]
 NEWS = ["news_count", "news_sentiment"]
@@ -18,10 +19,10 @@ SETS = {"stock_only": STOCK, "integrated": [*STOCK, *NEWS]}
 
 
 def training_rows(spark, sf):
-    """Labelled feature rows of all keys."""
+    """Labelled feature rows of all keys, written once: every fit reads them several times."""
     b = s.volume_features(s.volatility(bars(spark, sf), BAR_AXIS), BAR_AXIS)
     b = s.average_spreads(b, BAR_AXIS)
-    return lab.next_return(b, BAR_AXIS).join(daily_orders(spark, sf), "day", "left").dropna(subset=["volatility_20d"])
+    return cut(lab.next_return(b, BAR_AXIS).join(daily_orders(spark, sf), "day", "left").dropna(subset=["volatility_20d"]))
 
 
 @query(
@@ -108,8 +109,8 @@ def feature_set_uplift(spark, sf):
 
 @query("overfitting_check")
 def overfitting_check(spark, sf):
-    rows = ml.fill_features(training_rows(spark, sf).filter(F.col("day") < "1999-01-01"), STOCK).withColumn("y", F.col("target_up").cast("double"))
-    late = ml.fill_features(training_rows(spark, sf).filter(F.col("day") >= "1999-01-01"), STOCK).withColumn("y", F.col("target_up").cast("double"))
+    every = ml.fill_features(training_rows(spark, sf), STOCK).withColumn("y", F.col("target_up").cast("double"))
+    rows, late = every.filter(F.col("day") < "1999-01-01"), every.filter(F.col("day") >= "1999-01-01")
     model = ml.feature_pipeline(STOCK, ml.CLASSIFIERS["random_forest"]().setLabelCol("y")).fit(rows)
     a = ev.weighted_metrics(model.transform(rows), "y", "prediction").select(F.col("accuracy").alias("train_accuracy"))
     b = ev.weighted_metrics(model.transform(late), "y", "prediction").select(F.col("accuracy").alias("test_accuracy"))
@@ -125,9 +126,10 @@ def feature_importances(spark, sf):
 @query("batch_scoring")
 def batch_scoring(spark, sf):
     """Fit on early rows, score the others after a feature was lost."""
-    train = training_rows(spark, sf).filter(F.col("day") < "1998-01-01")
+    every = training_rows(spark, sf)
+    train = every.filter(F.col("day") < "1998-01-01")
     model = ml.feature_pipeline(STOCK, ml.CLASSIFIERS["logistic"]().setLabelCol("y")).fit(ml.fill_features(train, STOCK).withColumn("y", F.col("target_up").cast("double")))
-    late = training_rows(spark, sf).filter(F.col("day") >= "1998-01-01").drop("volume_ratio_20")
+    late = every.filter(F.col("day") >= "1998-01-01").drop("volume_ratio_20")
     return ml.score_new_rows(model, late, STOCK, ml.training_medians(train, STOCK)).select("key", "day", "prediction")
 
 

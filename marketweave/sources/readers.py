@@ -53,18 +53,18 @@ def save_report(metrics: DataFrame, path: str, dataset: str) -> None:
     metrics.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").json(f"{path.rstrip('/')}/dataset={dataset}")
 
 
-FEED = T.StructType.fromDDL(
+FEED = (
     "feed array<struct<title:string, url:string, time_published:string, authors:array<string>, summary:string, source:string, "
     "overall_sentiment_score:double, ticker_sentiment:array<struct<ticker:string, ticker_sentiment_score:string>>>>"
 )
-ARTICLES = T.StructType.fromDDL(
+ARTICLES = (
     "articles array<struct<source:struct<id:string, name:string>, author:string, title:string, description:string, url:string, publishedAt:string, content:string>>"
 )
 
 
 def sentiment_feed(raw: DataFrame, c: str = "value") -> DataFrame:
     """One row per article of a nested feed, with a map ticker -> score in place of columns per ticker."""
-    a = raw.select(F.explode(F.from_json(c, FEED)["feed"]).alias("a"))
+    a = raw.select(F.explode(F.from_json(F.col(c), FEED)["feed"]).alias("a"))
     pairs = F.transform("a.ticker_sentiment", lambda t: F.struct(t["ticker"], t["ticker_sentiment_score"].try_cast("double")))
     seen = F.filter(pairs, lambda p: p["ticker"].isNotNull())
     return a.select(
@@ -75,7 +75,7 @@ def sentiment_feed(raw: DataFrame, c: str = "value") -> DataFrame:
 
 
 def article_pages(raw: DataFrame, c: str = "value") -> DataFrame:
-    a = raw.select("*", F.explode(F.from_json(c, ARTICLES)["articles"]).alias("a"))
+    a = raw.select("*", F.explode(F.from_json(F.col(c), ARTICLES)["articles"]).alias("a"))
     keep = [x for x in ("query", "page") if x in raw.columns]
     return a.select(
         F.col("a.source.name").alias("source"), "a.author", "a.title", "a.description", "a.content", "a.url", F.col("a.publishedAt").alias("published_at"), *keep

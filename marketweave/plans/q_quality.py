@@ -53,7 +53,7 @@ def mixed_type_columns(spark, sf):
 
 @query(
     "inferred_column_types",
-    """SELECT * FROM (VALUES ('whole', 'integer', 1.0), ('money', 'float', 1.0), ('day_text', 'datetime', 1.0), ('yes_no', 'boolean', 1.0), ('status', 'categorical', 0.9)) v("column", detected_type, confidence)""",
+    """SELECT "column", detected_type, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('whole', 'integer', 1.0), ('money', 'float', 1.0), ('day_text', 'datetime', 1.0), ('yes_no', 'boolean', 1.0), ('status', 'categorical', 0.9)) v("column", detected_type, confidence)""",
 )
 def inferred_column_types(spark, sf):
     return ql.type_scores(_strings(spark, sf).drop("mixed")).select("column", "detected_type", "confidence")

@@ -41,7 +41,7 @@ def threshold_signals(spark, sf):
     return sg.threshold_signal(predictions(spark, sf)).select("key", "day", "action", r("confidence").alias("confidence"))
 
 
-@query("adaptive_signals", f"WITH {SQL_SIG} SELECT key, day, action, round(confidence, 6) AS confidence, risk_level, tau AS threshold_used FROM sig")
+@query("adaptive_signals", f"WITH {SQL_SIG} SELECT key, day, action, round(confidence, 6) AS confidence, risk_level, CAST(tau AS DOUBLE) AS threshold_used FROM sig")
 def adaptive_signals(spark, sf):
     return sg.adaptive_signal(predictions(spark, sf)).select("key", "day", "action", r("confidence").alias("confidence"), "risk_level", F.col("threshold_used").cast("double").alias("threshold_used"))
 

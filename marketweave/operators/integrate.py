@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketweave.functions.num import numeric_columns, sdiv
 
 SMALL_LOOKUP = 10_000
+IN_ROW_ALIASES = 500
 
 
 def daily_sentiment(df: DataFrame, keys: Sequence[str], score: str, text: str, digits: int = 4) -> DataFrame:
@@ -81,7 +82,12 @@ def match_entities(docs: DataFrame, text: str, pk: Sequence[str], aliases: DataF
     ).distinct()
     size, longest = norm.agg(F.count(F.lit(1)), F.max(F.size(F.split("__gram", " ")))).first()
     staged = docs.select(*pk, upper_words(F.col(text)).alias("__ws"))
-    grams = staged.select(*pk, F.explode(word_grams(F.col("__ws"), longest or 1)).alias("__gram"))
+    runs = word_grams(F.col("__ws"), longest or 1)
+    if 0 < size <= IN_ROW_ALIASES:
+        # few aliases: drop the other runs before they become rows
+        wanted = [r["__gram"] for r in norm.select("__gram").distinct().collect()]
+        runs = F.filter(runs, lambda g: g.isin(*wanted))
+    grams = staged.select(*pk, F.explode(runs).alias("__gram"))
     side = F.broadcast(norm) if size <= SMALL_LOOKUP else norm
     return grams.join(side, "__gram").select(*pk, "entity").distinct()
 

@@ -8,16 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketweave.llm.common import table
 from marketweave.llm.decontaminate import contamination_report
+from marketweave.llm.htmltext import main_texts
+from marketweave.llm.packing import packing_report
+from marketweave.llm.pii import personal_data_report
 from marketweave.llm.quality import quality_scores
 from marketweave.llm.secrets import secret_report
+from marketweave.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ball_tree_top_k": lambda s, d: top_k(table(s, d, "embeddings")),
     "op2_quality_discriminant": lambda s, d: quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+    "op4_disclosing_terms": lambda s, d: personal_data_report(table(s, d, "documents")),
     "op5_secret_token_efficiency": lambda s, d: secret_report(table(s, d, "documents")),
     "op6_prefix_filtered_decontamination": lambda s, d: contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op8_hilbert_packing": lambda s, d: packing_report(table(s, d, "documents")),
+    "op10_consensus_main_text": lambda s, d: main_texts(table(s, d, "pages")),
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ball_tree_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+""",
     "op6_prefix_filtered_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketweave.llm.common import table
 from marketweave.llm.decontaminate import contamination_report
 from marketweave.llm.htmltext import main_texts
+from marketweave.llm.neardup import duplicate_classes
 from marketweave.llm.packing import packing_report
 from marketweave.llm.pii import personal_data_report
 from marketweave.llm.quality import quality_scores
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_token_efficiency": lambda s, d: secret_report(table(s, d, "documents")),
     "op6_prefix_filtered_decontamination": lambda s, d: contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_hilbert_packing": lambda s, d: packing_report(table(s, d, "documents")),
+    "op9_order_minhash_classes": lambda s, d: duplicate_classes(table(s, d, "documents")),
     "op10_consensus_main_text": lambda s, d: main_texts(table(s, d, "pages")),
 }
 

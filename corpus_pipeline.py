@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import spool, table
+from marketweave.llm.common import spool, table, text_digest
 from marketweave.llm.decontaminate import contamination
+from marketweave.llm.neardup import without_duplicates
+from marketweave.llm.packing import packing_report
 from marketweave.llm.quality import accepted
 from marketweave.llm.secrets import redacted
 
@@ -21,11 +23,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one with the smallest id."""
+    return without_duplicates(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents holding any window of a benchmark item go."""
     hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest")).distinct()
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("h_id")) & (key == F.col("h_digest")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("h_id")) & (text_digest("text") == F.col("h_digest")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +40,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences along the Hilbert curve."""
+    return packing_report(docs)
+
+
 STAGES = [
     ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
+    ("packing", packing),
 ]
 ORACLE_SQL = None  # model scores, alignments, token counts and packing are beyond SQL
 

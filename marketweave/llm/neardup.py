@@ -161,7 +161,7 @@ def _sequences_of(documents: DataFrame, nodes: DataFrame, words: int, broadcast_
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5, sketches: int = 20, picks: int = 3, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """Per row: doc_id, digest of the text, cluster_id (smallest id of the class)."""
+    """Per row: doc_id, digest of the text, cluster_id (smallest id of the class), kept, wordless."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", text_digest("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -185,12 +185,17 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
     more = spool(_verified(_open_pairs(shared, labels, sequences, threshold), sequences, threshold).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
-    named = nodes.select("node", "doc_id").join(labels, "node")
-    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("cluster_id")), "label").select("node", "cluster_id")
-    alone = nodes.join(named, "node", "left_anti").select("node", F.col("doc_id").alias("cluster_id"))
-    named = spool(named.union(alone), "classes")
+    named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first")
+    classes = named.groupBy("label").agg(first).select("label", F.col("first.doc_id").alias("cluster_id"), F.col("first.node").alias("stays"))
+    named = spool(named.join(classes, "label").select("node", "doc_id", "cluster_id", (F.col("node") == F.col("stays")).alias("stays")), "classes")
+    named = named.withColumnRenamed("doc_id", "least")
     out = rows.select("doc_id", "digest", "n").join(named, F.col("digest") == F.col("node"), "left")
-    return out.select("doc_id", "digest", F.when(F.col("n") > 0, F.col("cluster_id")).otherwise(F.col("doc_id")).alias("cluster_id"), (F.col("n") == 0).alias("wordless"))
+    worded = F.col("n") > 0
+    return out.select(
+        "doc_id", "digest", F.when(worded, F.col("cluster_id")).otherwise(F.col("doc_id")).alias("cluster_id"),
+        F.when(worded, F.col("stays") & F.col("doc_id").eqNullSafe(F.col("least"))).otherwise(F.lit(True)).alias("kept"), (~worded).alias("wordless"),
+    )
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
@@ -230,5 +235,22 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sequences: DataFrame, thre
 
 def duplicate_classes(documents: DataFrame) -> DataFrame:
     """doc_id, cluster_id and whether the row is the one that stays of its class."""
-    found = near_duplicates(documents)
-    return found.select("doc_id", "cluster_id", F.col("doc_id").eqNullSafe(F.col("cluster_id")).alias("kept"))
+    return near_duplicates(documents).select("doc_id", "cluster_id", "kept")
+
+
+def without_duplicates(documents: DataFrame) -> DataFrame:
+    """One row of each class of documents, with all its columns; wordless rows all stay."""
+    found = spool(near_duplicates(documents), "kept")
+    digest = text_digest("text")
+
+    def keys(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").alias("_k_id"), F.col("digest").alias("_k_digest")).distinct()
+
+    same = documents["doc_id"].eqNullSafe(F.col("_k_id")) & (digest == F.col("_k_digest"))
+    # rows that agree in id and text: all but one of them go, too
+    twins = keys(found.where("kept and not wordless").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    gone = keys(found.where("not kept"))
+    if twins.isEmpty():
+        return documents.join(gone, same, "left_anti")
+    one = documents.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return documents.join(gone.union(twins), same, "left_anti").unionByName(one)

@@ -18,8 +18,10 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketweave.llm.common import listed_spans, plain_texts, sha256
@@ -125,9 +127,6 @@ def redact(text: str, encode, max_chars_per_token: float = 2.0) -> str:
 
 def redacted(documents: DataFrame, vocabulary: str | None = None, max_chars_per_token: float = 2.0) -> DataFrame:
     """documents with the secrets of ``text`` replaced; all other columns and null texts stay."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         encode = encoding(vocabulary).encode_ordinary

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketweave.llm.common import table
 from marketweave.llm.decontaminate import contamination_report
 from marketweave.llm.htmltext import main_texts
+from marketweave.llm.lm import scores
 from marketweave.llm.neardup import duplicate_classes
 from marketweave.llm.packing import packing_report
 from marketweave.llm.pii import personal_data_report
@@ -19,6 +20,7 @@ from marketweave.llm.topk import top_k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": lambda s, d: top_k(table(s, d, "embeddings")),
     "op2_quality_discriminant": lambda s, d: quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+    "op3_kneser_ney_scores": lambda s, d: scores(table(s, d, "documents")),
     "op4_disclosing_terms": lambda s, d: personal_data_report(table(s, d, "documents")),
     "op5_secret_token_efficiency": lambda s, d: secret_report(table(s, d, "documents")),
     "op6_prefix_filtered_decontamination": lambda s, d: contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),

@@ -36,12 +36,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import byte_texts, fold_of, spool
+from marketweave.llm.common import byte_texts, fold_of, pack, spool, unpack
 
 # no token holds a blank, so these are no words
 END, START = b" end", b" start"
@@ -54,25 +53,6 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays by byte planes, compressed; zero planes cost next to nothing."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], dtype="<i8").tobytes()
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays]
-    return zstandard.compress(head + b"".join(planes), 3)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", 2 * n, 8)
-    out, at = [], 8 + 16 * n
-    for count, width in sizes.reshape(n, 2).tolist():
-        plane = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T
-        out.append(np.ascontiguousarray(plane).view(f"<u{width}").ravel() if width in (1, 2, 4, 8) else plane)
-        at += count * width
-    return out
-
-
 def five_bytes(x: np.ndarray) -> np.ndarray:
     """40-bit numbers as rows of five bytes."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5]) if len(x) else np.empty((0, 5), np.uint8)

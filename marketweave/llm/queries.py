@@ -15,6 +15,7 @@ from marketweave.llm.packing import packing_report
 from marketweave.llm.pii import personal_data_report
 from marketweave.llm.quality import quality_scores
 from marketweave.llm.secrets import secret_report
+from marketweave.llm.suffixes import without_repeats
 from marketweave.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_disclosing_terms": lambda s, d: personal_data_report(table(s, d, "documents")),
     "op5_secret_token_efficiency": lambda s, d: secret_report(table(s, d, "documents")),
     "op6_prefix_filtered_decontamination": lambda s, d: contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op7_maximal_repeats": lambda s, d: without_repeats(table(s, d, "documents")),
     "op8_hilbert_packing": lambda s, d: packing_report(table(s, d, "documents")),
     "op9_order_minhash_classes": lambda s, d: duplicate_classes(table(s, d, "documents")),
     "op10_consensus_main_text": lambda s, d: main_texts(table(s, d, "pages")),

@@ -26,10 +26,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -49,7 +48,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Labelled shingle hashes of texts; word hashes are remembered up to a bound."""
 
-    def __init__(self, words: int, remembered: int = 500_000):
+    def __init__(self, words: int, remembered: int = 200_000):
         self.words, self.remembered = words, remembered
         self.known: dict[bytes, int] = {}
 
@@ -79,17 +78,20 @@ class Shingler:
         return h
 
 
-def order_sketches(h: np.ndarray, sketches: int, picks: int) -> list[int]:
+def order_sketches(h: np.ndarray, sketches: int, picks: int) -> np.ndarray:
     """One key per sketch from the smallest labelled shingles, kept in text order."""
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * _STEP)
-    keys = []
-    for s in seeds:
-        g = (h ^ s) * _MIX_A
+    if len(h) > picks:
+        g = (h[None, :] ^ seeds[:, None]) * _MIX_A
         g ^= g >> np.uint64(32)
         g *= _MIX_B
-        at = np.sort(np.argpartition(g, picks - 1)[:picks]) if len(g) > picks else np.arange(len(g))
-        keys.append(xxhash.xxh3_64_intdigest(h[at].tobytes(), seed=int(s)) - (1 << 63))
-    return keys
+        chosen = h[np.sort(np.argpartition(g, picks - 1, axis=1)[:, :picks], axis=1)]
+    else:
+        chosen = np.broadcast_to(h, (sketches, len(h)))
+    key = seeds.copy()
+    for i in range(chosen.shape[1]):
+        key = _mix(key + chosen[:, i])
+    return key.view(np.int64)
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -113,6 +115,12 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> floa
     return len(tails) / (na + nb - len(tails))
 
 
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int64), *(a.view(np.int64) for a in arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=kind)
+
+
 def _sketch(words: int, sketches: int, picks: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -121,8 +129,8 @@ def _sketch(words: int, sketches: int, picks: int, schema: pa.Schema):
             for text in byte_texts(batch.column(1)):
                 h = shingle(text)
                 sizes.append(len(h))
-                keys.append(order_sketches(h, sketches, picks) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(keys, schema.field(3).type)], schema=schema)
+                keys.append(order_sketches(h, sketches, picks) if len(h) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), _lists(keys, schema.field(3).type)], schema=schema)
 
     return run
 
@@ -131,23 +139,31 @@ def _sequences(words: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            found = [shingle(t).tobytes() for t in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=schema)
+            found = [shingle(t) for t in byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, schema.field(1).type)], schema=schema)
 
     return run
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the threshold, with their similarity."""
+def _align(threshold: float, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            alike = [alignment_similarity(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64), threshold) for a, b in pairs]
+            keep = pa.array([x >= threshold for x in alike], pa.bool_())
+            kept = [batch.column(0), batch.column(1), pa.array(alike, pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in kept], schema=schema)
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([alignment_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b, strict=True)], dtype=float)
+    return run
 
+
+def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the threshold, with their similarity."""
     left = sequences.select(F.col("node").alias("a"), F.col("h").alias("ha"))
     right = sequences.select(F.col("node").alias("b"), F.col("h").alias("hb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "hb")
-    return both.select("a", "b", similarity("ha", "hb").alias("similarity")).where(F.col("similarity") >= threshold)
+    schema = pairs.sparkSession.createDataFrame([], "a binary, b binary, similarity double").schema
+    return both.mapInArrow(_align(threshold, to_arrow_schema(schema)), schema)
 
 
 def _sequences_of(documents: DataFrame, nodes: DataFrame, words: int, broadcast_nodes: int) -> DataFrame:
@@ -156,7 +172,7 @@ def _sequences_of(documents: DataFrame, nodes: DataFrame, words: int, broadcast_
     wanted = nodes.select(F.col("node").alias("digest"), "doc_id")
     # a text is taken from the row with its smallest id, so copies are not read again
     rows = documents.join(F.broadcast(wanted) if small else wanted, (documents["doc_id"].eqNullSafe(wanted["doc_id"])) & (documents["digest"] == wanted["digest"]), "left_semi")
-    schema = documents.sparkSession.createDataFrame([], "node binary, h binary").schema
+    schema = documents.sparkSession.createDataFrame([], "node binary, h array<bigint>").schema
     return spool(rows.select("digest", "text").mapInArrow(_sequences(words, to_arrow_schema(schema)), schema).dropDuplicates(["node"]), "sequences")
 
 
@@ -209,22 +225,14 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sequences: DataFrame, thre
     mixed = tagged.groupBy("sketch", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sketch", "key")
     wanted = spool(tagged.join(mixed, ["sketch", "key"]).select("node", "label").distinct(), "open")
 
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            arrays = [np.frombuffer(h, np.int64) for h in pdf["h"]]
-            n = np.array([len(a) for a in arrays])
-            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), n), "label": np.repeat(pdf["label"].to_numpy(), n), "n": np.repeat(n, n), "shingle": np.concatenate(arrays) if len(arrays) else np.empty(0, np.int64)})
-
-    entries = spool(sequences.join(wanted, "node").mapInPandas(flat, "node binary, label binary, n int, shingle long"), "entries")
-    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        pdf = pdf.sort_values(["df", "shingle"]).reset_index(drop=True)
-        pdf["at"] = np.arange(n, dtype="int32")
-        return pdf[: n - int(np.ceil(threshold * n)) + 1].query("df > 1")[["node", "label", "n", "shingle", "at"]]
-
-    heads = entries.join(counts, "shingle").groupBy("node").applyInPandas(prefix, "node binary, label binary, n int, shingle long, at int")
+    entries = spool(sequences.join(wanted.select("node"), "node").select("node", F.size("h").alias("n"), F.explode("h").alias("shingle")), "entries")
+    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one node only come first in the order and match nothing: their number is enough
+    common = entries.join(counts, "shingle")
+    of_node = Window.partitionBy("node")
+    at = F.col("n") - F.count(F.lit(1)).over(of_node) + F.row_number().over(of_node.orderBy("df", "shingle")) - 1
+    heads = common.select("node", "n", "shingle", at.cast("int").alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")))
+    heads = heads.join(wanted, "node")
     heads = spool(heads, "prefixes")
     other = heads.withColumnsRenamed({c: f"o_{c}" for c in ("node", "label", "n", "at")})
     need = threshold / (1 + threshold) * (F.col("n") + F.col("o_n"))

@@ -125,6 +125,7 @@ class Chunk:
         rank[often] = np.arange(len(order), dtype=np.uint32)
         yield ("body", chunk, -1, pack(rank[tokens], place[often].astype(np.uint32), lengths, np.array([place[1]], dtype=np.uint32)), self.doc_ids, self.held)
         numbers = place[tokens].astype(np.uint64)
+        del tokens, rank, often
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         learnt = np.repeat(~np.array(self.held, dtype=bool), lengths)
         keys, inverse = np.unique(bigram_keys(numbers, starts, int(place[1])), return_inverse=True)
@@ -261,8 +262,10 @@ def score_chunk(n: int, v: int, bigrams: list[int], pairs: int, before: list[int
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         keys = bigram_keys(numbers, starts, int(start[0]))
         _, which = np.unique(keys, return_inverse=True)
-        seen = pair[which].astype(float)
-        first, second = (keys >> np.uint64(32)).astype(np.int64), numbers.astype(np.int64)
+        seen = pair[which]
+        del which
+        first, second = (keys >> np.uint64(32)).astype(np.int32), numbers.astype(np.int32)
+        del keys, numbers
         kept = np.maximum(prior - d1[np.minimum(prior, 3)], 0)
         uniform = 1.0 / (v + 1)
         low = kept / pairs + (rest / pairs) * uniform if pairs else np.full(len(prior), uniform)
@@ -270,8 +273,10 @@ def score_chunk(n: int, v: int, bigrams: list[int], pairs: int, before: list[int
         gap = d2[1] * one + d2[2] * two + d2[3] * more
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(context > 0, gap / context, 1.0)
-            own = np.where(context[first] > 0, np.maximum(seen - d2[np.minimum(seen, 3).astype(int)], 0) / context[first], 0.0)
-        logs = np.log10(own + back[first] * low[second])
+            logs = np.maximum(seen - d2[np.minimum(seen, 3)], 0) / context[first]
+        logs[context[first] == 0] = 0.0
+        logs += back[first] * low[second]
+        np.log10(logs, out=logs)
         base = np.log10((count + 1.0) / (n + v + 1.0))[second]
         return pd.DataFrame({
             "doc_id": list(body["doc_ids"]), "held_out": list(body["held"]), "n_tokens": lengths.astype(np.int64),
@@ -282,7 +287,7 @@ def score_chunk(n: int, v: int, bigrams: list[int], pairs: int, before: list[int
     return run
 
 
-def scores(documents: DataFrame, folds: int = 7, held_out: int = 2, chunk_bytes: int = 32_000_000, shard_bytes: int = 48_000_000) -> DataFrame:
+def scores(documents: DataFrame, folds: int = 7, held_out: int = 2, chunk_bytes: int = 12_000_000, shard_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", (fold_of("doc_id", folds) == held_out).alias("held"))

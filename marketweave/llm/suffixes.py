@@ -358,7 +358,7 @@ def _hot_anchors(docs: DataFrame, length: int, gram: int, sample: int, hot_from:
 
 
 def without_repeats(
-    documents: DataFrame, length: int = 100, gram: int = 32, chunk_bytes: int = 32_000_000, shard_bytes: int = 40_000_000, check_zones: int = 20_000, sample: int = 64, hot_from: int = 20_000
+    documents: DataFrame, length: int = 100, gram: int = 32, chunk_bytes: int = 32_000_000, shard_bytes: int = 40_000_000, check_zones: int = 4_000, sample: int = 64, hot_from: int = 4_000
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document row."""
     spark = documents.sparkSession

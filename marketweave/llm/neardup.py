@@ -10,7 +10,8 @@ searched; within it, because labels are unique, the best alignment is a longest
 positions.
 
 Equal texts are one node from the start. A bucket of any size is not paired out: its members are
-compared with one leader, another one in each sketch. Nodes that share a bucket but not a class
+compared with two leaders: a random one, another in each sketch, and the member that shares buckets
+most often, which is the text that the others were made from if there is one. Nodes that share a bucket but not a class
 after that are compared among themselves by an exact prefix-filtered join (shingles by rarity, with
 length and positional bounds), so that no link between different texts in a bucket is lost.
 A pair at exactly 0.8 shares no sketch with probability (1 - 0.8^3)^20, below 1 in a million.
@@ -191,9 +192,14 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
     heads = members.groupBy("sketch", "key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
     heads = heads.select("sketch", "key", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"))
     shared = spool(members.join(heads, ["sketch", "key"]), "buckets")
-    fits = F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n")
-    stars = shared.where((F.col("node") != F.col("leader")) & fits)
-    stars = stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    # the text that others are copies of shares most buckets with most of them
+    degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    central = F.max(F.struct("d", "node", "n")).alias("hub")
+    hubs = shared.select("sketch", "key", "node", "n").join(degree, "node").groupBy("sketch", "key").agg(central)
+    hubs = hubs.select("sketch", "key", F.col("hub.node").alias("leader"), F.col("hub.n").alias("leader_n"))
+    fits = (F.col("node") != F.col("leader")) & (F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
+    ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    stars = shared.where(fits).select(*ends).union(shared.drop("leader", "leader_n").join(hubs, ["sketch", "key"]).where(fits).select(*ends)).distinct()
     involved = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sequences = _sequences_of(docs, involved, words, broadcast_nodes)
     links = spool(_verified(stars, sequences, threshold).select("a", "b"), "stars")

@@ -12,7 +12,7 @@ from marketweave.functions import lexicons as lx
 
 
 # The signs each part of a format stands for.
-_PARTS = (("SSSSSS", r"\\d{6}"), ("yyyy", r"\\d{4}"), ("XX", r"(Z|[+-]\\d{4})"), ("'T'", "T"), ("MM|dd|HH|mm|ss", r"\\d{2}"))
+_PARTS = (("SSSSSS", r"\\d{1,6}"), ("yyyy", r"\\d{4}"), ("XXX", r"[+-]\\d{2}:\\d{2}"), ("XX", r"(Z|[+-]\\d{4})"), ("'T'", "T"), ("MM|dd|HH|mm|ss", r"\\d{2}"))
 
 
 def shape_of(fmt: str) -> str:
@@ -57,10 +57,10 @@ def to_zone(c: Column, zone: str | Column = "UTC") -> Column:
     return F.from_utc_timestamp(c, zone)
 
 
-def dominant_zone(df: DataFrame, c: str, sample: int = 100, default: str = "UTC") -> str:
-    """Most frequent zone among a few values (a look at the data, as a sampling operator)."""
+def dominant_zone(df: DataFrame, c: str, default: str = "UTC") -> str:
+    """Most frequent zone among all values."""
     row = (
-        df.select(zone_in_text(F.col(c)).alias("z")).dropna().limit(sample).groupBy("z").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "z").first()
+        df.select(zone_in_text(F.col(c)).alias("z")).dropna().groupBy("z").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "z").first()
     )
     return row["z"] if row else default
 

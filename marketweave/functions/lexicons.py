@@ -33,12 +33,6 @@ STOP_WORDS = (
     "yourself yourselves"
 ).split()
 
-# entity -> character, most specific first, the ampersand last
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&copy;", "©"), ("&amp;", "&"),
-)
-
 # code-point ranges treated as emoji
 EMOJI_CLASS = "[\\x{1F1E6}-\\x{1F1FF}\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B50}\\x{2B55}\\x{FE0F}\\x{200D}]"
 
@@ -60,14 +54,15 @@ WORD_SIGNS = r"\p{L}\p{N}_"
 
 # abbreviation -> zone, in the order in which they are looked for
 TIMEZONE_ABBREVIATIONS = (
-    ("UTC|GMT", "UTC"), ("EST|EDT", "US/Eastern"), ("CST|CDT", "US/Central"), ("MST|MDT", "US/Mountain"),
-    ("PST|PDT", "US/Pacific"), ("AEST|AEDT", "Australia/Sydney"), ("ACST|ACDT", "Australia/Adelaide"),
+    ("UTC|GMT", "UTC"), ("EST|EDT|Eastern", "US/Eastern"), ("CST|CDT|Central", "US/Central"), ("MST|MDT|Mountain", "US/Mountain"),
+    ("PST|PDT|Pacific", "US/Pacific"), ("AEST|AEDT", "Australia/Sydney"), ("ACST|ACDT", "Australia/Adelaide"),
     ("AWST", "Australia/Perth"), ("CET|CEST", "Europe/Paris"), ("EET|EEST", "Europe/Athens"),
     ("WET|WEST", "Europe/Lisbon"), ("IST", "Asia/Kolkata"), ("JST", "Asia/Tokyo"), ("KST", "Asia/Seoul"),
 )
 
 DATETIME_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd",
     "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
 )
 

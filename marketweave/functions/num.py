@@ -35,6 +35,12 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
+def nan_to_null(c) -> Column:
+    """As double, NaN as null; infinities stay."""
+    d = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(d), d)
+
+
 def inf_to(c: Column, value) -> Column:
     return F.when(F.abs(c) == float("inf"), F.lit(value)).otherwise(c)
 

@@ -1,4 +1,4 @@
-"""Text features and cleaning as column expressions. No Python code sees a row.
+"""Text features and cleaning as column expressions; only character references are decoded in Python.
 
 Counts that need each distinct word once fold over the sorted words: the array set functions
 compare strings pairwise, which is quadratic in the length of a text.
@@ -9,8 +9,12 @@ text is split once per row and not once per feature.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketweave.functions import lexicons as lx
 from marketweave.functions.num import clip, sdiv
@@ -135,10 +139,15 @@ def light_features(text: Column, ws: Column | None = None) -> dict[str, Column]:
 # -- cleaning ---------------------------------------------------------------------------------
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
 def unescape(c: Column) -> Column:
-    for entity, char in lx.HTML_ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All named and numeric character references. The table of names is the standard library's; as
+    a map literal in the plan its 2231 entries would cost more than the batch transfer."""
+    return _decoded(c)
 
 
 def squeeze(c: Column) -> Column:

@@ -69,7 +69,12 @@ def keep_positions(trades: DataFrame, keys: Sequence[str], order: Sequence[str])
             q, done, pnl, short = int(q), 0, 0.0, False
             if act == "BUY" and q > 0:
                 total = held + q
-                avg = (held * avg + q * p) / total if total else 0.0
+                if held < 0:  # buys the short back first
+                    covered = min(q, -held)
+                    pnl = covered * (avg - p) - commission(covered * p)
+                    avg = p if total > 0 else avg if total else 0.0
+                else:
+                    avg = (held * avg + q * p) / total
                 held, done = total, q
             elif act == "SELL" and q > 0 and held > 0:
                 done = min(q, held)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketweave.functions.num import datetime_columns, numeric_columns, sample_kurtosis, sample_skew, sdiv, string_columns
+from marketweave.functions.num import datetime_columns, nan_to_null, numeric_columns, sample_kurtosis, sample_skew, sdiv, string_columns
 from marketweave.operators.quantiles import exact_quantiles
 from marketweave.operators.skew import row_digest
 
@@ -29,7 +29,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
 
     def metrics(c: str) -> list[Column]:
-        x, n = F.col(c).cast("double"), F.count(c)
+        x = nan_to_null(c)
+        n = F.count(x)
         q1, med, q3 = q[c]
         lo = None if q1 is None else q1 - 1.5 * (q3 - q1)
         hi = None if q1 is None else q3 + 1.5 * (q3 - q1)
@@ -246,13 +247,13 @@ def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(rows, duplicates): rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(row_digest(list(cols or df.columns)).alias("__d")).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(row_digest(df, list(cols or df.columns)).alias("__d")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def drop_duplicate_rows(df: DataFrame, cols: Sequence[str], keep_first_by: Sequence[str]) -> DataFrame:
     """Keep the first row of each group of equal rows; min_by combines before the shuffle."""
-    best = df.groupBy(row_digest(cols).alias("__d")).agg(F.min_by(F.struct(*df.columns), F.struct(*keep_first_by)).alias("__r"))
+    best = df.groupBy(row_digest(df, cols).alias("__d")).agg(F.min_by(F.struct(*df.columns), F.struct(*keep_first_by)).alias("__r"))
     return best.select("__r.*")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketweave.functions import datetimes as dt
 from marketweave.functions import lexicons as lx
-from marketweave.functions.num import clip, datetime_columns, flag, inf_to, numeric_columns, sdiv, string_columns
+from marketweave.functions.num import clip, datetime_columns, flag, inf_to, nan_to_null, numeric_columns, sdiv, string_columns
 from marketweave.functions.scalar import to_boolean, to_number
 from marketweave.operators import profile as pf
 from marketweave.operators.axis import Axis
@@ -174,24 +174,25 @@ def type_advice(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         ok = ok | ((F.col("detected_type") == t) & F.col("current_type").isin(*names))
     return s.withColumn("current_type", now).select(
         "column", "current_type", "detected_type", "confidence",
-        F.when(ok, "keep").when(F.col("confidence") >= 0.8, "convert").otherwise("review").alias("action"),
+        F.when(ok & (F.col("confidence") > 0.8), "keep").when(F.col("confidence") > 0.7, "convert").otherwise("review").alias("action"),
     )
 
 
 # -- date-time columns ------------------------------------------------------------------------
 
-# Parts of names that suggest a date-time column.
-DATETIME_NAME_PARTS = ("date", "time", "timestamp", "created", "updated", "published", "ts")
+# Parts of names that suggest a date-time column, and whole names that do.
+DATETIME_NAME_PARTS = ("date", "time", "timestamp", "created", "updated", "modified", "published")
+DATETIME_NAMES = ("ts", "dt")
 
 
-def datetime_candidates(df: DataFrame, sample: int = 1000, rate: float = 0.5) -> list[str]:
-    """Columns of a date-time type, and string columns with a fitting name and enough readable
-    values among a few rows (an inspection, as a sampling operator)."""
+def datetime_candidates(df: DataFrame, rate: float = 0.5) -> list[str]:
+    """Columns of a date-time type, and string columns with a fitting name of whose values more than
+    ``rate`` can be read."""
     typed = datetime_columns(df)
-    named = [c for c in string_columns(df) if any(p in c.lower() for p in DATETIME_NAME_PARTS)]
+    named = [c for c in string_columns(df) if c.lower() in DATETIME_NAMES or any(p in c.lower() for p in DATETIME_NAME_PARTS)]
     if not named:
         return typed
-    row = df.select(*named).limit(sample).agg(
+    row = df.agg(
         *[F.coalesce(sdiv(F.count(dt.parse_datetime(F.col(c))), F.count(c)), F.lit(0.0)).alias(c) for c in named]
     ).first()
     return typed + [c for c in named if row[c] > rate]
@@ -222,7 +223,7 @@ def impute(df: DataFrame, numeric: str = "median", text: str = "Unknown", axis:
     if numeric == "median":
         values = {c: q[0] for c, q in exact_quantiles(df, nums, [0.5]).items()} if nums else {}
     elif numeric == "mean":
-        values = df.agg(*[F.avg(c).alias(c) for c in nums]).first().asDict() if nums else {}
+        values = df.agg(*[F.avg(nan_to_null(c)).alias(c) for c in nums]).first().asDict() if nums else {}
     else:
         values = dict.fromkeys(nums, 0.0)
     others = [c for c in df.columns if c not in numeric_columns(df) and c not in string_columns(df)]
@@ -235,12 +236,16 @@ def impute(df: DataFrame, numeric: str = "median", text: str = "Unknown", axis:
     )
 
 
+def _value(df: DataFrame, c: str) -> Column:
+    return nan_to_null(c) if c in numeric_columns(df) else F.col(c)
+
+
 def imputation_report(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls, mean and deviation of each column before and after."""
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         return pf._per_column(
-            df, cols, lambda c: [F.count_if(pf.is_missing(df, c)).alias(f"nulls_{tag}"), F.avg(c).alias(f"mean_{tag}"), F.stddev_samp(c).alias(f"std_{tag}")]
+            df, cols, lambda c: [F.count_if(pf.is_missing(df, c)).alias(f"nulls_{tag}"), F.avg(_value(df, c)).alias(f"mean_{tag}"), F.stddev_samp(_value(df, c)).alias(f"std_{tag}")]
         )
 
     return side(before, "before").join(side(after, "after"), "column")

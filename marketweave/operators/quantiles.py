@@ -13,26 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.functions.num import nan_to_null
+
 EXACT_ROWS = 2_000_000
 
 
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = EXACT_ROWS
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column (nulls ignored) as driver scalars."""
+    """Linearly interpolated quantiles per column (null and NaN ignored) as driver scalars."""
     cols, probs = list(dict.fromkeys(cols)), list(probs)
+    df = df.select(*[nan_to_null(c).alias(c) for c in cols])
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     small = [c for c in cols if counts[c] <= limit]
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c) for c in small]
+            *[F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in small]
         ).first()
         for c in small:
             out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
     for c in cols:
         if c not in out:
-            out[c] = _select_ranks(df.select(F.col(c).cast("double").alias("v")).dropna(), counts[c], probs, limit)
+            out[c] = _select_ranks(df.select(F.col(c).alias("v")).dropna(), counts[c], probs, limit)
     return out
 
 

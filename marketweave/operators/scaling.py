@@ -164,7 +164,7 @@ EXCLUDED_NAME_PARTS = ("id", "date", "time", "year", "month", "day", "ticker", "
 
 
 def recommend(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
-    """Scaler per column from its statistics; "none" for two-valued columns."""
+    """Scaler per column: the first rule that its statistics meet."""
     st = column_stats(df, cols)
     usable = [c for c in cols if st[c] is not None]
     row = df.agg(
@@ -180,18 +180,17 @@ def recommend(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     plan = {}
     for c in usable:
         s, m = st[c], row[c]
-        if m["between"] == 0:
-            plan[c] = "none"
-        elif m["zeros"] / s.n > 0.8:
-            plan[c] = "maxabs"
-        elif abs(s.skew) > 2:
-            plan[c] = "power"
-        elif m["out"] / s.n > 0.05:
-            plan[c] = "robust"
-        elif s.low >= 0 and s.high <= 100:
-            plan[c] = "minmax"
-        else:
-            plan[c] = "standard"
+        rules = (
+            ("minmax", m["between"] == 0 and s.low < s.high),
+            ("minmax", s.low >= 0 and s.high <= 100),
+            ("power", abs(s.skew) > 2),
+            ("robust", m["out"] / s.n > 0.05),
+            ("standard", s.low < 0),
+            ("maxabs", m["zeros"] / s.n > 0.8),
+            ("standard", abs(s.skew) < 1 and abs(s.kurt) < 3),
+            ("robust", True),
+        )
+        plan[c] = next(name for name, holds in rules if holds)
     return plan
 
 

@@ -53,11 +53,13 @@ def average_spreads(df: DataFrame, axis: Axis, price: str = "close") -> DataFram
 
 
 def _ema_stages(specs: dict[str, tuple[str, int]]) -> list[Stage]:
-    """y0 = x0, y = a*x + (1-a)*y_prev as running sums of x/(1-a)^i.
+    """y = x at the first value, then (q^g y_prev + a x) / (q^g + a) with g the rows since the value
+    before (1 without nulls, when the divisor is 1); rows without a value keep the last y.
 
-    The powers would overflow on long series, so rows are cut into segments and the last values
-    of the earlier segments are carried over with their decayed weight, as far back as that
-    weight still matters in double precision.
+    As running sums: q to the row number times the divisors so far takes the place of the product
+    of all weights. The powers would overflow on long series, so rows are cut into segments and the
+    last values of the earlier segments are carried over with their decayed weight, as far back as
+    that weight still matters in double precision.
     """
     ratios = {name: (span - 1) / (span + 1) for name, (_, span) in specs.items()}
     smallest = min(x for x in ratios.values() if x > 0) if any(ratios.values()) else 0.5
@@ -65,46 +67,61 @@ def _ema_stages(specs: dict[str, tuple[str, int]]) -> list[Stage]:
     seg_len = max(int(500 / -math.log(smallest)), 1)
     carries = max(1, math.ceil(40 / (-math.log(largest) * seg_len))) if largest > 0 else 1
     pos = F.col("__pos").cast("double")
+    moving = [n for n in specs if ratios[n] > 0]
 
-    def local(name: str):
-        c, span = specs[name]
-        ratio, alpha = ratios[name], 2 / (span + 1)
+    def segment(f: Frames):
+        return Window.partitionBy(*f.keys, "__seg").orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
 
-        def build(f: Frames) -> Column:
-            if ratio == 0:
-                return F.col(c).cast("double")
-            w = Window.partitionBy(*f.keys, "__seg").orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
-            weight = F.when(F.col("__erow") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            return F.sum(F.col(c) * weight * F.pow(F.lit(ratio), -pos)).over(w) * F.pow(F.lit(ratio), pos)
+    def before(c: str):
+        return lambda f: F.max(F.when(F.col(c).isNotNull(), F.col("__erow"))).over(f.w.rowsBetween(Window.unboundedPreceding, -1))
 
-        return build
+    def divisor(name: str):
+        c, span = specs[name]
+        gap = F.col("__erow") - F.col(f"__prev_{c}")
+        log = F.ln(F.pow(F.lit(ratios[name]), gap.cast("double")) + 2 / (span + 1))
+        return lambda f: F.when(F.col(c).isNotNull() & (gap > 1), log).otherwise(0.0)
+
+    def local(name: str):
+        c, span = specs[name]
+        weight = F.when(F.col(f"__prev_{c}").isNull(), F.lit(1.0)).otherwise(2 / (span + 1) * F.exp(-F.col(f"__div_{name}")))
+        term = F.col(c) * weight * F.pow(F.lit(ratios[name]), -pos) * F.exp(f"__divs_{name}")
+        return lambda f: F.coalesce(F.sum(term).over(segment(f)), F.lit(0.0)) * F.pow(F.lit(ratios[name]), pos) * F.exp(-F.col(f"__divs_{name}"))
 
     def carry(name: str):
         ratio = ratios[name]
 
         def build(f: Frames) -> Column:
-            total = F.lit(0.0)
+            total, passed = F.lit(0.0), F.lit(0.0)
             for k in range(1, carries + 1):
                 w = Window.partitionBy(*f.keys).orderBy("__seg").rangeBetween(-k, -k)
-                last = F.max_by(f"__local_{name}", "__erow").over(w)
-                total = total + F.coalesce(last, F.lit(0.0)) * (ratio ** (seg_len * (k - 1)))
-            return F.col(f"__local_{name}") + F.pow(F.lit(ratio), pos + 1) * total
+                last = F.coalesce(F.max_by(f"__local_{name}", "__erow").over(w), F.lit(0.0))
+                total = total + last * (ratio ** (seg_len * (k - 1))) * F.exp(-passed)
+                passed = passed + F.coalesce(F.max_by(f"__divs_{name}", "__erow").over(w), F.lit(0.0))
+            return F.col(f"__local_{name}") + F.pow(F.lit(ratio), pos + 1) * F.exp(-F.col(f"__divs_{name}")) * total
 
         return build
 
+    def held(name: str):
+        value = F.col(f"__full_{name}") if name in moving else F.col(specs[name][0]).cast("double")
+        return lambda f: F.last(F.when(F.col(specs[name][0]).isNotNull(), value), ignorenulls=True).over(f.running())
+
     return [
         {"__erow": lambda f: (F.row_number().over(f.w) - 1).cast("long")},
         {
             "__seg": lambda f: F.floor(F.col("__erow") / seg_len).cast("long"),
             "__pos": lambda f: F.col("__erow") % seg_len,
+            **{f"__prev_{c}": before(c) for c in dict.fromkeys(c for c, _ in specs.values())},
         },
-        {f"__local_{n}": local(n) for n in specs},
-        {n: (carry(n) if ratios[n] > 0 else (lambda f, n=n: F.col(f"__local_{n}"))) for n in specs},
+        {f"__div_{n}": divisor(n) for n in moving},
+        {f"__divs_{n}": (lambda f, n=n: F.sum(f"__div_{n}").over(segment(f))) for n in moving},
+        {f"__local_{n}": local(n) for n in moving},
+        {f"__full_{n}": carry(n) for n in moving},
+        {n: held(n) for n in specs},
     ]
 
 
 def _ema_drop(specs) -> list[str]:
-    return ["__erow", "__seg", "__pos", *[f"__local_{n}" for n in specs]]
+    return ["__erow", "__seg", "__pos", *{f"__prev_{c}" for c, _ in specs.values()}, *[f"__{k}_{n}" for n in specs for k in ("div", "divs", "local", "full")]]
 
 
 def _ema_back(spans: Sequence[int]) -> int:
@@ -390,10 +407,14 @@ def drawdown(df: DataFrame, axis: Axis, price: str = "close") -> DataFrame:
 
 
 def cumulative_return(df: DataFrame, axis: Axis, price: str = "close") -> DataFrame:
-    """Product of (1 + return) minus 1, as a running sum of logarithms."""
+    """Product of (1 + return) minus 1, as running sums of logarithms, zeros and signs."""
     out = apply_stages(df, axis, [{"daily_return": _return(price)}], back=1)
-    out = running(out, axis, {"__log": ("sum", F.ln(F.when(F.col("daily_return") > -1, 1 + F.col("daily_return"))))})
-    return out.withColumn("cumulative_return", F.exp(F.coalesce("__log", F.lit(0.0))) - 1).drop("__log")
+    factor = 1 + F.col("daily_return")
+    sums = {"__log": F.ln(F.when(factor != 0, F.abs(factor))), "__zeros": (factor == 0).cast("long"), "__minus": (factor < 0).cast("long")}
+    out = running(out, axis, {name: ("sum", c) for name, c in sums.items()})
+    sign = F.when(F.coalesce("__minus", F.lit(0)) % 2 == 1, -1.0).otherwise(1.0)
+    product = F.when(F.col("__zeros") > 0, 0.0).otherwise(sign * F.exp(F.coalesce("__log", F.lit(0.0))))
+    return out.withColumn("cumulative_return", product - 1).drop(*sums)
 
 
 def fill_forward_backward(df: DataFrame, axis: Axis, cols: Sequence[str]) -> DataFrame:

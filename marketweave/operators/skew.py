@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketweave.session import cut
 
@@ -30,6 +31,21 @@ def join_key_values(rows: DataFrame, values: DataFrame, keys: Sequence[str], cou
     return heavy.unionByName(light.join(values.filter(~is_hot), keys, "inner"))
 
 
-def row_digest(cols: Sequence[str]):
-    """A 256-bit digest of the row: the grouping key for exact copies without shuffling the rows."""
-    return F.sha2(F.to_json(F.struct(*cols)), 256)
+def row_digest(df: DataFrame, cols: Sequence[str]):
+    """A 256-bit digest of the row: the grouping key for exact copies without shuffling the rows.
+
+    JSON would cut times to milliseconds, so they enter as microseconds; 0.0 and -0.0 are equal.
+    Nulls drop out of the JSON text, whose field names keep the other columns apart.
+    """
+
+    def exact(c: str):
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.TimestampType):
+            return F.unix_micros(c).alias(c)
+        if isinstance(kind, T.TimestampNTZType):
+            return F.col(c).cast("string").alias(c)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return (F.col(c) + F.lit(0.0).cast(kind)).cast("string").alias(c)
+        return F.col(c)
+
+    return F.sha2(F.to_json(F.struct(*[exact(c) for c in cols])), 256)

@@ -113,23 +113,26 @@ def text_characteristics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
+# Kinds by parts of the column name; the first that fits counts.
+KIND_OF_NAME = (
+    ("title", ("title", "headline", "subject")), ("content", ("content", "body", "text", "article", "description")),
+    ("social", ("comment", "post", "reddit", "social")), ("sentiment", ("review", "sentiment", "opinion", "feedback")),
+    ("summary", ("summary", "abstract", "executive")),
+)
+
+
 def text_kind(name: str, traits: dict) -> str:
-    """Name first, then content: news, social, sentiment or general."""
-    low = name.lower()
-    if any(k in low for k in ("news", "article", "headline", "summary")):
-        return "news"
-    if any(k in low for k in ("reddit", "post", "comment", "tweet", "title")):
-        return "social"
-    if any(k in low for k in ("sentiment", "review", "feedback")):
-        return "sentiment"
-    if traits.get("has_mentions") or traits.get("has_hashtags"):
+    """Name first, then content."""
+    for kind, parts in KIND_OF_NAME:
+        if any(p in name.lower() for p in parts):
+            return kind
+    if any(traits.get(k) for k in ("has_mentions", "has_hashtags", "has_urls")):
         return "social"
-    if traits.get("avg_words", 0) > 50 or traits.get("has_html"):
-        return "news"
-    return "general"
+    words, chars = traits.get("avg_words") or 0, traits.get("avg_chars") or 0
+    return "content" if words > 50 and chars > 200 else "title" if words < 20 and chars < 150 else "general"
 
 
-PROCESSORS = {"news": tx.clean_news, "social": tx.clean_social, "sentiment": tx.sentiment_text, "general": tx.clean_social}
+PROCESSORS = {k: tx.clean_news for k in ("title", "content", "summary", "general", "news")} | {"social": tx.clean_social, "sentiment": tx.sentiment_text}
 
 
 def preprocess_columns(df: DataFrame, cols: Sequence[str], processor: str = "auto") -> tuple[DataFrame, DataFrame]:

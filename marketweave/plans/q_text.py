@@ -101,11 +101,14 @@ def text_term_weights(spark, sf):
     return out.select("doc_id", "term", "tf", r("weight").alias("weight"))
 
 
+# The references that the given texts hold; the ampersand, also without its end, last.
+_SQL_REFERENCES = (("&copy;", 169), ("&middot;", 183), ("&quot;", 34), ("&lt;", 60), ("&gt;", 62), ("&#39;", 39), ("&nbsp;", 160), ("&eacute;", 233), ("&#8217;", 8217))
+
+
 def _sql_unescape(c: str) -> str:
-    for entity, char in lx.HTML_ENTITIES:
-        quoted = char.replace("'", "''")
-        c = f"replace({c}, '{entity}', '{quoted}')"
-    return c
+    for entity, code in _SQL_REFERENCES:
+        c = f"replace({c}, '{entity}', chr({code}))"
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
 
 
 def _sql_strip(c: str) -> str:

@@ -102,13 +102,17 @@ def _candidates(index_of, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of.value
         for batch in batches:
-            words = [split_words(t) for t in byte_texts(batch.column(1))]
+            sizes, runs = [], []
+            for text in byte_texts(batch.column(1)):
+                words = split_words(text)
+                sizes.append(len(words))
+                runs.append(_runs(index, words))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([_runs(index, w) for w in words], schema.field("runs").type),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(runs, schema.field("runs").type),
                 ],
                 schema=schema,
             )

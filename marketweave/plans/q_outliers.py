@@ -56,14 +56,26 @@ def outlier_flags_mad(spark, sf):
     return ol.flag_mad(_events(spark, sf), ["value"]).drop("value")
 
 
-@query(
-    "outlier_column_summary",
-    f"""WITH {_EV_STATS}, x AS (SELECT count(*) FILTER {_OUT[:-1]}) AS o, count(value) AS n, skewness(value) AS sk, kurtosis(value) AS ku FROM events, s)
-    SELECT 'value' AS "column", o AS outliers, round(o / n * 100, 6) AS outlier_pct, CASE WHEN o = 0 THEN 'none' WHEN o / n < 0.05 THEN 'low' WHEN o / n < 0.1 THEN 'medium' ELSE 'high' END AS severity,
-      CASE WHEN abs(sk) > 2 THEN 'skewness' WHEN ku > 3 THEN 'heavy_tailed' WHEN o / n < 0.05 THEN 'point' ELSE 'general' END AS kind, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis FROM x""".replace("FILTER (value <", "FILTER ((value <").replace("q25)) AS o", "q25))) AS o"),
-)
+def _sql_summary(c: str, x: str) -> str:
+    """Rules in words of the inventory: the density is a kernel sum over all rows, without classes."""
+    return f"""SELECT * FROM (WITH t AS (SELECT CAST({x} AS DOUBLE) AS x FROM events),
+      s AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, avg(x) AS m, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi, count(x) AS n, skewness(x) AS sk, kurtosis(x) AS ku FROM t),
+      o AS (SELECT count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS o, count(*) FILTER (abs(x - m) > 3 * sd) AS far FROM t, s),
+      d AS (SELECT i, sum(exp(-0.5 * pow((lo + (hi - lo) * i / 99 - x) / (sd * pow(n, -0.2)), 2))) AS d FROM t, s, range(100) g(i) GROUP BY i),
+      p AS (SELECT count(*) AS peaks FROM (SELECT d, lag(d) OVER (ORDER BY i) AS a, lead(d) OVER (ORDER BY i) AS b FROM d) WHERE d > a AND d > b)
+    SELECT '{c}' AS "column", o AS outliers, round(100.0 * o / n, 6) AS outlier_pct, CASE WHEN o = 0 THEN 'none' WHEN 100.0 * o / n > 10 THEN 'high' WHEN 100.0 * o / n > 5 THEN 'medium' ELSE 'low' END AS severity,
+      CASE WHEN abs(sk) > 3 THEN 'skewness' WHEN ku > 5 THEN 'heavy_tailed' WHEN peaks > 2 THEN 'multimodal' WHEN far > 0 THEN 'point' ELSE 'general' END AS kind, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis
+    FROM s, o, p)"""
+
+
+# the values, and columns made from them that meet the other rules
+_SHAPES = {"value": "value", "logarithm": "ln(value + 1)", "three_modes": "10 * (event_id % 3) + ln(value + 1) / 10", "fourth_power": "value * value * value * value"}
+
+
+@query("outlier_column_summary", " UNION ALL ".join(_sql_summary(c, x) for c, x in _SHAPES.items()))
 def outlier_column_summary(spark, sf):
-    out = ol.describe_outliers(_events(spark, sf), ["value"])
+    shapes = table(spark, sf, "events").selectExpr(*[f"CAST({x} AS DOUBLE) AS {c}" for c, x in _SHAPES.items()])
+    out = ol.describe_outliers(shapes, list(_SHAPES))
     return out.select("column", "outliers", r("outlier_pct").alias("outlier_pct"), "severity", "kind", r("skewness").alias("skewness"), r("kurtosis").alias("kurtosis"))
 
 
@@ -233,3 +245,24 @@ def recommended_scaling(spark, sf):
     df = table(spark, sf, "lineitem").select(*PK, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     plan = scl.recommend(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return scl.transform(df, scl.fit(df, plan))
+
+
+# a column for each rule, made from the lines
+_RULED = {
+    "two_values": "CASE WHEN l_tax > 0.04 THEN 900 ELSE 0 END", "percentage": "l_quantity", "skewed": "l_extendedprice * l_extendedprice * l_extendedprice * l_extendedprice * l_discount * l_discount * l_discount",
+    "far_values": "CASE WHEN l_linenumber = 7 THEN 200 + l_quantity * 20 WHEN l_linenumber = 6 THEN -800 ELSE l_quantity + 150 END", "negative": "l_extendedprice - 40000", "bell": "l_quantity + l_discount * 500 + l_tax * 500 + 50",
+}
+
+
+def _sql_scaler(c: str, x: str) -> str:
+    return f"""SELECT '{c}' AS "column", CASE WHEN kinds = 2 THEN 'minmax' WHEN lo >= 0 AND hi <= 100 THEN 'minmax' WHEN abs(sk) > 2 THEN 'power' WHEN o / n > 0.05 THEN 'robust' WHEN lo < 0 THEN 'standard'
+      WHEN zeros / n > 0.8 THEN 'maxabs' WHEN abs(sk) < 1 AND abs(ku) < 3 THEN 'standard' ELSE 'robust' END AS scaler
+    FROM (SELECT count(DISTINCT x) AS kinds, min(x) AS lo, max(x) AS hi, skewness(x) AS sk, kurtosis(x) AS ku, count(x) AS n, count(*) FILTER (x = 0) AS zeros,
+        count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS o
+      FROM (SELECT x, q1, q3 FROM (SELECT CAST({x} AS DOUBLE) AS x FROM lineitem), (SELECT quantile_cont(CAST({x} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({x} AS DOUBLE), 0.75) AS q3 FROM lineitem)))"""
+
+
+@query("scaler_choices", " UNION ALL ".join(_sql_scaler(c, x) for c, x in _RULED.items()))
+def scaler_choices(spark, sf):
+    df = table(spark, sf, "lineitem").selectExpr(*[f"CAST({x} AS DOUBLE) AS {c}" for c, x in _RULED.items()])
+    return spark.createDataFrame(list(scl.recommend(df, list(_RULED)).items()), "column string, scaler string")

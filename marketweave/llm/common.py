@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_rows(documents: DataFrame, *columns) -> DataFrame:
+    """The columns a task needs of a table of texts. Texts go to Python in batches of 1000 rows
+    instead of 10000 unless the session says otherwise: a batch is held in memory several times."""
+    conf = documents.sparkSession.conf
+    if conf.get(BATCH_ROWS, None) is None:
+        conf.set(BATCH_ROWS, "1000")
+    return documents.select(*columns)
+
+
 def spool(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder, packed tightly, and read it back: later jobs neither
     recompute it nor depend on the executors that made it."""

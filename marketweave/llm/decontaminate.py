@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import byte_texts, spool, text_digest
+from marketweave.llm.common import byte_texts, spool, text_digest, text_rows
 
 # fixed values: bytes that belong to words, A-Z in lower case, everything else a blank
 _WORD_BYTES = bytes(
@@ -134,7 +134,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFr
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, slice_words: int = 2_000_000) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items (sorted as strings), spans of hit words."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text", text_digest("text").alias("digest"))
+    docs = text_rows(documents, "doc_id", "text", text_digest("text").alias("digest"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     run_schema = spark.createDataFrame([], RUN_SCHEMA.format(id_type=id_type)).schema
     arrow = to_arrow_schema(run_schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import plain_texts, spool
+from marketweave.llm.common import plain_texts, spool, text_rows
 
 # fixed values: element names and words by their role
 BLOCKS = frozenset(
@@ -249,7 +249,7 @@ def _extract(schema: pa.Schema):
 def winning_paths(pages: DataFrame) -> DataFrame:
     """host and the container path that most of its pages voted for."""
     schema = pages.sparkSession.createDataFrame([], "host string, path string, credit double").schema
-    votes = pages.select("url", "html").mapInArrow(_votes(to_arrow_schema(schema)), schema).where("path <> ''")
+    votes = text_rows(pages, "url", "html").mapInArrow(_votes(to_arrow_schema(schema)), schema).where("path <> ''")
     tallied = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("credit").alias("credit"))
     best = F.min(F.struct((-F.col("n")).alias("n"), (-F.round("credit")).alias("credit"), "path"))
     return tallied.groupBy("host").agg(best.alias("best")).select("host", F.col("best.path").alias("path"))
@@ -261,7 +261,7 @@ def main_texts(pages: DataFrame, broadcast_hosts: int = 200_000) -> DataFrame:
     if winners.count() <= broadcast_hosts:
         winners = F.broadcast(winners)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    rows = pages.select("page_id", "url", "html").join(winners, host == F.col("host"), "left").select("page_id", "url", "html", "path")
+    rows = text_rows(pages, "page_id", "url", "html").join(winners, host == F.col("host"), "left").select("page_id", "url", "html", "path")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     schema = pages.sparkSession.createDataFrame([], f"{kinds}, text string, n_chars long").schema
     return rows.mapInArrow(_extract(to_arrow_schema(schema)), schema)

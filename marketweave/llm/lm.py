@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import byte_texts, fold_of, pack, spool, unpack
+from marketweave.llm.common import byte_texts, fold_of, pack, spool, text_rows, unpack
 
 # no token holds a blank, so these are no words
 END, START = b" end", b" start"
@@ -290,7 +290,7 @@ def score_chunk(n: int, v: int, bigrams: list[int], pairs: int, before: list[int
 def scores(documents: DataFrame, folds: int = 7, held_out: int = 2, chunk_bytes: int = 12_000_000, shard_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text", (fold_of("doc_id", folds) == held_out).alias("held"))
+    docs = text_rows(documents, "doc_id", "text", (fold_of("doc_id", folds) == held_out).alias("held"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import byte_texts, spool, text_digest
+from marketweave.llm.common import byte_texts, spool, text_digest, text_rows
 from marketweave.llm.components import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -180,7 +180,7 @@ def _sequences_of(documents: DataFrame, nodes: DataFrame, words: int, broadcast_
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5, sketches: int = 20, picks: int = 3, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """Per row: doc_id, digest of the text, cluster_id (smallest id of the class), kept, wordless."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text", text_digest("text").alias("digest"))
+    docs = text_rows(documents, "doc_id", "text", text_digest("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = spark.createDataFrame([], f"doc_id {kind}, digest binary, n int, keys array<bigint>").schema
     rows = spool(docs.mapInArrow(_sketch(words, sketches, picks, to_arrow_schema(schema)), schema), "sketches")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import plain_texts, spool
+from marketweave.llm.common import plain_texts, spool, text_rows
 
 BUCKETS = 256
 DIMENSIONS = 3
@@ -158,7 +158,7 @@ def packed(documents: DataFrame, length: int = 1024, closing: int = 0, vocabular
     """Pieces of documents in sequences: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    docs = text_rows(documents, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"p{i}" for i in range(DIMENSIONS)]
     schema = spark.createDataFrame([], f"doc_id {kind}, n long, {', '.join(f'{p} double' for p in names)}, ids binary").schema

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import listed_spans, plain_texts, sha256, spool, text_digest
+from marketweave.llm.common import listed_spans, plain_texts, sha256, spool, text_digest, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the patterns of the base kinds
@@ -161,7 +161,7 @@ def disclosures(rows: DataFrame, texts: DataFrame, min_texts: int, generalise_at
 def personal_data(documents: DataFrame, min_texts: int = 3, generalise_at: float = 0.8) -> DataFrame:
     """Per document row: counts of the base kinds, digest and list of base spans, disclosing terms
     as array of (start, end, disclosure), and the digest of the text."""
-    docs = documents.select("doc_id", "text", text_digest("text").alias("digest"))
+    docs = text_rows(documents, "doc_id", "text", text_digest("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = documents.sparkSession.createDataFrame([], f"doc_id {kind}, digest binary, {ROW}").schema
     rows = spool(docs.mapInArrow(_rows(to_arrow_schema(schema)), schema), "entities")

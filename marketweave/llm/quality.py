@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import fold_of, plain_texts, spool
+from marketweave.llm.common import fold_of, plain_texts, spool, text_rows
 
 N_FEATURES = 20
 _WORDISH = np.zeros(256, dtype=bool)
@@ -140,7 +140,7 @@ class Discriminant:
 
 
 def vectors(documents: DataFrame) -> DataFrame:
-    docs = documents.select("doc_id", "text")
+    docs = text_rows(documents, "doc_id", "text")
     schema = documents.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>").schema
     return docs.mapInArrow(_vectors(to_arrow_schema(schema)), schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import listed_spans, plain_texts, sha256
+from marketweave.llm.common import listed_spans, plain_texts, sha256, text_rows
 
 # fixed values: the patterns of the base kinds
 ASSIGN = re.compile(
@@ -108,7 +108,7 @@ def _scan(path: str | None, max_chars_per_token: float, schema: pa.Schema):
 
 def secret_report(documents: DataFrame, vocabulary: str | None = None, max_chars_per_token: float = 2.0) -> DataFrame:
     """Per document row: counts by kind, the digest of the base spans and all spans in order of start."""
-    docs = documents.select("doc_id", "text")
+    docs = text_rows(documents, "doc_id", "text")
     schema = documents.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}").schema
     return docs.mapInArrow(_scan(vocabulary, max_chars_per_token, to_arrow_schema(schema)), schema)
 
@@ -132,4 +132,4 @@ def redacted(documents: DataFrame, vocabulary: str | None = None, max_chars_per_
         encode = encoding(vocabulary).encode_ordinary
         return texts.map(lambda t: None if t is None else redact(t, encode, max_chars_per_token))
 
-    return documents.withColumn("text", clean("text"))
+    return text_rows(documents, "*").withColumn("text", clean("text"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import byte_texts, pack, spool, text_digest, unpack
+from marketweave.llm.common import byte_texts, pack, spool, text_digest, text_rows, unpack
 
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -362,7 +362,7 @@ def without_repeats(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document row."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text", F.xxhash64(text_digest("text")).alias("tie"))
+    docs = text_rows(documents, "doc_id", "text", F.xxhash64(text_digest("text")).alias("tie"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shards = max(1, -(-size // shard_bytes))

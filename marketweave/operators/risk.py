@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.num import sample_kurtosis, sample_skew, sdiv
-from marketweave.operators.axis import Axis, Stage, apply_stages, running
+from marketweave.operators.axis import Axis, Stage, apply_stages, number_rows, running
 
 
 def risk_panel(df: DataFrame, axis: Axis, price: str = "close") -> DataFrame:
@@ -66,26 +66,22 @@ def hurst(df: DataFrame, axis: Axis, price: str = "close", max_lag: int = 50) ->
 
 
 def spectrum(df: DataFrame, axis: Axis, value: str = "close", top: int = 3) -> DataFrame:
-    """Strongest periods of each bounded series: power of the centred values per whole frequency."""
-    import numpy as np
-    import pandas as pd
-
-    keys, order = list(axis.keys), list(axis.order)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", rank int, period double, power double"
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        n = len(x)
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        freq = np.arange(1, (n + 1) // 2)
-        best = freq[np.argsort(-power[freq], kind="stable")[:top]]
-        out = pd.DataFrame({"rank": np.arange(1, len(best) + 1), "period": n / best, "power": power[best]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "rank", "period", "power"]]
-
-    return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(transform, schema)
+    """Strongest periods of each bounded series: power of the centred values per whole frequency,
+    from one sum of cosines and one of sines per frequency. The sums combine before the shuffle, so
+    no task holds a series; the work grows with the square of the length of a series."""
+    if not axis.bounded:
+        raise ValueError("spectrum: the work per series grows with the square of its length; bound the axis")
+    keys = list(axis.keys)
+    part = Window.partitionBy(*keys)
+    rows = number_rows(df.select(*keys, *axis.order, F.col(value).cast("double").alias("__x")), axis, "__t", size="__n")
+    rows = rows.withColumn("__x", F.col("__x") - F.avg("__x").over(part)).where("__n > 2")
+    waves = rows.withColumn("__f", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("__n") + 1) / 2) - 1)))
+    # the angle from the remainder keeps the argument small and exact
+    angle = 2 * math.pi * ((F.col("__f") * F.col("__t")) % F.col("__n")) / F.col("__n")
+    sums = waves.groupBy(*keys, "__n", "__f").agg(F.sum(F.col("__x") * F.cos(angle)).alias("__c"), F.sum(F.col("__x") * F.sin(angle)).alias("__s"))
+    power = F.col("__c") * F.col("__c") + F.col("__s") * F.col("__s")
+    ranked = sums.withColumn("power", power).withColumn("rank", F.row_number().over(part.orderBy(F.desc("power"), "__f")))
+    return ranked.where(F.col("rank") <= top).select(*keys, "rank", (F.col("__n") / F.col("__f")).alias("period"), "power")
 
 
 def structural_breaks(df: DataFrame, axis: Axis, value: str = "close", breaks: int = 5, shortest: int = 2) -> DataFrame:
@@ -147,8 +143,6 @@ def equity_alerts(path: DataFrame, axis: Axis, capital: float, value: str = "por
 
 def model_drift(errors: DataFrame, axis: Axis, error: str, window: int = 100, factor: float = 1.5) -> DataFrame:
     """Mean error of the last rows of each model against the rows before them."""
-    from marketweave.operators.axis import number_rows
-
     rows = number_rows(errors, axis, "__rn", size="__n")
     recent = F.col("__rn") >= F.col("__n") - window
     out = rows.groupBy(*axis.keys).agg(

@@ -87,18 +87,18 @@ def blended_predictions(spark, sf):
 @query("classification_by_time_folds")
 def classification_by_time_folds(spark, sf):
     models = {k: ml.CLASSIFIERS[k] for k in ("logistic", "linear_svm", "random_forest", "gradient_boosting")}
-    return ml.cross_validate(training_rows(spark, sf), BAR_AXIS, {"integrated": SETS["integrated"]}, "target_up", models, folds=2)
+    return ml.cross_validate(training_rows(spark, sf), BAR_AXIS, SETS, "target_up", models, folds=3)
 
 
 @query("regression_by_time_folds")
 def regression_by_time_folds(spark, sf):
-    models = {k: ml.REGRESSORS[k] for k in ("linear", "ridge", "random_forest")}
-    return ml.cross_validate(training_rows(spark, sf), BAR_AXIS, {"integrated": SETS["integrated"]}, "target_return", models, folds=2, kind="regression")
+    models = {k: ml.REGRESSORS[k] for k in ("linear", "ridge", "random_forest", "gradient_boosting")}
+    return ml.cross_validate(training_rows(spark, sf), BAR_AXIS, SETS, "target_return", models, folds=3, kind="regression")
 
 
 @query("balanced_classification")
 def balanced_classification(spark, sf):
-    return ml.cross_validate(training_rows(spark, sf), BAR_AXIS, {"stock_only": STOCK}, "target_up", {"logistic": ml.CLASSIFIERS["logistic"]}, folds=1, balanced=True)
+    return ml.cross_validate(training_rows(spark, sf), BAR_AXIS, SETS, "target_up", {k: ml.CLASSIFIERS[k] for k in ("logistic", "random_forest")}, folds=3, balanced=True)
 
 
 @query("feature_set_uplift")

@@ -105,6 +105,10 @@ def _run(spark, stream, label):
     return st.run_available(stream, new_shared_path(spark, label), new_shared_path(spark, label + "-state"))
 
 
+def _folders(spark, label):
+    return [new_shared_path(spark, f"{label}-{part}") for part in ("out", "state", "checkpoint")]
+
+
 _CLOSED = "<= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
@@ -151,7 +155,7 @@ def streamed_unique_posts(spark, sf):
 )
 def streamed_exponential_means(spark, sf):
     e = _events(spark, sf).select("user_id", "ts", "event_id", "value")
-    return _run(spark, st.running_ema(e, "user_id", "ts", "event_id", "value", 12), "ema").withColumn("ema", r("ema"))
+    return st.running_ema(e, *_folders(spark, "ema"), "user_id", "ts", "event_id", "value", 12).withColumn("ema", r("ema"))
 
 
 @query(
@@ -161,7 +165,7 @@ def streamed_exponential_means(spark, sf):
 )
 def streamed_drawdown_alerts(spark, sf):
     e = _events(spark, sf).select("event_type", "ts", "event_id", "value")
-    return _run(spark, st.drawdown_alerts(e, "event_type", "ts", "event_id", "value", 0.9), "alerts")
+    return st.drawdown_alerts(e, *_folders(spark, "alerts"), "event_type", "ts", "event_id", "value", 0.9)
 
 
 @query("streamed_idempotent_sink", "SELECT event_id, value FROM events WHERE value > 5")

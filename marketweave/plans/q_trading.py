@@ -267,22 +267,27 @@ def hurst_exponents(spark, sf):
     return rk.hurst(bars(spark, sf), BAR_AXIS).select("key", r("hurst").alias("hurst"))
 
 
-@query("dominant_periods")
+@query(
+    "dominant_periods",
+    f"""{WITH}, x AS (SELECT key, close - avg(close) OVER (PARTITION BY key) AS x, row_number() OVER {W} - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM bars),
+    p AS (SELECT key, n, f, pow(sum(x * cos(2 * pi() * ((f * t) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((f * t) % n) / n)), 2) AS power FROM x, range(1, 20000) g(f) WHERE f < (n + 1) // 2 GROUP BY key, n, f)
+    SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY power DESC, f) AS INT) AS rank, round(n / f, 6) AS period, round(power / 1e6, 3) AS power FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY power DESC, f) <= 3""",
+)
 def dominant_periods(spark, sf):
-    return rk.spectrum(bars(spark, sf), BAR_AXIS)
+    return rk.spectrum(bars(spark, sf), BAR_AXIS).select("key", "rank", r("period").alias("period"), F.round(F.col("power") / 1e6, 3).alias("power"))
 
 
 @query("structural_breaks")
 def structural_breaks(spark, sf):
-    return rk.structural_breaks(bars(spark, sf), BAR_AXIS, breaks=3)
+    return rk.structural_breaks(bars(spark, sf), BAR_AXIS, breaks=5)
 
 
 @query(
     "model_drift",
     """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-    SELECT user_id, any_value(n) AS rows, round(avg(value) FILTER (rn >= n - 20), 6) AS recent_error, round(avg(value) FILTER (rn < n - 20), 6) AS historical_error, round(avg(value) FILTER (rn >= n - 10), 6) AS last_10_error,
-      CAST(coalesce(avg(value) FILTER (rn >= n - 20) > 1.5 * avg(value) FILTER (rn < n - 20), false) AS INT) AS drift, CAST(any_value(n) > 10 AND avg(value) FILTER (rn >= n - 10) > 0.1 AS INT) AS high_error FROM x GROUP BY user_id""",
+    SELECT user_id, any_value(n) AS rows, round(avg(value) FILTER (rn >= n - 100), 6) AS recent_error, round(avg(value) FILTER (rn < n - 100), 6) AS historical_error, round(avg(value) FILTER (rn >= n - 10), 6) AS last_10_error,
+      CAST(coalesce(avg(value) FILTER (rn >= n - 100) > 1.5 * avg(value) FILTER (rn < n - 100), false) AS INT) AS drift, CAST(any_value(n) > 10 AND avg(value) FILTER (rn >= n - 10) > 0.1 AS INT) AS high_error FROM x GROUP BY user_id""",
 )
 def model_drift(spark, sf):
-    out = rk.model_drift(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), TICK_AXIS, "value", window=20)
+    out = rk.model_drift(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), TICK_AXIS, "value", window=100)
     return out.select(*[r(c).alias(c) if c.endswith("_error") and c != "high_error" else F.col(c) for c in out.columns])

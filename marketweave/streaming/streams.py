@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from marketweave.operators.axis import Axis, running
+from marketweave.operators.series import exponential_averages
+from marketweave.session import cut
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -47,41 +49,55 @@ def unique_posts(posts: DataFrame, key: Sequence[str], ts: str, delay: str = "1
     return posts.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def running_ema(ticks: DataFrame, key: str, ts: str, tie: str, value: str, span: int = 12) -> DataFrame:
-    """Exponential mean per key, carried from batch to batch as one number per key."""
-    alpha = 2 / (span + 1)
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values([ts, tie])
-        values, ids = rows[value].to_numpy(float), rows[tie].to_numpy()
-        ema = state.get[0] if state.exists else values[0]
-        out = []
-        for x in values:
-            ema = (1 - alpha) * ema + alpha * x
-            out.append(ema)
-        state.update((float(ema),))
-        yield pd.DataFrame({key: [k[0]] * len(out), tie: ids, "ema": out})
-
-    # one key's rows of one micro-batch meet in a task; files_per_batch of the source bounds them
-    return ticks.groupBy(key).applyInPandasWithState(
-        step, f"{key} long, {tie} long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout
-    )
+def carried_state(stream: DataFrame, out: str, state: str, checkpoint: str, key: str, ts: str, tie: str, value: str, step, result: str) -> DataFrame:
+    """A running quantity per key over micro-batches, without gathering a key in one task.
+
+    ``step`` maps the rows of a batch, with one earlier row per known key whose value is the
+    quantity so far, to rows with ``result``: a batch operator that cuts long series into blocks.
+    The state is the last result of every key; each batch writes its own folders, so a repeated
+    batch changes nothing.
+    """
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, ts, tie)}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", {value} double"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(schema).parquet(f"{state}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        rows = batch.select(key, ts, tie, F.col(value).cast("double").alias(value), F.lit(1).alias("__new"))
+        early = F.lit("1900-01-01").cast(kinds[ts]).alias(ts)  # the state comes before rows of any time
+        both = before.select(key, early, tie, value, F.lit(0).alias("__new")).unionByName(rows)
+        done = cut(step(both))
+        done.where("__new = 1").select(key, tie, value, result).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = F.max_by(F.struct(ts, tie, result), F.struct("__new", ts, tie)).alias("__last")
+        left = done.groupBy(key).agg(last).select(key, f"__last.{ts}", f"__last.{tie}", F.col(f"__last.{result}").cast("double").alias(value))
+        left.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(f"{key} {kinds[key]}, {tie} {kinds[tie]}, {value} double, {result} double").parquet(f"{out}/batch=*")
 
 
-def drawdown_alerts(equity: DataFrame, key: str, ts: str, tie: str, value: str, limit: float = 0.5) -> DataFrame:
+def _carried_axis(key: str, ts: str, tie: str) -> Axis:
+    return Axis(keys=(key,), order=(ts, "__new", tie))
+
+
+def running_ema(ticks: DataFrame, out: str, state: str, checkpoint: str, key: str, ts: str, tie: str, value: str, span: int = 12) -> DataFrame:
+    """Exponential mean per key: the mean so far is the first value of the next batch."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        return exponential_averages(rows, _carried_axis(key, ts, tie), value, (span,)).withColumnRenamed(f"ema_{span}", "ema")
+
+    return carried_state(ticks, out, state, checkpoint, key, ts, tie, value, step, "ema").select(key, tie, "ema")
+
+
+def drawdown_alerts(equity: DataFrame, out: str, state: str, checkpoint: str, key: str, ts: str, tie: str, value: str, limit: float = 0.5) -> DataFrame:
     """Rows whose value lies more than ``limit`` below the highest value of the key so far."""
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values([ts, tie])
-        peak = state.get[0] if state.exists else float("-inf")
-        peaks = rows[value].cummax().clip(lower=peak)
-        state.update((float(peaks.iloc[-1]),))
-        hit = (peaks > 0) & ((peaks - rows[value]) / peaks.where(peaks > 0) > limit)
-        yield pd.DataFrame({key: k[0], tie: rows.loc[hit, tie].to_numpy(), "peak": peaks[hit].to_numpy(), "value": rows.loc[hit, value].to_numpy()})
+    def step(rows: DataFrame) -> DataFrame:
+        return running(rows, _carried_axis(key, ts, tie), {"peak": ("max", F.col(value))})
 
-    return equity.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, {tie} long, peak double, value double", "peak double", "append", GroupStateTimeout.NoTimeout
-    )
+    done = carried_state(equity, out, state, checkpoint, key, ts, tie, value, step, "peak")
+    return done.where((F.col("peak") > 0) & ((F.col("peak") - F.col(value)) / F.col("peak") > limit)).select(key, tie, "peak", value)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

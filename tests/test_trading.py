@@ -76,7 +76,8 @@ def test_hurst_against_numpy(spark):
 def test_stream_state_over_several_batches(spark, tmp_path):
     schema = "user_id long, ts timestamp, event_id long, value double"
     rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"user_id": rng.integers(0, 3, 90), "ts": pd.date_range("2024-01-01", periods=90, freq="h"), "event_id": range(90), "value": rng.normal(50, 5, 90)})
+    # one key holds nine tenths of the rows
+    pdf = pd.DataFrame({"user_id": np.where(rng.random(90) < 0.9, 0, rng.integers(1, 3, 90)), "ts": pd.date_range("2024-01-01", periods=90, freq="h"), "event_id": range(90), "value": rng.normal(50, 5, 90)})
     for i in range(3):
         spark.createDataFrame(pdf[i * 30 : (i + 1) * 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         if i < 2:
@@ -85,9 +86,13 @@ def test_stream_state_over_several_batches(spark, tmp_path):
             time.sleep(1.1)  # file order follows modification time
     sch = spark.createDataFrame([], schema).schema
     src = st.file_stream(spark, str(tmp_path / "in"), sch, files_per_batch=1)
-    out = st.run_available(st.running_ema(src, "user_id", "ts", "event_id", "value", 5), str(tmp_path / "o"), str(tmp_path / "c")).toPandas().sort_values("event_id")
+    folders = [[str(tmp_path / f"{k}-{part}") for part in ("out", "state", "checkpoint")] for k in ("ema", "peak")]
+    out = st.running_ema(src, *folders[0], "user_id", "ts", "event_id", "value", 5).toPandas().sort_values("event_id")
     want = pdf.groupby("user_id")["value"].transform(lambda x: x.ewm(span=5, adjust=False).mean())
     np.testing.assert_allclose(out["ema"], want, rtol=1e-9)
+    alerts = st.drawdown_alerts(src, *folders[1], "user_id", "ts", "event_id", "value", 0.2).toPandas()
+    peak = pdf.groupby("user_id")["value"].cummax()
+    assert sorted(alerts["event_id"]) == pdf["event_id"][(peak - pdf["value"]) / peak > 0.2].tolist()
 
 
 def test_stream_bars_equal_batch(spark, tmp_path):

@@ -37,12 +37,13 @@ def terms(ws: Column) -> Column:
 def term_weights(docs: DataFrame, pk: str, text: str, vocabulary: int = 50, method: str = "tfidf") -> DataFrame:
     """(pk, term, tf, weight) for the most frequent terms of the collection.
 
-    The first pass counts terms; the second keeps only vocabulary terms before it shuffles.
+    The first pass counts terms; the second makes rows of vocabulary terms only.
     """
-    exploded = docs.select(pk, content_words(F.col(text)).alias("__ws")).select(pk, F.explode(terms(F.col("__ws"))).alias("term"))
-    top = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary)
+    found = docs.select(pk, content_words(F.col(text)).alias("__ws")).select(pk, terms(F.col("__ws")).alias("__ts"))
+    top = found.select(F.explode("__ts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary)
     names = [r["term"] for r in top.collect()]  # at most `vocabulary` rows
-    tf = exploded.filter(F.col("term").isin(*names) if names else F.lit(False)).groupBy(pk, "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = F.filter("__ts", lambda t: t.isin(*names) if names else F.lit(False))
+    tf = found.select(pk, F.explode(kept).alias("term")).groupBy(pk, "term").agg(F.count(F.lit(1)).alias("tf"))
     if method == "count":
         return tf.withColumn("weight", F.col("tf").cast("double"))
     n = docs.count()

@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketweave.llm.common import byte_texts, spool, text_digest, text_rows
 from marketweave.llm.components import components
+from marketweave.operators.skew import join_key_values
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -190,16 +191,18 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
     # one leader per bucket, another in each sketch; buckets of one node fall away
     order = F.struct(F.xxhash64("node", "key").alias("r"), "node", "n")
     heads = members.groupBy("sketch", "key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    heads = heads.select("sketch", "key", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"))
-    shared = spool(members.join(heads, ["sketch", "key"]), "buckets")
+    heads = heads.select("sketch", "key", "m", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"))
+    # buckets that hold a large share of the rows are joined without moving their members
+    shared = spool(join_key_values(members, heads, ["sketch", "key"], "m"), "buckets")
     # the text that others are copies of shares most buckets with most of them
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     central = F.max(F.struct("d", "node", "n")).alias("hub")
-    hubs = shared.select("sketch", "key", "node", "n").join(degree, "node").groupBy("sketch", "key").agg(central)
-    hubs = hubs.select("sketch", "key", F.col("hub.node").alias("leader"), F.col("hub.n").alias("leader_n"))
+    hubs = shared.select("sketch", "key", "m", "node", "n").join(degree, "node").groupBy("sketch", "key", "m").agg(central)
+    hubs = hubs.select("sketch", "key", "m", F.col("hub.node").alias("leader"), F.col("hub.n").alias("leader_n"))
+    to_hub = join_key_values(shared.select("sketch", "key", "node", "n"), hubs, ["sketch", "key"], "m")
     fits = (F.col("node") != F.col("leader")) & (F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
     ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    stars = shared.where(fits).select(*ends).union(shared.drop("leader", "leader_n").join(hubs, ["sketch", "key"]).where(fits).select(*ends)).distinct()
+    stars = shared.where(fits).select(*ends).union(to_hub.where(fits).select(*ends)).distinct()
     involved = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sequences = _sequences_of(docs, involved, words, broadcast_nodes)
     links = spool(_verified(stars, sequences, threshold).select("a", "b"), "stars")

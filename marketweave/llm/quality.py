@@ -1,7 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Every whole text becomes a vector of statistics, transformed towards bell shapes (logarithms of
-counts, square roots of shares). Each class has its mean and a covariance shrunk towards the pooled
+counts, square roots of shares). The statistics of a text of m words are drawn to the mean of class 1
+as if it had DAMPING more words of that kind: a few words are weak evidence. Each class has its mean and a covariance shrunk towards the pooled
 diagonal; the driver keeps the Cholesky factors of the two small matrices. The score of a text is
 the logistic of the difference of the Mahalanobis log-densities, tempered by ``temperature`` because
 the statistics of one text are not independent observations.
@@ -30,6 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from marketweave.llm.common import fold_of, plain_texts, spool, text_rows
 
 N_FEATURES = 20
+DAMPING = 10
 _WORDISH = np.zeros(256, dtype=bool)
 _WORDISH[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -94,22 +96,33 @@ def _vectors(schema: pa.Schema):
     return run
 
 
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of 1, x and x x' per class: 2 x (1 + d + d*d) rows a partition at most."""
-    sums: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for label, part in pdf.groupby("quality"):
-            x = np.column_stack((np.ones(len(part)), np.array(part["x"].tolist())))
-            sums[int(label)] = sums.get(int(label), 0) + x.T @ x
-    for label, s in sums.items():
-        yield pd.DataFrame({"quality": label, "at": np.arange(s.size), "part": s.ravel()})
+def damped(x: np.ndarray, typical: np.ndarray) -> np.ndarray:
+    """The vectors drawn to the typical one by their number of words, which itself stays."""
+    m = np.expm1(x[:, :1])
+    out = typical + (x - typical) * (m / (m + DAMPING))
+    out[:, 0] = x[:, 0]
+    return out
+
+
+def _moments(typical: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Partial sums of 1, x and x x' per class: 2 (d + 1)^2 rows a partition at most."""
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for label, part in pdf.groupby("quality"):
+                x = np.column_stack((np.ones(len(part)), damped(np.array(part["x"].tolist()), typical)))
+                sums[int(label)] = sums.get(int(label), 0) + x.T @ x
+        for label, s in sums.items():
+            yield pd.DataFrame({"quality": label, "at": np.arange(s.size), "part": s.ravel()})
+
+    return run
 
 
 class Discriminant:
     """Two Gaussian densities with shrunk covariances, kept as Cholesky factors."""
 
-    def __init__(self, sums: dict[int, np.ndarray], shrinkage: float, temperature: float):
-        self.temperature = temperature
+    def __init__(self, sums: dict[int, np.ndarray], typical: np.ndarray, shrinkage: float, temperature: float):
+        self.typical, self.temperature = typical, temperature
         self.counts = {k: float(sums[k][0, 0]) if k in sums else 0.0 for k in (0, 1)}
         self.ready = min(self.counts.values()) > 1
         if not self.ready:
@@ -118,7 +131,8 @@ class Discriminant:
         n = total[0, 0]
         self.center = total[0, 1:] / n
         pooled = total[1:, 1:] / n - np.outer(self.center, self.center)
-        self.scale = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
+        # a statistic that hardly varies among the labelled texts must not decide alone
+        self.scale = np.maximum(np.sqrt(np.maximum(np.diag(pooled), 0)), 0.05)
         self.means, self.factors, self.logdets = {}, {}, {}
         for k, s in sums.items():
             mean = s[0, 1:] / s[0, 0]
@@ -133,7 +147,7 @@ class Discriminant:
         n = self.counts[0] + self.counts[1]
         if not self.ready or not len(x):
             return np.full(len(x), self.counts[1] / n if n else 0.5)
-        z = (x - self.center) / self.scale
+        z = (damped(x, self.typical) - self.center) / self.scale
         log = {k: -0.5 * (((z - self.means[k]) @ self.factors[k].T) ** 2).sum(axis=1) - 0.5 * self.logdets[k] for k in (0, 1)}
         diff = (log[1] - log[0]) / self.temperature + np.log(self.counts[1] / self.counts[0])
         return 1 / (1 + np.exp(-np.clip(diff, -500, 500)))
@@ -145,16 +159,18 @@ def vectors(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(_vectors(to_arrow_schema(schema)), schema)
 
 
-def fit(rows: DataFrame, labels: DataFrame, shrinkage: float = 0.1, temperature: float = 4.0) -> Discriminant:
+def fit(rows: DataFrame, labels: DataFrame, shrinkage: float = 0.05, temperature: float = 4.0) -> Discriminant:
     """rows: doc_id and x of the documents that may be learned from, all of which are used."""
     votes = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.avg("quality").alias("share")).where("share <> 0.5")
-    known = rows.join(votes, "doc_id").select(F.round("share").cast("int").alias("quality"), "x")
-    summed = known.mapInPandas(_moments, "quality int, at int, part double").groupBy("quality", "at").agg(F.sum("part").alias("s"))
+    known = spool(rows.join(votes, "doc_id").select(F.round("share").cast("int").alias("quality"), "x"), "labelled")
+    means = known.where("quality = 1").agg(*[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(N_FEATURES)]).first()
+    typical = np.array([v or 0.0 for v in means])
+    summed = known.mapInPandas(_moments(typical), "quality int, at int, part double").groupBy("quality", "at").agg(F.sum("part").alias("s"))
     d = N_FEATURES + 1
     sums: dict[int, np.ndarray] = {}
     for r in summed.collect():  # 2 x 441 numbers
         sums.setdefault(r["quality"], np.zeros(d * d))[r["at"]] = r["s"]
-    return Discriminant({k: s.reshape(d, d) for k, s in sums.items()}, shrinkage, temperature)
+    return Discriminant({k: s.reshape(d, d) for k, s in sums.items()}, typical, shrinkage, temperature)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -116,11 +117,10 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).when(x < 0, neg)
 
 
-def interactions(cols: Sequence[str], first: int = 3, second: int = 4) -> dict[str, Column]:
-    """Products and ratios of the first columns with the ones after them."""
+def interactions(cols: Sequence[str]) -> dict[str, Column]:
+    """Products and ratios of every pair of the columns."""
     out = {}
-    for i, a in enumerate(cols[:first]):
-        for b in cols[i + 1 : second]:
-            out[f"{a}_x_{b}"] = F.col(a) * F.col(b)
-            out[f"{a}_div_{b}"] = sdiv(a, b)
+    for a, b in itertools.combinations(cols, 2):
+        out[f"{a}_x_{b}"] = F.col(a) * F.col(b)
+        out[f"{a}_div_{b}"] = sdiv(a, b)
     return out

@@ -47,8 +47,9 @@ def isolation_forest(
 
     Each tree sees ``rows_per_tree`` rows chosen by hash; all samples together are at most
     trees * rows_per_tree rows, whatever the size of the table. Trees are grown in tasks, one
-    group per tree, and broadcast for scoring. Without ``contamination`` a score above 0.5 is
-    an anomaly.
+    group per tree, and broadcast for scoring. A hash gives each row a run of neighbouring trees
+    that may take it, one tree in a large table, all of them in a small one. Without
+    ``contamination`` a score above 0.5 is an anomaly. With fewer than 10 rows there are no scores.
     """
     cols, pk = list(cols), list(pk)
     clean = df.dropna(subset=cols)
@@ -58,14 +59,11 @@ def isolation_forest(
     unit = lambda t: F.pmod(F.xxhash64(*pk, t, F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
     base = clean.select(*pk, *[F.col(c).cast("double").alias(c) for c in cols])
     # twice the wanted share of rows keeps the chance of a short sample negligible
-    if rows >= 4 * trees * rows_per_tree:
-        # large tables: one hash decides the tree of a row and whether it is taken
-        own = base.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed), *pk), F.lit(trees)).cast("int"))
-        picked = own.withColumn("__u", unit(F.col("tree"))).filter(F.col("__u") < 2.0 * trees * rows_per_tree / rows)
-    else:
-        share = min(1.0, 2.0 * rows_per_tree / rows)
-        taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(t) < share)
-        picked = base.withColumn("tree", F.explode(taken)).withColumn("__u", unit(F.col("tree")))
+    share = min(1.0, 2.0 * rows_per_tree / rows)
+    run = math.ceil(trees * share)
+    first = F.pmod(F.xxhash64(F.lit(seed), *pk), F.lit(trees))
+    offered = F.transform(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: ((first + k) % trees).cast("int"))
+    picked = base.withColumn("tree", F.explode(F.filter(offered, lambda t: unit(t) < trees * share / run))).withColumn("__u", unit(F.col("tree")))
     limit = math.ceil(math.log2(rows_per_tree))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,52 +153,52 @@ def _cells(cols: Sequence[str], side: float) -> list:
 
 
 def dbscan_noise(df: DataFrame, cols: Sequence[str], pk: Sequence[str], eps: float = 0.5, min_points: int = 5, salts: int | None = None) -> DataFrame:
-    """Rows that belong to no dense region (exact, for up to three columns).
+    """Rows that belong to no dense region (exact, for any number of columns).
 
-    The plane is cut into cells whose diagonal is at most eps. All rows of a cell with
+    Space is cut into cells whose diagonal is at most eps. All rows of a cell with
     min_points rows are core rows, without comparing any of them. Only rows of thin cells (fewer
     than min_points each) look at their neighbour cells, so each row meets a bounded number of
     them; a crowded neighbour cell is spread over salts. Noise is a row of a thin cell that is
-    not core and has no core row within eps.
+    not core and has no core row within eps. Beyond three columns neighbours are looked for in a
+    grid over the first three, of cells eps wide, and told by their distance in all columns.
     """
     from marketweave.session import cut
 
     cols, pk = list(cols), list(pk)
-    d = len(cols)
-    if d > 3:
-        raise ValueError("the cell grid is meant for up to three columns")
+    d, g = len(cols), min(len(cols), 3)
     side = eps / math.sqrt(d) * (1 - 1e-9)
-    reach = math.ceil(math.sqrt(d) + 1e-6)
+    grid_side, reach = (side, math.ceil(math.sqrt(d) + 1e-6)) if d <= 3 else (eps * (1 + 1e-9), 1)
     cell = [f"c{i}" for i in range(d)]
+    grid = [f"g{i}" for i in range(g)]
     # equal rows are one point with a weight, so heavy ties cost one row
     points = cut(
         df.dropna(subset=cols).groupBy(*[F.col(c).cast("double").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("w")).withColumn("pid", F.xxhash64(*cols))
-        .select("*", *_cells(cols, side))
+        .select("*", *_cells(cols, side), *[F.floor(F.col(c) / grid_side).cast("long").alias(x) for c, x in zip(cols, grid)])
     )
     sizes = points.groupBy(*cell).agg(F.sum("w").alias("size"), F.count(F.lit(1)).alias("n"))
-    fullest = sizes.agg(F.max("n")).first()[0] or 1
-    salts = salts or min(1024, math.ceil(fullest / 1_000_000))
+    fullest = points.groupBy(*grid).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    salts = salts or math.ceil(fullest / 1_000_000)
     thin_cells = sizes.filter(F.col("size") < min_points).select(*cell)
     thin = cut(points.join(thin_cells, cell))
     # thin rows announce themselves to the neighbour cells, once per salt
-    offsets = list(itertools.product(range(-reach, reach + 1), repeat=d))
+    offsets = list(itertools.product(range(-reach, reach + 1), repeat=g))
     offset = F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets]))
     asking = (
-        thin.select(F.col("pid").alias("q"), *[F.col(c).alias(f"q_{c}") for c in cols], F.col("w").alias("qw"), *cell)
+        thin.select(F.col("pid").alias("q"), *[F.col(c).alias(f"q_{c}") for c in cols], F.col("w").alias("qw"), *grid)
         .withColumn("o", offset)
-        .select("q", "qw", *[f"q_{c}" for c in cols], *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(d)])
+        .select("q", "qw", *[f"q_{c}" for c in cols], *[(F.col(x) + F.col("o")[i]).alias(x) for i, x in enumerate(grid)])
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salted = points.withColumn("salt", F.pmod(F.col("pid"), F.lit(salts)).cast("int"))
     gap = F.lit(0.0)
     for c in cols:
         gap = gap + (F.col(c) - F.col(f"q_{c}")) * (F.col(c) - F.col(f"q_{c}"))
-    near = asking.join(salted, [*cell, "salt"]).filter(gap <= eps * eps)
+    near = asking.join(salted, [*grid, "salt"]).filter(gap <= eps * eps)
     core_thin = cut(near.groupBy("q").agg(F.sum("w").alias("near")).filter(F.col("near") >= min_points).select("q"))
     # core rows: all of the crowded cells, plus the thin ones found above
     core = points.join(thin_cells, cell, "left_anti").unionByName(points.join(core_thin.withColumnRenamed("q", "pid"), "pid", "left_semi").select(points.columns))
     salted_core = core.withColumn("salt", F.pmod(F.col("pid"), F.lit(salts)).cast("int"))
-    covered = asking.join(salted_core, [*cell, "salt"]).filter(gap <= eps * eps).select("q").distinct()
+    covered = asking.join(salted_core, [*grid, "salt"]).filter(gap <= eps * eps).select("q").distinct()
     noise = thin.join(covered.withColumnRenamed("q", "pid"), "pid", "left_anti").select(*cols, F.lit(1).alias("outlier_dbscan"))
     keyed = df.select(*pk, *[F.col(c).cast("double").alias(c) for c in cols])
     return keyed.join(noise, cols, "left").fillna(0, ["outlier_dbscan"])

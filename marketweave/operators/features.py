@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.num import sdiv
-
-MAX_CATEGORIES = 1_000_000
-
+from marketweave.session import cut
 
 def statistical_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """z-score, logarithm and square root; a column the table does not allow is null, so the
@@ -28,22 +26,13 @@ def statistical_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, c: str, out: str) -> DataFrame:
-    """0-based code of each distinct value in sorted order.
-
-    The distinct values are numbered in one window, so their number is checked first; above the
-    limit they are numbered per range partition instead.
-    """
+    """0-based code of each distinct value in sorted order: numbered inside range partitions and
+    shifted by the sizes of the partitions before (one row each)."""
     values = df.select(c).dropna().distinct()
-    n = values.count()
-    if n <= MAX_CATEGORIES:
-        codes = values.select(F.col(c).alias("__v"), (F.row_number().over(Window.orderBy(c)) - 1).alias(out))
-    else:
-        from marketweave.session import cut
-
-        parts = cut(values.repartitionByRange(F.col(c)).withColumn("__p", F.spark_partition_id()))
-        sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-        before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-        inside = F.row_number().over(Window.partitionBy("__p").orderBy(c)) - 1
-        codes = parts.join(offsets, "__p").select(F.col(c).alias("__v"), (F.col("__o") + inside).cast("int").alias(out))
+    parts = cut(values.repartitionByRange(F.col(c)).withColumn("__p", F.spark_partition_id()))
+    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(c)) - 1
+    codes = parts.join(offsets, "__p").select(F.col(c).alias("__v"), (F.col("__o") + inside).cast("int").alias(out))
     return df.join(codes, F.col(c) == F.col("__v"), "left").drop("__v")

@@ -32,9 +32,9 @@ def daily_activity(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
     )
 
 
-def daily_any(df: DataFrame, keys: Sequence[str], first: int = 3) -> DataFrame:
-    """Row count and mean of the first numeric columns of any source."""
-    cols = [c for c in numeric_columns(df) if c not in keys][:first]
+def daily_any(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
+    """Row count and mean of the columns of any source, by default of all numeric ones."""
+    cols = [c for c in cols or numeric_columns(df) if c not in keys]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), *[F.avg(c).alias(f"{c}_avg") for c in cols])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -155,9 +156,10 @@ def strength_label(c: Column) -> Column:
     return F.when(F.abs(c) > 0.7, "strong").when(F.abs(c) > 0.3, "moderate").otherwise("weak")
 
 
-def interactions(df: DataFrame, first: int = 3, second: int = 6) -> DataFrame:
-    cols = numeric_columns(df)
-    pairs = [(cols[i], cols[j]) for i in range(min(first, len(cols))) for j in range(i + 1, min(second, len(cols)))]
+def interactions(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Correlation of every pair of the columns, by default of all numeric ones."""
+    cols = list(cols or numeric_columns(df))
+    pairs = list(itertools.combinations(cols, 2))
     return correlation_pairs(df, cols, pairs).withColumn("strength", strength_label(F.col("correlation")))
 
 

@@ -266,14 +266,14 @@ def daily_activity_statistics(spark, sf):
 @query(
     "generic_daily_aggregate",
     """SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey, count(*) AS row_count, round(avg(l_quantity), 6) AS l_quantity_avg,
-      round(avg(l_extendedprice), 6) AS l_extendedprice_avg, round(avg(l_discount), 6) AS l_discount_avg FROM lineitem GROUP BY 1, 2""",
+      round(avg(l_extendedprice), 6) AS l_extendedprice_avg, round(avg(l_discount), 6) AS l_discount_avg, round(avg(l_tax), 6) AS l_tax_avg FROM lineitem GROUP BY 1, 2""",
 )
 def generic_daily_aggregate(spark, sf):
     li = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"), "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     out = ig.daily_any(li, ["day", "l_suppkey"])
     return out.select(
         "day", "l_suppkey", "row_count", r("l_quantity_avg").alias("l_quantity_avg"), r("l_extendedprice_avg", 6).alias("l_extendedprice_avg"),
-        r("l_discount_avg").alias("l_discount_avg"),
+        r("l_discount_avg").alias("l_discount_avg"), r("l_tax_avg").alias("l_tax_avg"),
     )
 
 
@@ -394,7 +394,7 @@ def strongest_correlation_pairs(spark, sf):
     return _rounded(pf.strong_pairs(pf.correlation_pairs(table(spark, sf, "lineitem"), _CORR), 0.002), 6)
 
 
-_INT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+_INT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query(
@@ -402,7 +402,7 @@ _INT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l
     " UNION ALL ".join(
         f"""SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation,
         CASE WHEN abs(corr({a}, {b})) > 0.7 THEN 'strong' WHEN abs(corr({a}, {b})) > 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM lineitem"""
-        for i, a in enumerate(_INT[:3]) for b in _INT[i + 1 :]
+        for i, a in enumerate(_INT) for b in _INT[i + 1 :]
     ),
 )
 def interaction_strengths(spark, sf):
@@ -608,7 +608,7 @@ def vote_balance_and_activity(spark, sf):
       round(l_extendedprice * l_discount, 4) AS l_extendedprice_x_l_discount, round(l_extendedprice / nullif(l_discount, 0), 3) AS l_extendedprice_div_l_discount FROM lineitem""",
 )
 def interaction_features(spark, sf):
-    feats = sc.interactions(["l_quantity", "l_extendedprice", "l_discount"], 3, 3)
+    feats = sc.interactions(["l_quantity", "l_extendedprice", "l_discount"])
     digits = {"l_quantity_x_l_extendedprice": 2, "l_quantity_div_l_extendedprice": 8, "l_extendedprice_div_l_discount": 3}
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[r(c, digits.get(n, 4)).alias(n) for n, c in feats.items()])
 

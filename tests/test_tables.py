@@ -161,6 +161,24 @@ def test_nearest_neighbours_are_exact(spark, monkeypatch):
     np.testing.assert_allclose(got, np.sort(d, axis=1)[:, :5], rtol=1e-9)
 
 
+def test_density_noise_in_five_columns(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 0.2, (80, 5)), rng.normal(3, 0.25, (40, 5)), rng.uniform(-4, 4, (30, 5))])
+    names = list("abcde")
+    out = an.dbscan_noise(spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x)))), names, ["id"], 0.6, 5).toPandas().sort_values("id")
+    assert (out["outlier_dbscan"].to_numpy() == brute_noise(x, 0.6, 5)).all()
+
+
+@pytest.mark.parametrize("n", [5, 40, 30_000])
+def test_isolation_forest_samples_alike_at_every_size(spark, n):
+    df = spark.range(n).select("id", (F.hash("id") % 1000 / 1000.0).alias("a"), (F.xxhash64("id") % 1000 / 1000.0).alias("b"))
+    df = df.unionByName(spark.createDataFrame([(-1, 9.0, 9.0)], "id long, a double, b double"))
+    out = an.isolation_forest(df, ["a", "b"], ["id"], trees=20, rows_per_tree=64)
+    scores = out.toPandas().set_index("id")["anomaly_score"].astype(float)
+    # a row that no small sample holds still ends in the outermost leaves
+    assert scores[-1] >= scores.quantile(0.95) if n >= 10 else scores.isna().all()
+
+
 def test_isolation_forest_finds_the_far_row(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(0, 1, (300, 2)), [[12.0, 12.0]]])

@@ -125,9 +125,10 @@ def structural_breaks(df: DataFrame, axis: Axis, value: str = "close", breaks: i
 
 def equity_alerts(path: DataFrame, axis: Axis, capital: float, value: str = "portfolio_value", max_drawdown: float = 0.15, daily_loss: float = 0.02) -> DataFrame:
     """One row per alert: drawdown beyond the limit, daily loss beyond 2 % of the start capital,
-    total return below -5 %, value at or below zero."""
+    total return below -5 %, less than 30 % of the days so far with a gain, value at or below zero."""
     rows = apply_stages(path, axis, [{"__prev": lambda f: f.lag(value)}], back=1)
-    rows = running(rows, axis, {"__top": ("max", F.col(value))})
+    gain = (F.col(value) > F.col("__prev")).cast("long")
+    rows = running(rows, axis, {"__top": ("max", F.col(value)), "__gains": ("sum", gain), "__days": ("sum", F.col("__prev").isNotNull().cast("long"))})
     peak = F.greatest(F.col("__top"), F.lit(capital))
     v = F.col(value)
     kinds = F.array_compact(
@@ -136,6 +137,7 @@ def equity_alerts(path: DataFrame, axis: Axis, capital: float, value: str = "por
             F.when((v > 0) & (sdiv(peak - v, peak) > max_drawdown), F.lit("max_drawdown")),
             F.when(v - F.col("__prev") < -capital * daily_loss, F.lit("daily_loss")),
             F.when(v / capital - 1 < -0.05, F.lit("portfolio_down")),
+            F.when(sdiv("__gains", "__days") < 0.3, F.lit("low_win_rate")),
         )
     )
     return rows.select(*axis.keys, *axis.order, value, F.explode(kinds).alias("alert"))

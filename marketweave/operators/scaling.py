@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.functions.num import numeric_columns
+from marketweave.functions.num import nan_to_null, numeric_columns
 from marketweave.functions.scalar import inverse_yeo_johnson, yeo_johnson
 from marketweave.operators.outliers import column_stats
 from marketweave.operators.quantiles import exact_quantiles
@@ -159,8 +159,10 @@ def inversion_accuracy(df: DataFrame, cols: Sequence[str], out: str = "_restored
 
 # -- rules ------------------------------------------------------------------------------------
 
-# Names that are never scaled.
-EXCLUDED_NAME_PARTS = ("id", "date", "time", "year", "month", "day", "ticker", "symbol", "label", "target")
+# Parts of names that are never scaled.
+EXCLUDED_NAME_PARTS = (
+    "id", "index", "count", "flag", "binary", "dummy", "encoded", "year", "month", "day", "week", "quarter", "season",
+)
 
 
 def recommend(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
@@ -194,9 +196,27 @@ def recommend(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return plan
 
 
-def scaling_needs(df: DataFrame) -> dict[str, str]:
-    cols = [c for c in numeric_columns(df) if not any(p in c.lower().split("_") for p in EXCLUDED_NAME_PARTS)]
-    return {c: k for c, k in recommend(df, cols).items() if k != "none"}
+def scaling_needs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, needs_scaling, reason) per numeric column: the first rule that holds gives the reason."""
+    cols = list(cols or numeric_columns(df))
+    rows = []
+    stats = column_stats(df, cols)
+    usable = [c for c in cols if stats[c] is not None]
+    inner = df.agg(*[F.count_if((nan_to_null(c) != stats[c].low) & (nan_to_null(c) != stats[c].high)).alias(c) for c in usable]).first() if usable else None
+    for c in usable:
+        s = stats[c]
+        rules = (
+            ("name", 0, any(part in c.lower() for part in EXCLUDED_NAME_PARTS)),
+            ("unit range", 0, s.low >= 0 and s.high <= 1),
+            ("standardised", 0, abs(s.mean) < 0.1 and 0.9 < s.std < 1.1),
+            ("constant", 0, s.low == s.high),
+            ("two values", 0, inner[c] == 0 and (s.low, s.high) == (-1, 1)),
+            ("wide range", 1, s.high - s.low > 1000 or s.std > 100),
+            ("skewed", 1, abs(s.skew) > 2),
+            ("numeric", 1, True),
+        )
+        rows.append((c, *next((need, reason) for reason, need, holds in rules if holds)))
+    return df.sparkSession.createDataFrame(rows, "column string, needs_scaling int, reason string")
 
 
 def save_params(df_session, params: dict[str, dict], path: str) -> None:

@@ -266,3 +266,23 @@ def _sql_scaler(c: str, x: str) -> str:
 def scaler_choices(spark, sf):
     df = table(spark, sf, "lineitem").selectExpr(*[f"CAST({x} AS DOUBLE) AS {c}" for c, x in _RULED.items()])
     return spark.createDataFrame(list(scl.recommend(df, list(_RULED)).items()), "column string, scaler string")
+
+
+# a column for each rule of whether to scale at all
+_NEEDS = {
+    "order_id": "l_orderkey", "share": "l_discount", "standard": "(l_quantity - 25.5) / 14.43", "fixed": "7", "sign": "CASE WHEN l_tax > 0.01 THEN 1 ELSE -1 END",
+    "price": "l_extendedprice", "steep": "CASE WHEN l_quantity = 50 THEN 90 ELSE l_tax END", "quantity": "l_quantity",
+}
+
+
+def _sql_need(c: str, x: str) -> str:
+    named = " OR ".join(f"contains('{c}', '{part}')" for part in ("id", "index", "count", "flag", "binary", "dummy", "encoded", "year", "month", "day", "week", "quarter", "season"))
+    return f"""SELECT '{c}' AS "column", CAST(reason IN ('wide range', 'skewed', 'numeric') AS INT) AS needs_scaling, reason FROM (SELECT CASE WHEN {named} THEN 'name' WHEN lo >= 0 AND hi <= 1 THEN 'unit range'
+      WHEN abs(m) < 0.1 AND sd > 0.9 AND sd < 1.1 THEN 'standardised' WHEN kinds = 1 THEN 'constant' WHEN kinds = 2 AND lo = -1 AND hi = 1 THEN 'two values' WHEN hi - lo > 1000 OR sd > 100 THEN 'wide range'
+      WHEN abs(sk) > 2 THEN 'skewed' ELSE 'numeric' END AS reason
+      FROM (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_samp(x) AS sd, skewness(x) AS sk, count(DISTINCT x) AS kinds FROM (SELECT CAST({x} AS DOUBLE) AS x FROM lineitem)))"""
+
+
+@query("columns_to_scale", " UNION ALL ".join(_sql_need(c, x) for c, x in _NEEDS.items()))
+def columns_to_scale(spark, sf):
+    return scl.scaling_needs(table(spark, sf, "lineitem").selectExpr(*[f"CAST({x} AS DOUBLE) AS {c}" for c, x in _NEEDS.items()]))

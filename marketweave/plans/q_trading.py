@@ -187,7 +187,8 @@ def equity_curve_risk(spark, sf):
     "equity_alerts",
     f"""WITH RECURSIVE {_PERF}, x AS (SELECT *, lag(portfolio_value) OVER (PARTITION BY key ORDER BY rn) AS pv FROM e2), l AS (
       SELECT key, day, 'max_drawdown' AS alert FROM x WHERE portfolio_value > 0 AND (greatest(pk, 100000) - portfolio_value) / greatest(pk, 100000) > 0.15
-      UNION ALL SELECT key, day, 'daily_loss' FROM x WHERE portfolio_value - pv < -2000 UNION ALL SELECT key, day, 'portfolio_down' FROM x WHERE portfolio_value / 100000 - 1 < -0.05 UNION ALL SELECT key, day, 'portfolio_zero' FROM x WHERE portfolio_value <= 0)
+      UNION ALL SELECT key, day, 'daily_loss' FROM x WHERE portfolio_value - pv < -2000 UNION ALL SELECT key, day, 'portfolio_down' FROM x WHERE portfolio_value / 100000 - 1 < -0.05 UNION ALL SELECT key, day, 'portfolio_zero' FROM x WHERE portfolio_value <= 0
+      UNION ALL SELECT key, day, 'low_win_rate' FROM (SELECT key, day, sum(CAST(portfolio_value > pv AS INT)) OVER w AS gains, count(pv) OVER w AS days FROM x WINDOW w AS (PARTITION BY key ORDER BY rn)) WHERE days > 0 AND gains / days < 0.3)
     SELECT alert, count(*) AS n, count(DISTINCT key) AS keys FROM l GROUP BY alert""",
 )
 def equity_alerts(spark, sf):

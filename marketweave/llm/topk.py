@@ -150,69 +150,79 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
         return pd.DataFrame([{"shard": f"{key[0]}.{key[1]}", "centre": centre, "radius": radius, **_blocks(pdf)}])
 
     packed = spool(shards.groupBy("cell", "salt").applyInPandas(pack, "shard string, centre array<double>, radius double, ids binary, rows binary"), "shards")
-    queries = placed.where(F.col("vec_id") % every == 0)
+    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.hash("x").alias("check"))
     n_blocks = max(1, -(-queries.count() // block_rows))
     n_balls = max(1, -(-packed.count() // 4096))
 
-    def query_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"block": int(key[0]), **_blocks(pdf)}])
-
-    blocks = queries.select("vec_id", "x", F.pmod(F.xxhash64("vec_id", F.hash("x")), F.lit(n_blocks)).alias("block")).groupBy("block")
-    blocks = blocks.applyInPandas(query_block, "block long, ids binary, rows binary")
-
     def ball_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"ball": int(key[0]), "shards": list(pdf["shard"]), "centres": _matrix(pdf["centre"]).tobytes(), "radii": pdf["radius"].to_numpy(float).tobytes()}])
 
     balls = packed.select("shard", "centre", "radius", F.pmod(F.xxhash64("shard"), F.lit(n_balls)).alias("ball")).groupBy("ball")
-    balls = balls.applyInPandas(ball_block, "ball long, shards array<string>, centres binary, radii binary")
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Bounds of the queries of a block against a block of shard balls."""
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                q = np.frombuffer(r.rows).reshape(-1, d)
-                ids = np.frombuffer(r.ids, dtype=np.int64)
-                c, radius = np.frombuffer(r.centres).reshape(-1, d), np.frombuffer(r.radii)
-                norms = np.sqrt((q**2).sum(axis=1))
-                bound = q @ c.T + norms[:, None] * radius[None, :] + 1e-6 * (1 + norms[:, None])
-                names = np.array(list(r.shards), dtype=object)
-                i, j = np.divmod(np.arange(bound.size), bound.shape[1])
-                yield pd.DataFrame({"query_id": ids[i], "x": list(q[i]), "shard": names[j], "bound": bound.ravel()})
-
-    spread_blocks = blocks.withColumn("ball", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_balls - 1).cast("long"))))
-    routed = spool(spread_blocks.join(balls, "ball").select("ids", "rows", "shards", "centres", "radii").mapInPandas(route, "query_id long, x array<double>, shard string, bound double"), "routes")
-    query_key = F.struct("query_id", F.hash("x"))
-    home = routed.groupBy(query_key.alias("key")).agg(F.max(F.struct("bound", "shard")).alias("best")).select("key", F.col("best.shard").alias("shard"))
-
-    def visit(with_floor: bool):
-        def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(left) and len(right):
-                q = _matrix(left["x"])
-                floor = left["floor"].to_numpy(float) if with_floor else np.full(len(left), -np.inf)
-                for r in right.itertuples(index=False):
-                    tree = BallTree(np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.rows).reshape(-1, d))
-                    for a in range(0, len(left), block_rows):
-                        part = slice(a, a + block_rows)
-                        found = tree.search(left["query_id"].to_numpy(np.int64)[part], q[part], k, floor[part])
-                        for i, (ids, scores) in zip(range(a, a + block_rows), found, strict=False):
-                            out.append(pd.DataFrame({"query_id": left["query_id"].iloc[i], "check": left["check"].iloc[i], "vec_id": ids, "score": scores.astype(np.int64)}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "check": [], "vec_id": [], "score": []})
-
-        return run
+    balls = spool(balls.applyInPandas(ball_block, "ball long, shards array<string>, centres binary, radii binary"), "balls")
+
+    def query_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = {"checks": pdf["check"].to_numpy(np.int64), "floors": pdf["floor"].to_numpy(float)}
+        return pd.DataFrame([{"homes": list(pdf["home"]), **_blocks(pdf), **{k: v.tobytes() for k, v in columns.items()}}])
+
+    def routes(rows: DataFrame, best_only: bool) -> DataFrame:
+        """Shards for the queries (with home shard and floor): of each block of balls the one with
+        the largest bound, or all but the home whose bound reaches the floor."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    q = np.frombuffer(r.rows).reshape(-1, d)
+                    ids, checks, floors = np.frombuffer(r.ids, np.int64), np.frombuffer(r.checks, np.int64), np.frombuffer(r.floors)
+                    c, radius = np.frombuffer(r.centres).reshape(-1, d), np.frombuffer(r.radii)
+                    norms = np.sqrt((q**2).sum(axis=1))
+                    bound = q @ c.T + norms[:, None] * radius[None, :] + 1e-6 * (1 + norms[:, None])
+                    names = np.array(list(r.shards), dtype=object)
+                    if best_only:
+                        i, j = np.arange(len(q)), bound.argmax(axis=1)
+                    else:
+                        homes = np.array(list(r.homes), dtype=object)
+                        i, j = np.nonzero((bound >= floors[:, None]) & (homes[:, None] != names[None, :]))
+                    if len(i):
+                        yield pd.DataFrame({"query_id": ids[i], "check": checks[i].astype(np.int32), "x": list(q[i]), "shard": names[j], "bound": bound[i, j], "floor": floors[i]})
+
+        blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "check"), F.lit(n_blocks))).groupBy("block")
+        blocks = blocks.applyInPandas(query_block, "homes array<string>, ids binary, rows binary, checks binary, floors binary")
+        spread = blocks.withColumn("ball", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_balls - 1).cast("long"))))
+        return spread.join(balls, "ball").drop("ball").mapInPandas(run, "query_id long, check int, x array<double>, shard string, bound double, floor double")
+
+    start = queries.withColumns({"home": F.lit(""), "floor": F.lit(float("-inf"))})
+    best = F.max(F.struct("bound", "shard")).alias("best")
+    home = routes(start, True).groupBy("query_id", "check").agg(best, F.first("x").alias("x"))
+    home = spool(home.select("query_id", "check", "x", F.col("best.shard").alias("shard"), F.lit(float("-inf")).alias("floor")), "homes")
+
+    def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "check": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        if len(left) and len(right):
+            q, floor, asked = _matrix(left["x"]), left["floor"].to_numpy(float), left["query_id"].to_numpy(np.int64)
+            for r in right.itertuples(index=False):
+                tree = BallTree(np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.rows).reshape(-1, d))
+                for a in range(0, len(left), block_rows):
+                    part = slice(a, a + block_rows)
+                    for i, (ids, scores) in enumerate(tree.search(asked[part], q[part], k, floor[part]), a):
+                        out.append(pd.DataFrame({"query_id": asked[i], "check": int(left["check"].iloc[i]), "vec_id": ids, "score": scores.astype(np.int64)}))
+        return pd.concat(out)
 
     result = "query_id long, check int, vec_id long, score long"
-    tables = packed.select("shard", "ids", "rows").groupBy("shard")
-    with_key = routed.withColumn("check", F.hash("x"))
-    home_rows = with_key.join(home.select(F.col("key.query_id").alias("query_id"), F.col("key.col2").alias("check"), "shard"), ["query_id", "check", "shard"])
-    first = spool(home_rows.select("query_id", "check", "x", "shard").groupBy("shard").cogroup(tables).applyInPandas(visit(False), result), "first")
-    kth = first.groupBy("query_id", "check").agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("low")).select(
-        "query_id", "check", F.when(F.col("m") >= k, F.col("low").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor")
-    )
-    homes = home_rows.select("query_id", "check", F.col("shard").alias("home"))
-    rest = with_key.join(homes, ["query_id", "check"]).where(F.col("shard") != F.col("home")).join(kth, ["query_id", "check"], "left")
-    rest = rest.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).where(F.col("bound") >= F.col("floor"))
-    second = rest.select("query_id", "check", "x", "shard", "floor").groupBy("shard").cogroup(tables).applyInPandas(visit(True), result)
+    def searched(rows: DataFrame) -> DataFrame:
+        """The queries at their shards, at most about ``shard_rows`` of them in a task: a shard that
+        more ask for is searched by several."""
+        parts = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
+        left = rows.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("query_id", "check"), F.col("parts")))
+        right = packed.join(parts, "shard").select("shard", "ids", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        left = left.select("query_id", "check", "x", "floor", "shard", "part")
+        return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(visit, result)
+
+    first = spool(searched(home.select("query_id", "check", "x", "shard", "floor")), "first")
+    kth = first.groupBy("query_id", "check").agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("low"))
+    known = home.drop("floor").join(kth, ["query_id", "check"], "left")
+    floor = F.when(F.col("m") >= k, F.col("low").cast("double")).otherwise(F.lit(float("-inf")))
+    known = known.select(F.col("query_id").alias("vec_id"), "x", "check", F.col("shard").alias("home"), floor.alias("floor"))
+    second = searched(spool(routes(known, False).select("query_id", "check", "x", "shard", "floor"), "routes"))
     merged = first.union(second).groupBy("query_id", "check").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k).alias("best")
     )

@@ -77,6 +77,20 @@ def exponential_moving_averages(spark, sf):
     return _pick(s.exponential_averages(bars(spark, sf), BAR_AXIS), *[f"ema_{n}" for n in s.EMA_PERIODS])
 
 
+@query(
+    "exponential_mean_over_gaps",
+    f"""WITH RECURSIVE {SQL_BARS}, num AS MATERIALIZED (SELECT key, day, CASE WHEN day(day) % 4 <> 0 THEN close END AS v, row_number() OVER {W} AS rn FROM bars),
+    e AS (SELECT key, day, rn, v AS y, CAST(1 AS BIGINT) AS g FROM num WHERE rn = 1 UNION ALL
+      SELECT n.key, n.day, n.rn, CASE WHEN n.v IS NULL THEN p.y WHEN p.y IS NULL THEN n.v ELSE (pow({11 / 13!r}, p.g) * p.y + {2 / 13!r} * n.v) / (pow({11 / 13!r}, p.g) + {2 / 13!r}) END,
+        CASE WHEN n.v IS NULL THEN p.g + 1 ELSE 1 END FROM e p JOIN num n ON n.key = p.key AND n.rn = p.rn + 1)
+    SELECT key, day, round(y, 4) AS ema_12 FROM e""",
+)
+def exponential_mean_over_gaps(spark, sf):
+    """A quarter of the days has no price; older values lose weight with the days that pass."""
+    rows = bars(spark, sf).withColumn("close", F.when(F.dayofmonth("day") % 4 != 0, F.col("close")))
+    return _pick(s.exponential_averages(rows, BAR_AXIS, spans=(12,)), "ema_12")
+
+
 _MACD_SQL = f"""WITH RECURSIVE {SQL_BARS}, num AS MATERIALIZED (SELECT key, day, close AS v, row_number() OVER {W} AS rn FROM bars),
     ema AS (SELECT key, day, rn, v, v AS f, v AS s, CAST(0 AS DOUBLE) AS g FROM num WHERE rn = 1
       UNION ALL SELECT n.key, n.day, n.rn, n.v, p.f * {11 / 13!r} + n.v * {2 / 13!r}, p.s * {25 / 27!r} + n.v * {2 / 27!r},
@@ -420,6 +434,20 @@ def cumulative_returns(spark, sf):
     return _pick(s.cumulative_return(bars(spark, sf), BAR_AXIS), "cumulative_return", digits=5)
 
 
+_FALLEN = "CASE WHEN key % 10 = 3 AND day >= DATE '1997-01-01' THEN 0 WHEN day(day) = 5 THEN -close ELSE close END"
+
+
+@query(
+    "cumulative_returns_to_nothing",
+    f"""{WITH}, p AS (SELECT key, day, {_FALLEN} AS p FROM bars), x AS (SELECT *, first_value(p) OVER {W} AS p0, bool_or(p = 0) OVER {W} AS gone FROM p)
+    SELECT key, day, round(CASE WHEN gone THEN -1.0 ELSE p / p0 - 1 END, 5) AS cumulative_return FROM x""",
+)
+def cumulative_returns_to_nothing(spark, sf):
+    """Some prices fall to zero for good, some are negative for a day."""
+    rows = bars(spark, sf).withColumn("close", F.expr(_FALLEN))
+    return _pick(s.cumulative_return(rows, BAR_AXIS), "cumulative_return", digits=5)
+
+
 @query(
     "return_autocorrelation",
     f"""{WITH}, x AS (SELECT key, day, {RET} AS a FROM bars), y AS (SELECT *, lag(a) OVER {W} AS b FROM x)

@@ -221,12 +221,17 @@ def union_of_sources(spark, sf):
     "duplicate_row_counts",
     """WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text, lang), h AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
     SELECT 'documents' AS dataset, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM g
-    UNION ALL SELECT 'lineitem', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT) FROM h""",
+    UNION ALL SELECT 'lineitem', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT) FROM h
+    UNION ALL SELECT 'events', (SELECT count(*) + count(*) FILTER (event_id % 5 = 0) + count(*) FILTER (event_id % 7 = 0) FROM events), (SELECT count(*) FILTER (event_id % 5 = 0) FROM events)""",
 )
 def duplicate_row_counts(spark, sf):
+    """The events hold whole rows again, and rows that differ by a microsecond only."""
+    e = table(spark, sf, "events")
+    late = e.filter("event_id % 7 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL '0.000001' SECOND"))
+    c = pf.duplicate_rows(e.unionByName(e.filter("event_id % 5 = 0")).unionByName(late)).withColumn("dataset", F.lit("events"))
     a = pf.duplicate_rows(table(spark, sf, "documents"), ["text", "lang"]).withColumn("dataset", F.lit("documents"))
     b = pf.duplicate_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]).withColumn("dataset", F.lit("lineitem"))
-    return a.unionByName(b).select("dataset", "rows", "duplicates")
+    return a.unionByName(b).unionByName(c).select("dataset", "rows", "duplicates")
 
 
 @query(
@@ -347,6 +352,18 @@ def numeric_profile(spark, sf):
     return _rounded(out.withColumn("variance", r("variance", 2)), 4, skip=("variance", "min", "max"))
 
 
+@query(
+    "numeric_profile_with_gaps",
+    """SELECT count(v) AS "count", round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std, max(v) AS max, count(*) FILTER (v < 0) AS negatives
+    FROM (SELECT CASE WHEN event_id % 10 <> 0 AND event_id % 11 <> 0 THEN value - 10 END AS v FROM events)""",
+)
+def numeric_profile_with_gaps(spark, sf):
+    """A tenth of the values is NaN, an eleventh null."""
+    v = F.when(F.col("event_id") % 10 == 0, float("nan")).when(F.col("event_id") % 11 != 0, F.col("value") - 10)
+    out = pf.numeric_profile(table(spark, sf, "events").select(v.alias("v")), ["v"])
+    return out.select("count", r("mean").alias("mean"), r("median").alias("median"), r("std").alias("std"), "max", "negatives")
+
+
 _STR = ("text", "lang", "source")
 
 

@@ -230,9 +230,9 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sequences: DataFrame, thre
     first common shingle of such a pair lies among the first n - ceil(t n) + 1 of each, and what
     follows it on both sides must still suffice.
     """
-    tagged = shared.select("sketch", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = tagged.groupBy("sketch", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sketch", "key")
-    wanted = spool(tagged.join(mixed, ["sketch", "key"]).select("node", "label").distinct(), "open")
+    tagged = shared.select("sketch", "key", "m", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = tagged.groupBy("sketch", "key", "m").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sketch", "key", "m")
+    wanted = spool(join_key_values(tagged.drop("m"), mixed, ["sketch", "key"], "m").select("node", "label").distinct(), "open")
 
     entries = spool(sequences.join(wanted.select("node"), "node").select("node", F.size("h").alias("n"), F.explode("h").alias("shingle")), "entries")
     counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")

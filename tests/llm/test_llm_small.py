@@ -12,19 +12,7 @@ import numpy as np
 import pytest
 
 from marketweave.llm import decontaminate, htmltext, lm, neardup, packing, pii, quality, secrets, suffixes, topk
-
-WORDS = "the of and to in alpha beta gamma delta river stone cloud amber forest quiet signal marble harbor velvet copper".split()
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", "s", "ed", "ing"]) for _ in range(n))
-
-
-def documents(spark, rows):
-    """A documents table with extra columns that carry names the operators use inside."""
-    data = [(i, t, "en", "s", len(t or ""), 1, "x", 0.5) for i, t in rows]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, n int, digest string, score double")
-
+from tests_llm_data import documents, prose
 
 @pytest.fixture(scope="module")
 def corpus():

@@ -4,12 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-
-WORDS = "the of and to in alpha beta gamma delta river stone cloud amber forest quiet signal marble harbor velvet copper".split()
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", "s", "ed", "ing"]) for _ in range(n))
+from tests_llm_data import prose
 
 
 def test_every_stage_takes_effect(spark, tmp_path):

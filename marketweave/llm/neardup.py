@@ -50,7 +50,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Labelled shingle hashes of texts; word hashes are remembered up to a bound."""
 
-    def __init__(self, words: int, remembered: int = 200_000):
+    def __init__(self, words: int, remembered: int = 100_000):
         self.words, self.remembered = words, remembered
         self.known: dict[bytes, int] = {}
 

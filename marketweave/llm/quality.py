@@ -105,15 +105,21 @@ def damped(x: np.ndarray, typical: np.ndarray) -> np.ndarray:
 
 
 def _moments(typical: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("quality", pa.int32()), ("at", pa.int32()), ("part", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partial sums of 1, x and x x' per class: 2 (d + 1)^2 rows a partition at most."""
         sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for label, part in pdf.groupby("quality"):
-                x = np.column_stack((np.ones(len(part)), damped(np.array(part["x"].tolist()), typical)))
-                sums[int(label)] = sums.get(int(label), 0) + x.T @ x
+        for batch in batches:
+            labels = batch.column(0).to_numpy()
+            x = np.array(batch.column(1).to_pylist()).reshape(-1, N_FEATURES)
+            for label in set(labels.tolist()):
+                part = damped(x[labels == label], typical)
+                part = np.column_stack((np.ones(len(part)), part))
+                sums[label] = sums.get(label, 0) + part.T @ part
         for label, s in sums.items():
-            yield pd.DataFrame({"quality": label, "at": np.arange(s.size), "part": s.ravel()})
+            arrays = [np.full(s.size, label, np.int32), np.arange(s.size, dtype=np.int32), s.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], schema=schema)
 
     return run
 
@@ -165,7 +171,7 @@ def fit(rows: DataFrame, labels: DataFrame, shrinkage: float = 0.05, temperature
     known = spool(rows.join(votes, "doc_id").select(F.round("share").cast("int").alias("quality"), "x"), "labelled")
     means = known.where("quality = 1").agg(*[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(N_FEATURES)]).first()
     typical = np.array([v or 0.0 for v in means])
-    summed = known.mapInPandas(_moments(typical), "quality int, at int, part double").groupBy("quality", "at").agg(F.sum("part").alias("s"))
+    summed = known.mapInArrow(_moments(typical), "quality int, at int, part double").groupBy("quality", "at").agg(F.sum("part").alias("s"))
     d = N_FEATURES + 1
     sums: dict[int, np.ndarray] = {}
     for r in summed.collect():  # 2 x 441 numbers
@@ -190,9 +196,11 @@ def accepted(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out:
     """The documents whose score reaches the threshold, with all their columns."""
     rows = vectors(documents).where(fold_of("doc_id", folds) != held_out)
     model = documents.sparkSession.sparkContext.broadcast(fit(rows, labels))
+    at = documents.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.value.scores(np.array([statistics(t or "") for t in texts]).reshape(-1, N_FEATURES)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in plain_texts(batch.column(at))]).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(model.value.scores(x) >= threshold, pa.bool_()))
 
-    return documents.where(score("text") >= threshold)
+    return text_rows(documents, "*").mapInArrow(run, documents.schema)

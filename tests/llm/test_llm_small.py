@@ -184,6 +184,24 @@ def test_disclosing_terms(spark):
     assert pii.personal_data_report(documents(spark, [])).collect() == []
 
 
+def test_disclosing_terms_of_entities_in_one_and_two_texts(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 60)) for i in range(300)]
+    rows += [(500, f"{prose(rng, 20)} zanzibar writes carl@example.org"), (500, None)]  # one text
+    rows += [(501 + i, f"{prose(rng, 20)} clinic with dora@example.org and +1 555 123 4567 {prose(rng, 9)}") for i in range(2)]  # two texts
+    rows += [(510, f"İstanbul ΟΔΟΣ.Αθήνα {prose(rng, 9)} emil@example.org"), (511, "with bob@example.com"), (512, rows[302][1])]
+    got = {(r.doc_id, r.n_email): r.spans for r in pii.personal_data_report(documents(spark, rows)).collect()}
+    text = {i: t for i, t in rows if t}
+
+    def shown(i):
+        spans = [s.split(":") for s in got[i, 1].split(",")]
+        return {text[i][int(a) : int(b)] for k, a, b in spans if k == "term"}
+
+    assert shown(500) == {"zanzibar", "writes"}
+    assert shown(501) == shown(502) == {"clinic"}  # "with" stands in a text without the entity, too
+    assert shown(510) == {"İstanbul", "ΟΔΟΣ", "Αθήνα"} and shown(511) == set()
+
+
 # --- secrets
 
 

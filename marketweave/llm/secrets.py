@@ -1,10 +1,13 @@
 """Secret scans: patterns for assignments and keys, and a token-efficiency test for random strings.
 
-The patterns give the base spans. The test looks at every run of key-like characters that mixes
-letters and digits (or cases) and compares its length with its number of tokens under a public
-byte-level vocabulary: written language needs few tokens for many characters, a random string many.
-Runs below ``max_chars_per_token`` are ``random`` spans, unless they are known digests (32, 40, 56,
-64, 96 or 128 hexadecimal digits), UUIDs, numbers, dates or lie in a base span or an address.
+The patterns give the base spans. The test looks at every run of key-like characters and compares
+its length with its number of tokens under a public byte-level vocabulary: written language needs
+few tokens for many characters, a random string many. Runs below ``max_chars_per_token`` are
+``random`` spans. A run that is not is cut at / and =, then at dots, then at + _ -, and its pieces
+are judged alike, so that a path does not cover the key in it; what stands beside a base span in the
+same run is judged, too. Short pieces and pieces that look like words (letters of one case) must
+be below a smaller ratio, see ``limit``; less than 12 characters are not judged. Known digests (32,
+40, 56, 64, 96 or 128 hexadecimal digits), UUIDs, numbers, dates and addresses are no spans.
 
 Edge cases: null is the empty text; empty texts have no spans; offsets are code points, end
 exclusive; rows with equal ids are scanned one by one; other columns are ignored. Work per row is
@@ -41,7 +44,16 @@ KNOWN = re.compile(
     r"|[0-9.,:_/=+-]+\Z",
     re.IGNORECASE | re.ASCII,
 )
-RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+# fixed values: digests and UUIDs inside a longer run
+INSIDE = re.compile(
+    r"(?<![0-9a-z])(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{128}|[0-9a-f]{96}|[0-9a-f]{64}|[0-9a-f]{56}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9a-z])",
+    re.IGNORECASE | re.ASCII,
+)
+LEAST = 12
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+# fixed values: where a run is cut, step by step
+CUTS = tuple(re.compile(c) for c in (r"[^/=]+", r"[^/=.]+", r"[A-Za-z0-9]+"))
+BLOCK = 4096  # characters that are encoded at once
 RESULT = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
@@ -70,21 +82,60 @@ def _mixed(run: str) -> bool:
     return (digits >= 3 and upper + lower >= 3) or (upper >= 3 and lower >= 3 and digits >= 1)
 
 
+def limit(run: str) -> float:
+    """Share of ``max_chars_per_token`` that a run must stay below; 0 for runs that are not judged.
+    Long words and rare syllables of any language come near the ratio of short random strings."""
+    pieces = CUTS[-1].findall(run)
+    size = sum(map(len, pieces))
+    if size < LEAST or len(pieces) > 1 and (len(run) < 16 or size < 5 * len(pieces) and not _mixed(run)):
+        return 0.0
+    if not all(p.isalpha() and (p.isupper() or p[1:].islower()) for p in pieces):
+        return 1.0 if len(run) >= 16 else 0.9
+    if len(pieces) > 1:
+        return 0.75
+    if run.isupper():
+        return 1.0 if size >= 16 else 0.8
+    return 0.95 if size >= 20 else 0.8 if size >= 16 else 0.75
+
+
+def random_pieces(text: str, a: int, b: int, encode, max_chars_per_token: float, step: int = 0) -> Iterator[tuple[str, int, int]]:
+    while b > a and text[b - 1] in ".=-_/+":
+        b -= 1
+    run = text[a:b]
+    if b - a < LEAST or KNOWN.match(run):
+        return
+    share = limit(run)
+    if share and (b - a) / sum(len(encode(run[i : i + BLOCK])) for i in range(0, b - a, BLOCK)) < share * max_chars_per_token:
+        yield "random", a, b
+        return
+    for k in range(step, len(CUTS)):
+        parts = [m.span() for m in CUTS[k].finditer(text, a, b)]
+        if parts != [(a, b)]:
+            for x, y in parts:
+                yield from random_pieces(text, x, y, encode, max_chars_per_token, k + 1)
+            return
+
+
 def random_spans(text: str, base: list[tuple[str, int, int]], encode, max_chars_per_token: float) -> list[tuple[str, int, int]]:
     found, k = [], 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        while b > a and text[b - 1] in ".=-_/+":
-            b -= 1
-        run = text[a:b]
         while k < len(base) and base[k][2] <= a:
             k += 1
-        if b - a < 16 or KNOWN.match(run) or not _mixed(run):
-            continue
-        if any(s < b and a < e for _, s, e in base[k:] if s < b) or text[max(a - 1, 0) : a] == "@" or text[b : b + 1] == "@":
+        end = b
+        while end > a and text[end - 1] in ".=-_/+":
+            end -= 1
+        if "@" in (text[max(a - 1, 0) : a], text[end : end + 1]):
             continue
-        if (b - a) / len(encode(run)) < max_chars_per_token:
-            found.append(("random", a, b))
+        taken, j = [u.span() for u in INSIDE.finditer(text, a, b)], k
+        while j < len(base) and base[j][1] < b:
+            taken.append(base[j][1:])
+            j += 1
+        for x, y in sorted(taken):
+            if x > a:
+                found.extend(random_pieces(text, a, x, encode, max_chars_per_token))
+            a = max(a, y)
+        found.extend(random_pieces(text, a, b, encode, max_chars_per_token))
     return found
 
 

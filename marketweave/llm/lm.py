@@ -23,19 +23,20 @@ A frequent word costs one row per chunk and shard, however often it occurs.
 
 Edge cases: null and empty texts are the end alone; rows with equal ids are scored one by one; with
 no training text, unknown tokens share the uniform probability 1/(V+1); a chunk holds at least one
-text, so the longest text bounds the memory of a task; other columns are ignored.
+text, so the longest text bounds the memory of a task; other columns are ignored. A task that runs
+again must read its rows in the same order, as from files; otherwise the run fails and gives no scores.
 """
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,7 +91,12 @@ def bigram_keys(numbers: np.ndarray, starts: np.ndarray, start: int) -> np.ndarr
 
 
 class Chunk:
-    def __init__(self):
+    """Texts that are asked for together. The name joins them with the answers of all shards, so a
+    task that runs again gives it again: place of the chunk in its partition and hash of its rows."""
+
+    def __init__(self, partition: int, number: int):
+        self.place = f"{partition}-{number}"
+        self.rows = xxhash.xxh3_128()
         self.ids: dict[bytes, int] = {END: 0, START: 1}
         self.tokens: list[np.ndarray] = []
         self.doc_ids: list = []
@@ -109,9 +115,11 @@ class Chunk:
         self.doc_ids.append(doc_id)
         self.held.append(held)
         self.size += len(text) + 1
+        self.rows.update(f"{doc_id!r} {held} {len(text)} ".encode())
+        self.rows.update(text)
 
     def messages(self, shards: int) -> Iterator[tuple]:
-        chunk = uuid.uuid4().hex
+        chunk = f"{self.place}-{self.rows.hexdigest()}"
         lengths = np.array([len(t) for t in self.tokens], dtype=np.uint32)
         tokens = np.concatenate(self.tokens)
         words = list(self.ids)
@@ -148,13 +156,16 @@ class Chunk:
 
 def _read(shards: int, chunk_bytes: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk()
+        context = TaskContext.get()
+        partition, number = context.partitionId() if context else 0, 0
+        chunk = Chunk(partition, number)
         for batch in batches:
             for doc_id, text, held in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 chunk.add(doc_id, text, held)
                 if chunk.size >= chunk_bytes:
                     yield from _rows(chunk.messages(shards), schema)
-                    chunk = Chunk()
+                    number += 1
+                    chunk = Chunk(partition, number)
         if chunk.doc_ids:
             yield from _rows(chunk.messages(shards), schema)
 
@@ -253,11 +264,16 @@ def score_chunk(n: int, v: int, bigrams: list[int], pairs: int, before: list[int
     rest = float((d1[1:] * [before[0], before[1], before[4]]).sum())
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        body = pdf[pdf["kind"] == "body"].iloc[0]
+        bodies = pdf[pdf["kind"] == "body"]
+        if len(bodies) != 1:
+            raise RuntimeError(f"chunk {key[0]}: {len(bodies)} bodies; the rows of documents changed their order when a task ran again")
+        body = bodies.iloc[0]
         ranks, places, lengths, start = unpack(body["data"])
         counts = [unpack(x) for x in pdf[pdf["kind"] == "counts"].sort_values("shard")["data"]]
         count, one, two, more, pair = (np.concatenate([c[i] for c in counts]) for i in range(5))
         prior = np.concatenate([unpack(x)[0] for x in pdf[pdf["kind"] == "before"].sort_values("shard")["data"]])
+        if not len(count) == len(prior) == len(places):
+            raise RuntimeError(f"chunk {key[0]}: answers for {len(count)} and {len(prior)} of {len(places)} words")
         numbers = places[ranks].astype(np.uint64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         keys = bigram_keys(numbers, starts, int(start[0]))

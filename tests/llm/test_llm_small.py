@@ -9,8 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from marketweave.llm import decontaminate, htmltext, lm, neardup, packing, pii, quality, secrets, suffixes, topk
 from tests_llm_data import documents, prose
 
@@ -149,6 +152,20 @@ def test_language_model_without_rows(spark):
     assert lm.scores(documents(spark, [])).collect() == []
 
 
+def test_language_model_chunks_keep_their_names_when_a_task_runs_again(spark, corpus):
+    kind = lm.MESSAGE.format(id="long")
+    schema = to_arrow_schema(spark.createDataFrame([], kind).schema)
+    rows = [*corpus, *corpus]  # equal chunks have names of their own
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows]), pa.array([False] * len(rows))], names=["doc_id", "text", "held"])
+    runs = [[(m["kind"][0].as_py(), m["chunk"][0].as_py(), m["shard"][0].as_py(), m["data"][0].as_py()) for m in lm._read(2, 2000, schema)(iter([batch]))] for _ in range(2)]
+    assert runs[0] == runs[1]
+    bodies = [chunk for k, chunk, _, _ in runs[0] if k == "body"]
+    assert len(bodies) == len(set(bodies)) > 10
+    docs = documents(spark, rows).coalesce(1).selectExpr("doc_id", "text", "false AS held")
+    parts = docs.union(docs).mapInArrow(lm._read(2, 2000, schema), kind).where("kind = 'body'").select("chunk").collect()
+    assert len(parts) == len(set(parts)) == 2 * len(bodies)
+
+
 # --- personal data
 
 

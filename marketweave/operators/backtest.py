@@ -5,7 +5,7 @@ A fold is bounded by the calendar: it runs over daily rows. Thousands of folds r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -56,6 +56,32 @@ def run_backtest(
     return df.select(*cols).groupBy(*keys).applyInPandas(fold, schema)
 
 
+def follow_book(state: tuple[int, float], trades: Iterable[tuple[str, int, float]]) -> tuple[tuple[int, float], list[tuple]]:
+    """Average-cost book from (held, average price) on: the new state, and per trade what was
+    executed, the position, its average price, the realised profit and whether it opened a short."""
+    (held, avg), out = state, []
+    for act, q, p in trades:
+        q, done, pnl, short = int(q), 0, 0.0, False
+        if act == "BUY" and q > 0:
+            total = held + q
+            if held < 0:  # buys the short back first
+                covered = min(q, -held)
+                pnl = covered * (avg - p) - commission(covered * p)
+                avg = p if total > 0 else avg if total else 0.0
+            else:
+                avg = (held * avg + q * p) / total
+            held, done = total, q
+        elif act == "SELL" and q > 0 and held > 0:
+            done = min(q, held)
+            pnl = done * (p - avg) - commission(done * p)
+            held -= done
+            avg = avg if held else 0.0
+        elif act == "SELL" and q > 0 and held == 0:
+            held, avg, done, short = -q, p, q, True
+        out.append((done, held, avg, pnl, short))
+    return (held, avg), out
+
+
 def keep_positions(trades: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Average-cost book over (action, quantity, price): position, average price, realised profit.
     Selling more than held is cut to what is held; selling with nothing held opens a short."""
@@ -65,26 +91,7 @@ def keep_positions(trades: DataFrame, keys: Sequence[str], order: Sequence[str])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        held, avg, out = 0, 0.0, []
-        for act, q, p in zip(pdf["action"], pdf["quantity"], pdf["price"]):
-            q, done, pnl, short = int(q), 0, 0.0, False
-            if act == "BUY" and q > 0:
-                total = held + q
-                if held < 0:  # buys the short back first
-                    covered = min(q, -held)
-                    pnl = covered * (avg - p) - commission(covered * p)
-                    avg = p if total > 0 else avg if total else 0.0
-                else:
-                    avg = (held * avg + q * p) / total
-                held, done = total, q
-            elif act == "SELL" and q > 0 and held > 0:
-                done = min(q, held)
-                pnl = done * (p - avg) - commission(done * p)
-                held -= done
-                avg = avg if held else 0.0
-            elif act == "SELL" and q > 0 and held == 0:
-                held, avg, done, short = -q, p, q, True
-            out.append((done, held, avg, pnl, short))
+        _, out = follow_book((0, 0.0), zip(pdf["action"], pdf["quantity"], pdf["price"]))
         book = pd.DataFrame(out, columns=["executed", "position", "avg_price", "pnl", "is_short"], index=pdf.index)
         out_cols = [*keys, *order, "action", "executed", "price", "position", "avg_price", "pnl", "is_short"]
         return pd.concat([pdf[[*keys, *order, "action", "price"]], book], axis=1)[out_cols]

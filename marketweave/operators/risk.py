@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +144,11 @@ def equity_alerts(path: DataFrame, axis: Axis, capital: float, value: str = "por
     return rows.select(*axis.keys, *axis.order, value, F.explode(kinds).alias("alert"))
 
 
+def drift_flags(rows: np.ndarray, recent: np.ndarray, history: np.ndarray, last: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The two flags of ``model_drift`` over arrays; unknown means are NaN and raise no flag."""
+    return (recent > factor * history).astype(int), ((rows > 10) & (last > 0.1)).astype(int)
+
+
 def model_drift(errors: DataFrame, axis: Axis, error: str, window: int = 100, factor: float = 1.5) -> DataFrame:
     """Mean error of the last rows of each model against the rows before them."""
     rows = number_rows(errors, axis, "__rn", size="__n")

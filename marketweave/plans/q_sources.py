@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from marketweave.functions.num import r
 from marketweave.operators import scaling as scl
+from marketweave.plans.q_trading import sql_book
 from marketweave.plans.registry import query
 from marketweave.plans.roles import table
 from marketweave.session import new_shared_path
 from marketweave.sources import readers as rd
+from marketweave.streaming import stateful as states
 from marketweave.streaming import streams as st
 
 
@@ -172,3 +174,67 @@ def streamed_drawdown_alerts(spark, sf):
 def streamed_idempotent_sink(spark, sf):
     e = _events(spark, sf).filter(F.col("value") > 5).select("event_id", "value")
     return st.run_idempotent(e, new_shared_path(spark, "sink"), new_shared_path(spark, "sink-state"))
+
+
+@query(
+    "streamed_weekly_bars",
+    f"""WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, arg_min(value, {{'t': ts, 'i': event_id}}) AS o, max(value) AS h, min(value) AS l, arg_max(value, {{'t': ts, 'i': event_id}}) AS c, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, date_trunc('week', day) AS start, arg_min(o, day) AS open, max(h) AS high, min(l) AS low, arg_max(c, day) AS close, CAST(sum(n) AS BIGINT) AS volume, count(*) AS bars FROM d
+    GROUP BY 1, 2 HAVING date_trunc('week', any_value(day)) + INTERVAL 7 DAY {_CLOSED}""",
+)
+def streamed_weekly_bars(spark, sf):
+    """Weekly bars from the daily windows of the same stream."""
+    out = _run(spark, st.coarser_bars(_events(spark, sf), ["user_id"], "ts", "event_id", "value"), "weeks")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "streamed_late_rows",
+    """WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events),
+    a AS (SELECT ts, least(2, floor(3.0 * (epoch_us(ts) - lo) / (hi - lo)) + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END) AS k FROM events, b),
+    s AS (SELECT k, rows, max(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS mark FROM (SELECT k, count(*) AS rows, max(epoch_us(ts) // 1000) AS top FROM a GROUP BY k))
+    SELECT CAST(s.k AS BIGINT) AS batch_id, any_value(rows) AS rows, count(*) FILTER (epoch_us(ts) <= mark * 1000) AS late, any_value(mark) AS watermark_ms FROM s JOIN a ON a.k = s.k GROUP BY s.k""",
+)
+def streamed_late_rows(spark, sf):
+    """The events arrive in three parts of time, some of them a part too late; the stream is
+    restarted for every part."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    third = F.floor(3.0 * (F.unix_micros("ts") - low) / (high - low)) + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0)
+    source, out, counts, checkpoint = (new_shared_path(spark, f"late-{part}") for part in ("source", "out", "counts", "checkpoint"))
+    for part in range(3):
+        e.where(F.least(third, F.lit(2)) == part).write.mode("append").parquet(source)
+        found = st.gated_sink(st.file_stream(spark, source, e.schema), "ts", 3_600_000, out, counts, checkpoint)
+    return found.select("batch_id", "rows", "late", "watermark_ms")
+
+
+_CLOSED_ROWS = "c AS (SELECT * FROM events WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events))"
+_TRADE = "CASE WHEN event_id % 5 < 2 THEN 'SELL' ELSE 'BUY' END"
+
+
+@query(
+    "streamed_position_book",
+    f"""WITH RECURSIVE {_CLOSED_ROWS}, {sql_book(f"SELECT user_id AS key, ts AS t, event_id AS tie, {_TRADE} AS action, 1 + event_id % 7 AS q, value + 1 AS p FROM c")}
+    SELECT b.key AS user_id, tie AS event_id, action, done AS executed, held AS position, round(price, 6) AS avg_price, round(pnl, 6) AS pnl, short AS is_short FROM book b JOIN num2 n ON n.key = b.key AND n.rn = b.rn""",
+)
+def streamed_position_book(spark, sf):
+    """An average-cost book per user over the events as trades, in typed state."""
+    e = _events(spark, sf).select(
+        "user_id", "ts", "event_id", F.when(F.col("event_id") % 5 < 2, "SELL").otherwise("BUY").alias("action"), (1 + F.col("event_id") % 7).alias("quantity"), (F.col("value") + 1).alias("price")
+    )
+    out = states.run_stateful(spark, states.stream_positions(e, "user_id", "ts", "event_id"), new_shared_path(spark, "book"), new_shared_path(spark, "book-state"))
+    return out.select("user_id", "event_id", "action", "executed", "position", r("avg_price").alias("avg_price"), r("pnl").alias("pnl"), "is_short")
+
+
+@query(
+    "streamed_model_drift",
+    f"""WITH {_CLOSED_ROWS}, m AS (SELECT event_type, event_id, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS rows, avg(value) OVER (w ROWS 99 PRECEDING) AS a, avg(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 100 PRECEDING) AS b,
+      avg(value) OVER (w ROWS 9 PRECEDING) AS l FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+    SELECT event_type, event_id, rows, round(a + 3.3e-8, 6) AS recent_error, round(b + 3.3e-8, 6) AS historical_error, round(l + 3.3e-8, 6) AS last_10_error, CAST(coalesce(a > 1.02 * b, false) AS INT) AS drift, CAST(rows > 10 AND l > 0.1 AS INT) AS high_error FROM m""",
+)
+def streamed_model_drift(spark, sf):
+    """Values of an event type as the errors of a model; a low factor, so that there are alerts.
+    The shift keeps means that end in an exact half off the edge of rounding."""
+    rows = states.stream_drift(_events(spark, sf), "event_type", "ts", "event_id", "value", factor=1.02)
+    out = states.run_stateful(spark, rows, new_shared_path(spark, "drift"), new_shared_path(spark, "drift-state"))
+    return out.select("event_type", "event_id", "rows", *[r(F.col(c) + 3.3e-8).alias(c) for c in ("recent_error", "historical_error", "last_10_error")], "drift", "high_error")

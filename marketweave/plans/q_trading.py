@@ -196,10 +196,27 @@ def equity_alerts(spark, sf):
     return out.groupBy("alert").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
 
 
-@query("position_book")
+def sql_book(trades: str) -> str:
+    """The average-cost book over (key, t, tie, action, q, p), trade after trade."""
+    return f"""num2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, tie) AS rn FROM ({trades})),
+    book AS (SELECT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS held, 0.0::DOUBLE AS price, CAST(0 AS BIGINT) AS done, 0.0::DOUBLE AS pnl, false AS short FROM num2 WHERE rn = 1
+      UNION ALL SELECT key, rn, held + CASE WHEN action = 'BUY' THEN q WHEN held > 0 THEN -least(q, held) WHEN held = 0 THEN -q ELSE 0 END,
+        CASE WHEN action = 'BUY' AND held >= 0 THEN (held * price + q * p) / (held + q) WHEN action = 'BUY' AND held + q > 0 THEN p WHEN action = 'BUY' AND held + q = 0 THEN 0
+          WHEN action = 'SELL' AND held > 0 AND q >= held THEN 0 WHEN action = 'SELL' AND held = 0 THEN p ELSE price END,
+        CASE WHEN action = 'BUY' OR held = 0 THEN q WHEN held > 0 THEN least(q, held) ELSE 0 END,
+        CASE WHEN action = 'BUY' AND held < 0 THEN least(q, -held) * (price - p) - greatest(least(q, -held) * p * 0.001, 1) WHEN action = 'SELL' AND held > 0 THEN least(q, held) * (p - price) - greatest(least(q, held) * p * 0.001, 1) ELSE 0 END,
+        action = 'SELL' AND held = 0
+      FROM (SELECT n.key, n.rn, n.action, n.q, n.p, b.held, b.price FROM book b JOIN num2 n ON n.key = b.key AND n.rn = b.rn + 1))"""
+
+
+@query(
+    "position_book",
+    f"""WITH RECURSIVE {_BT}, {sql_book("SELECT key, day AS t, 0 AS tie, action, 10 AS q, close AS p FROM eq WHERE action <> 'HOLD'")}
+    SELECT b.key, n.t AS day, action, done AS executed, p AS price, held AS position, round(b.price, 6) AS avg_price, round(pnl, 6) AS pnl, short AS is_short FROM book b JOIN num2 n ON n.key = b.key AND n.rn = b.rn""",
+)
 def position_book(spark, sf):
     trades = equity(spark, sf).filter(F.col("action") != "HOLD").select("key", "day", "action", F.lit(10).alias("quantity"), F.col("close").alias("price"))
-    return bt.keep_positions(trades, ["key"], ["day"])
+    return bt.keep_positions(trades, ["key"], ["day"]).withColumns({"avg_price": r("avg_price"), "pnl": r("pnl")})
 
 
 @query(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketweave.operators.axis import Axis, running
 from marketweave.operators.series import exponential_averages
-from marketweave.session import cut
+from marketweave.session import cut, new_shared_path
+
+COUNTS = "batch_id long, rows long, late long, watermark_ms long, seen_ms long"
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -23,12 +25,30 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
 
 def stream_bars(ticks: DataFrame, keys: Sequence[str], ts: str, tie: str, price: str, volume: str | None = None, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Open, high, low, close, volume per key and tumbling window."""
+    out = _windowed_bars(ticks, keys, ts, tie, price, volume, width, delay)
+    return out.select(*keys, F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
+
+
+def _windowed_bars(ticks: DataFrame, keys: Sequence[str], ts: str, tie: str, price: str, volume: str | None, width: str, delay: str) -> DataFrame:
     at = F.struct(ts, tie)
-    out = ticks.withWatermark(ts, delay).groupBy(*keys, F.window(ts, width)).agg(
+    return ticks.withWatermark(ts, delay).groupBy(*keys, F.window(ts, width)).agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"),
         (F.sum(volume) if volume else F.count(F.lit(1))).alias("volume"),
     )
-    return out.select(*keys, F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
+
+
+def coarser_bars(
+    ticks: DataFrame, keys: Sequence[str], ts: str, tie: str, price: str, volume: str | None = None, fine: str = "1 day", coarse: str = "7 days", offset: str = "4 days", delay: str = "1 hour"
+) -> DataFrame:
+    """Weekly bars (from Mondays) made of the daily bars of the same stream: the closed daily
+    windows feed a second aggregation, whose state holds one row per key and week and not ticks."""
+    bars = _windowed_bars(ticks, keys, ts, tie, price, volume, fine, delay)
+    day = F.col("window.start")
+    out = bars.groupBy(*keys, F.window(F.window_time("window"), coarse, coarse, offset).alias("wide")).agg(
+        F.min_by("open", day).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", day).alias("close"),
+        F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("bars"),
+    )
+    return out.select(*keys, F.col("wide.start").alias("start"), "open", "high", "low", "close", "volume", "bars")
 
 
 def rolling_means(ticks: DataFrame, keys: Sequence[str], ts: str, value: str, width: str = "20 days", slide: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -118,6 +138,28 @@ def run_idempotent(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.parquet(out).select(*stream.columns)
 
 
-def late_rows(query) -> int:
-    """Rows dropped because they came after the watermark, over the recent batches of a query."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+def gated_sink(stream: DataFrame, ts: str, delay_ms: int, out: str, counts: str, checkpoint: str) -> DataFrame:
+    """Rows in time go to ``out/batch=*/late=false``, rows behind the watermark beside them to
+    ``late=true``, from where they can be repaired; the counts per batch are returned.
+
+    The watermark of a batch is the largest event time of the batches before it, less the delay, as
+    the engine's own. Each batch counts its rows while it writes them (observed metrics, one pass),
+    and owns its folders: a repeated batch counts once, a restart goes on from the folder of the
+    batch before, and no batch is forgotten however many there are.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema(COUNTS).parquet(f"{counts}/batch={batch_id - 1}").first()["seen_ms"] if batch_id else None
+        mark = None if seen is None else seen - delay_ms
+        late = F.lit(False) if mark is None else F.coalesce(F.unix_micros(ts) <= mark * 1000, F.lit(False))
+        noted = Observation()
+        found = (F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"), F.max(F.unix_millis(ts)).alias("top"))
+        batch.withColumn("late", late).observe(noted, *found).write.partitionBy("late").mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        n = noted.get
+        top = max((v for v in (seen, n["top"]) if v is not None), default=None)
+        spark.createDataFrame([(batch_id, n["rows"], n["late"], mark, top)], COUNTS).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(COUNTS).parquet(f"{counts}/batch=*")

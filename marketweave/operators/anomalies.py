@@ -1,4 +1,4 @@
-"""Multivariate anomaly detectors: isolation forest, elliptic envelope, density noise, local density."""
+"""Multivariate anomaly detectors: isolation forest, elliptic envelope, density noise (local density: neighbours.py)."""
 
 from __future__ import annotations
 
@@ -202,118 +202,3 @@ def dbscan_noise(df: DataFrame, cols: Sequence[str], pk: Sequence[str], eps: flo
     noise = thin.join(covered.withColumnRenamed("q", "pid"), "pid", "left_anti").select(*cols, F.lit(1).alias("outlier_dbscan"))
     keyed = df.select(*pk, *[F.col(c).cast("double").alias(c) for c in cols])
     return keyed.join(noise, cols, "left").fillna(0, ["outlier_dbscan"])
-
-
-# -- local density ----------------------------------------------------------------------------
-
-
-SLICE_ROWS = 20_000
-
-
-def nearest_neighbours(df: DataFrame, cols: Sequence[str], pk: str, k: int, pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """Exact k nearest rows of every row: (q, p, dist, rank), without comparing all pairs.
-
-    A few pivot rows cut the space into regions. The k+1 rows closest to each pivot give every
-    region an upper bound of the k-th neighbour distance of its rows; a row is sent only to the
-    regions whose pivot distance leaves room for that bound (triangle inequality). Both the rows
-    held by a region and the rows asking it are cut into slices of a fixed size, and each slice
-    pair keeps the k best per asking row, so no task grows with a crowded region.
-    """
-    from pyspark.sql import Window
-
-    from marketweave.session import cut
-
-    cols = list(cols)
-    data = df.dropna(subset=cols).select(F.col(pk).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-    rows = data.count()
-    pivots = pivots or int(min(2048, max(32, math.sqrt(rows) / 4)))
-    chosen = [list(r["v"]) for r in data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots).collect()]  # at most `pivots` rows
-    centers = np.unique(np.array(chosen), axis=0)
-
-    def to_centers(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(((x[:, None, :] - centers[None]) ** 2).sum(axis=2))
-
-    @F.pandas_udf("struct<region int, dist double>")
-    def assign(vs: pd.Series) -> pd.DataFrame:
-        dist = to_centers(np.array(vs.tolist(), dtype=float))
-        best = dist.argmin(axis=1)
-        return pd.DataFrame({"region": best, "dist": dist[np.arange(len(dist)), best]})
-
-    placed = cut(data.withColumn("__a", assign("v")).select("id", "v", "__a.region", "__a.dist"))
-    stats = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("outer"), F.min("dist").alias("inner")).collect()  # one row per pivot
-    # Spark limits each group to k+1 rows before the shuffle
-    first = Window.partitionBy("region").orderBy("dist", "id")
-    closest: dict[int, list[float]] = {}
-    for row in placed.select("region", "dist", F.row_number().over(first).alias("rn")).filter(F.col("rn") <= k + 1).collect():  # (k + 1) per pivot
-        closest.setdefault(row["region"], []).append(row["dist"])
-    between = to_centers(centers)
-    bound = {}
-    for a in stats:
-        reach = sorted(a["outer"] + between[a["region"], b["region"]] + d for b in stats for d in closest[b["region"]])
-        bound[a["region"]] = reach[min(k, len(reach) - 1)]
-    shell = {s["region"]: (s["inner"], s["outer"]) for s in stats}
-
-    @F.pandas_udf("array<int>")
-    def targets(vs: pd.Series, regions: pd.Series) -> pd.Series:
-        dist = to_centers(np.array(vs.tolist(), dtype=float))
-        limit = np.array([bound[r] for r in regions]) + 1e-9
-        ids = np.array(sorted(shell))
-        inner, outer = np.array([shell[i][0] for i in ids]), np.array([shell[i][1] for i in ids])
-        d = dist[:, ids]
-        hit = (d - outer[None] <= limit[:, None]) & (inner[None] - d <= limit[:, None])
-        return pd.Series([ids[h] for h in hit])
-
-    asking = cut(placed.select("id", "v", F.explode(targets("v", "region")).alias("region")))
-    asked = {r["region"]: r["n"] for r in asking.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
-    parts = lambda n: max(1, math.ceil(n / SLICE_ROWS))
-    lookup = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("region"))
-    slices, chunks = lookup({s["region"]: parts(s["n"]) for s in stats}), lookup({i: parts(n) for i, n in asked.items()})
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    left = asking.withColumn("slice", every(slices)).withColumn("chunk", mine(chunks, 1))
-    right = placed.select("id", "v", "region").join(F.broadcast(asking.select("region").distinct()), "region", "left_semi")  # one row per pivot
-    right = right.withColumn("slice", mine(slices, 2)).withColumn("chunk", every(chunks))
-
-    def closest_rows(keys, questions: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if not len(questions) or not len(candidates):
-            return pd.DataFrame({"q": [], "p": [], "dist": []})
-        y, ids = np.array(candidates["v"].tolist(), dtype=float), candidates["id"].to_numpy()
-        found = []
-        for at in range(0, len(questions), 256):
-            part = questions.iloc[at : at + 256]
-            x = np.array(part["v"].tolist(), dtype=float)
-            dist = np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(axis=2))
-            dist[part["id"].to_numpy()[:, None] == ids[None]] = np.inf
-            order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, : min(k, len(ids))]
-            found.append(
-                pd.DataFrame({"q": np.repeat(part["id"].to_numpy(), order.shape[1]), "p": ids[order].ravel(), "dist": np.take_along_axis(dist, order, axis=1).ravel()})
-            )
-        out = pd.concat(found)
-        return out[np.isfinite(out["dist"])]
-
-    by = ("region", "slice", "chunk")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(closest_rows, "q long, p long, dist double")
-    w = Window.partitionBy("q").orderBy("dist", "p")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def local_outlier_factor(df: DataFrame, cols: Sequence[str], pk: Sequence[str], k: int = 20, threshold: float = 1.5) -> DataFrame:
-    """Ratio of the neighbours' density to the row's own; above the threshold is an outlier."""
-    from marketweave.session import cut
-
-    (key,) = pk
-    nn = cut(nearest_neighbours(df, cols, key, k))
-    reach = nn.groupBy("q").agg(F.max("dist").alias("k_dist"))
-    dens = cut(
-        nn.join(reach.select(F.col("q").alias("p"), "k_dist"), "p")
-        .groupBy("q")
-        .agg((1.0 / (F.avg(F.greatest("k_dist", "dist")) + 1e-10)).alias("lrd"))
-    )
-    lof = (
-        nn.join(dens.select(F.col("q").alias("p"), F.col("lrd").alias("p_lrd")), "p")
-        .groupBy("q")
-        .agg(F.avg("p_lrd").alias("m"))
-        .join(dens, "q")
-        .select(F.col("q").alias(key), (F.col("m") / F.col("lrd")).alias("lof"))
-    )
-    return lof.withColumn("outlier_lof", flag(F.col("lof") > threshold))

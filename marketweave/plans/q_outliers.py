@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketweave.functions.num import r
 from marketweave.operators import anomalies as an
+from marketweave.operators import neighbours as nb
 from marketweave.operators import outliers as ol
 from marketweave.operators import scaling as scl
 from marketweave.plans.registry import query
@@ -81,9 +82,10 @@ def outlier_column_summary(spark, sf):
 
 @query("outlier_auto_detection")
 def outlier_auto_detection(spark, sf):
-    df = _lines(spark, sf)
-    plan = {k: v for k, v in ol.detection_plan(df, COLS).items() if k in ("iqr", "mad", "zscore")}
-    return ol.detect(df, plan)
+    """The whole plan over four columns: three single-column methods, the forest and local density."""
+    cols = [*COLS, "l_discount", "l_tax"]
+    df = table(spark, sf, "lineitem").select(*PK, *cols)
+    return ol.detect(df, ol.detection_plan(df, cols), PK).drop(*cols)
 
 
 @query("capped_by_quantiles", f"WITH {_EV_STATS} SELECT event_id, round(least(greatest(value, value_q5), value_q95), 9) AS value FROM events, s")
@@ -196,7 +198,7 @@ def density_noise_flags(spark, sf):
     SELECT nn.q AS vec_id, round(avg(b.lrd) / any_value(a.lrd), 5) AS lof, CAST(avg(b.lrd) / any_value(a.lrd) > 1.5 AS INT) AS outlier_lof FROM nn JOIN l a ON nn.q = a.q JOIN l b ON nn.p = b.q GROUP BY nn.q""",
 )
 def local_outlier_factors(spark, sf):
-    out = an.local_outlier_factor(_points(spark, sf), ["x0", "x1"], ["vec_id"], k=20)
+    out = nb.local_outlier_factor(_points(spark, sf), ["x0", "x1"], ["vec_id"], k=20)
     return out.select("vec_id", r("lof", 5).alias("lof"), "outlier_lof")
 
 

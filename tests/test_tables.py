@@ -149,18 +149,6 @@ def test_density_noise_is_exact(spark, salts):
     assert (out["outlier_dbscan"].to_numpy() == brute_noise(x, 0.5, 5)).all()
 
 
-def test_nearest_neighbours_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(an, "SLICE_ROWS", 30)
-    rng = np.random.default_rng(6)
-    x = np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(8, 0.2, (100, 3))])
-    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
-    out = an.nearest_neighbours(df, ["a", "b", "c"], "id", 5, pivots=8).toPandas()
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    got = out.sort_values(["q", "rank"])["dist"].to_numpy().reshape(-1, 5)
-    np.testing.assert_allclose(got, np.sort(d, axis=1)[:, :5], rtol=1e-9)
-
-
 def test_density_noise_in_five_columns(spark):
     rng = np.random.default_rng(6)
     x = np.vstack([rng.normal(0, 0.2, (80, 5)), rng.normal(3, 0.25, (40, 5)), rng.uniform(-4, 4, (30, 5))])

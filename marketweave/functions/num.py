@@ -69,3 +69,9 @@ def sample_skew(g1: Column, n: Column) -> Column:
 def sample_kurtosis(g2: Column, n: Column) -> Column:
     """Bias-corrected excess kurtosis from the population value."""
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` over a column that it mentions several times: the value stands once in the plan, as the
+    only element of an array, instead of once per mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -313,6 +314,64 @@ def leakage_audit(df: DataFrame, target: str, features: Sequence[str], limit: fl
     )
 
 
+def leakage_by_time(df: DataFrame, target: str, features: Sequence[str], order: str, folds: int = 5, limit: float = 0.999, factor: float = 2.0) -> DataFrame:
+    """Per feature what the audit says, and the error of chronological cross-validation with all
+    features (mean and deviation over the folds) and without this one; it leaks if it is suspicious
+    or if the error without it is ``factor`` times as large.
+
+    Time is cut into folds + 1 stretches of equal rows (equal times stay together); each is
+    predicted by a least-squares fit on all earlier ones. Fits and errors need only sums of products
+    per stretch, so one pass serves every fold and every left-out feature. Rows with a missing
+    value are left out. A fold without rows or with fewer rows than features is skipped.
+    """
+    cols = [*features, target]
+    at = F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    whole = df.select(order, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    for c in cols:
+        whole = whole.where(~F.isnan(c))
+    clean = whole.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(cols)], at.alias("at"))
+    edges = exact_quantiles(clean, ["at"], [k / (folds + 1) for k in range(1, folds + 1)])["at"]
+    scale = clean.agg(*[F.struct(F.avg(f"x{i}").alias("m"), F.stddev_pop(f"x{i}").alias("s")).alias(f"x{i}") for i in range(len(cols))]).first()
+    audit = {r["feature"]: r for r in leakage_audit(whole, target, features, limit).collect()}  # one row per feature
+    schema = "feature string, suspicious_name int, equals_target int, cv_mse double, cv_mse_std double, mse_without double, leaks int"
+    if edges[0] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    stretch = F.lit(0)
+    for e in edges:
+        stretch = stretch + (F.col("at") > e).cast("int")
+    size = len(cols) + 1
+    z = [F.lit(1.0), *[(F.col(f"x{i}") - scale[f"x{i}"]["m"]) / (scale[f"x{i}"]["s"] or 1.0) for i in range(len(cols))]]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    staged = clean.select(stretch.alias("stretch"), *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    sums = staged.groupBy("stretch").agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    moments = np.zeros((folds + 1, size, size))
+    for r in sums.collect():  # one row per stretch
+        for i, j in pairs:
+            moments[r["stretch"], i, j] = moments[r["stretch"], j, i] = r[f"s{i}_{j}"]
+    unit = (scale[f"x{len(cols) - 1}"]["s"] or 1.0) ** 2
+
+    def errors(kept: list[int]) -> list[float]:
+        out = []
+        for k in range(1, folds + 1):
+            past, now = moments[:k].sum(axis=0), moments[k]
+            if past[0, 0] <= len(kept) or not now[0, 0]:
+                continue
+            b = np.linalg.lstsq(past[np.ix_(kept, kept)], past[kept, -1], rcond=1e-10)[0]
+            out.append(max((now[-1, -1] - 2 * b @ now[kept, -1] + b @ now[np.ix_(kept, kept)] @ b) / now[0, 0], 0.0) * unit)
+        return out
+
+    every = list(range(size - 1))
+    full = errors(every)
+    rows = []
+    for i, c in enumerate(features, 1):
+        rest = errors([k for k in every if k != i])
+        with_all, without = (float(np.mean(e)) if e else None for e in (full, rest))
+        named, equal = audit[c]["suspicious_name"], audit[c]["equals_target"]
+        caught = named or equal or (without is not None and without > factor * with_all)
+        rows.append((c, named, equal, with_all, float(np.std(full)) if full else None, without, int(caught)))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def constraint_violations(df: DataFrame, rules: dict[str, Column], key: Sequence[str] = ()) -> DataFrame:
     """(rule, violations): rows for which a rule is false, and rows that repeat a key."""
     entries = [F.struct(F.lit(n).alias("rule"), F.count_if(~rule).alias("violations")) for n, rule in rules.items()]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.functions.num import nan_to_null, numeric_columns
+from marketweave.functions.num import bound, nan_to_null, numeric_columns
 from marketweave.functions.scalar import inverse_yeo_johnson, yeo_johnson
 from marketweave.operators.outliers import column_stats
 from marketweave.operators.quantiles import exact_quantiles
@@ -68,8 +69,6 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> dict
             for i, lam in enumerate(trial[c]):
                 v = row[f"{c}_{i}"]["v"]
                 if n and v and v > 0:
-                    import math
-
                     scored.append((-0.5 * n * math.log(v) + (lam - 1) * j, -i, lam, row[f"{c}_{i}"]["m"], math.sqrt(v)))
             if scored:
                 _, _, lam, mean, sd = max(scored)
@@ -80,35 +79,73 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> dict
     return best
 
 
+#: Normal scores are limited to those of this probability and its complement.
+EDGE = 1e-7
+
+
+def _poly(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for k in coefficients[1:]:
+        out = out * x + k
+    return out
+
+
 def _ppf(p: Column) -> Column:
-    """Inverse normal distribution by rational approximation (published by P. Acklam), |error| < 1.2e-9."""
+    """Inverse normal distribution by rational approximation (published by P. Acklam), refined once."""
     # Coefficients of the approximation.
     a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
     b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
     c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
     d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
 
-    def poly(cs, x):
-        out = F.lit(cs[0])
-        for k in cs[1:]:
-            out = out * x + k
-        return out
+    def middle(p: Column) -> Column:
+        q = p - 0.5
+        return bound(q * q, lambda s: _poly(a, s) / _poly(b, s)) * q
+
+    def tail(p: Column) -> Column:
+        return bound(F.sqrt(-2 * F.ln(p)), lambda t: _poly(c, t) / _poly(d, t))
+
+    def refined(p: Column, z: Column) -> Column:
+        """One step of Halley's method on the distribution function."""
+        return bound((normal_cdf(z) - p) * math.sqrt(2 * math.pi) * F.exp(z * z / 2), lambda u: z - u / (1 + z * u / 2))
+
+    def rough(p: Column) -> Column:
+        return F.when(p < 0.02425, tail(p)).when(p > 0.97575, -tail(1 - p)).otherwise(middle(p))
+
+    return bound(p, lambda p: bound(rough(p), lambda z: refined(p, z)))
 
-    q = p - 0.5
-    mid = poly(a, q * q) * q / poly(b, q * q)
-    t_lo, t_hi = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
-    return F.when(p < 0.02425, poly(c, t_lo) / poly(d, t_lo)).when(p > 0.97575, -poly(c, t_hi) / poly(d, t_hi)).otherwise(mid)
+
+def normal_cdf(z: Column) -> Column:
+    """Normal distribution function by rational approximation (published by J. F. Hart), for
+    |z| < 7 within 1e-14; beyond, 0 or 1."""
+    # Coefficients of the approximation, highest power first.
+    top = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+    bottom = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+    def tail(x: Column) -> Column:
+        return F.when(x < 7, F.exp(-x * x / 2) * _poly(top, x) / _poly(bottom, x)).otherwise(0.0)
+
+    def both(z: Column) -> Column:
+        return F.when(z > 0, 1 - bound(F.abs(z), tail)).when(z <= 0, bound(F.abs(z), tail))
+
+    return bound(z, both)
 
 
 def _interpolate(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
     """Piecewise linear through sorted points: the position is found by counting smaller points
     in a literal array, so the expression stays small."""
     px, py = F.array(*[F.lit(float(v)) for v in xs]), F.array(*[F.lit(float(v)) for v in ys])
-    at = F.aggregate(px, F.lit(0), lambda acc, v: acc + F.when(v <= x, 1).otherwise(0))
-    lo = F.greatest(F.least(at, F.lit(len(xs) - 1)), F.lit(1))
-    x0, x1, y0, y1 = px[lo - 1], px[lo], py[lo - 1], py[lo]
-    inside = F.when(x1 > x0, y0 + (x - x0) / (x1 - x0) * (y1 - y0)).otherwise(y1)
-    return F.when(x.isNotNull(), F.when(x <= xs[0], float(ys[0])).when(x >= xs[-1], float(ys[-1])).otherwise(inside))
+
+    def inside(x: Column) -> Column:
+        at = F.aggregate(px, F.lit(0), lambda acc, v: acc + F.when(v <= x, 1).otherwise(0))
+
+        def between(lo: Column) -> Column:
+            x0, x1, y0, y1 = px[lo - 1], px[lo], py[lo - 1], py[lo]
+            return F.when(x1 > x0, y0 + (x - x0) / (x1 - x0) * (y1 - y0)).otherwise(y1)
+
+        return F.when(x <= xs[0], float(ys[0])).when(x >= xs[-1], float(ys[-1])).when(x.isNotNull(), bound(F.greatest(F.least(at, F.lit(len(xs) - 1)), F.lit(1)), between))
+
+    return bound(x, inside)
 
 
 def scaled(c: Column, p: dict) -> Column:
@@ -118,7 +155,7 @@ def scaled(c: Column, p: dict) -> Column:
     if p["kind"] == "quantile":
         n = len(p["grid"]) - 1
         u = _interpolate(x, p["grid"], [i / n for i in range(n + 1)])
-        return _ppf(F.greatest(F.least(u, F.lit(1 - 1e-7)), F.lit(1e-7))) if p["output"] == "normal" else u
+        return bound(u, lambda u: F.when(u.isNotNull(), _ppf(F.greatest(F.least(u, F.lit(1 - EDGE)), F.lit(EDGE))))) if p["output"] == "normal" else u
     if p["kind"] == "power":
         x = yeo_johnson(x, p["lambda"])
     return (x - p["shift"]) / p["scale"]
@@ -130,7 +167,8 @@ def inverted(c: Column, p: dict) -> Column:
     if p["kind"] == "quantile":
         n = len(p["grid"]) - 1
         if p["output"] == "normal":
-            raise ValueError("invert the uniform output of the quantile scaler")
+            # the limited ends are the smallest and largest values of the grid
+            c = bound(normal_cdf(c), lambda u: F.when(u <= EDGE * (1 + 1e-3), 0.0).when(u >= 1 - EDGE * (1 + 1e-3), 1.0).otherwise(u))
         return _interpolate(c, [i / n for i in range(n + 1)], p["grid"])
     x = c * p["scale"] + p["shift"]
     return inverse_yeo_johnson(x, p["lambda"]) if p["kind"] == "power" else x

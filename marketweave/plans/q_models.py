@@ -8,6 +8,7 @@ from marketweave.functions.num import r
 from marketweave.operators import evaluate as ev
 from marketweave.operators import labels as lab
 from marketweave.operators import ml
+from marketweave.operators import quality as ql
 from marketweave.operators import series as s
 from marketweave.plans.registry import query
 from marketweave.plans.roles import BAR_AXIS, bars, daily_orders, table
@@ -107,6 +108,14 @@ def feature_set_uplift(spark, sf):
     return ev.uplift(res, ["model", "fold"], ["accuracy", "f1"])
 
 
+@query("leakage_over_time")
+def leakage_over_time(spark, sf):
+    """Return features of the bars, and one made of the coming return that its name does not give away."""
+    rows = training_rows(spark, sf).withColumn("signal", F.col("target_return") * 0.8 + F.pmod(F.hash("key", "day"), F.lit(100)) / 10000.0)
+    out = ql.leakage_by_time(rows, "target_return", [*STOCK, "signal"], "day")
+    return out.select("feature", "suspicious_name", "equals_target", *[r(c, 9).alias(c) for c in ("cv_mse", "cv_mse_std", "mse_without")], "leaks")
+
+
 @query("overfitting_check")
 def overfitting_check(spark, sf):
     every = ml.fill_features(training_rows(spark, sf), STOCK).withColumn("y", F.col("target_up").cast("double"))

@@ -236,12 +236,29 @@ def power_scaler(spark, sf):
 
 @query("scaler_inversion_accuracy")
 def scaler_inversion_accuracy(spark, sf):
-    kinds = scl.KINDS
+    """Every kind there and back, the quantile scaler also with normal scores."""
+    kinds = [*scl.KINDS, "quantile_normal"]
     df = _events(spark, sf).select("event_id", *[F.col("value").alias(k) for k in kinds])
-    p = scl.fit(df, {k: k for k in kinds})
+    p = scl.fit(df, {k: k for k in scl.KINDS}) | scl.fit(df, {"quantile_normal": "quantile"}, output="normal")
     return scl.inversion_accuracy(scl.invert(scl.transform(df, p), p), kinds)
 
 
+@query(
+    "normal_scores",
+    """WITH q AS (SELECT quantile_cont(value, [i / 100.0 for i in range(0, 101)]) AS g FROM events),
+    x AS (SELECT event_id, value, g, greatest(least(len(list_filter(g, lambda v: v <= value)), 100), 1) AS k FROM events, q),
+    u AS (SELECT event_id, value, CASE WHEN value <= g[1] THEN 0 WHEN value >= g[101] THEN 1 WHEN g[k + 1] > g[k] THEN (k - 1) / 100.0 + (value - g[k]) / (g[k + 1] - g[k]) / 100.0 ELSE k / 100.0 END AS u FROM x)
+    SELECT event_id, round(u + 3.3e-8, 6) AS probability, round(value, 5) AS restored FROM u""",
+)
+def normal_scores(spark, sf):
+    """Normal scores of the quantiles: their probabilities and the values restored from them."""
+    df = _events(spark, sf)
+    p = scl.fit(df, {"value": "quantile"}, output="normal")
+    out = scl.invert(scl.transform(df, p), p)
+    u = scl.normal_cdf(F.col("value_scaled"))
+    return out.select("event_id", r(u + 3.3e-8, 6).alias("probability"), r("value_restored", 5).alias("restored"))
+
+
 @query("recommended_scaling")
 def recommended_scaling(spark, sf):
     df = table(spark, sf, "lineitem").select(*PK, "l_quantity", "l_extendedprice", "l_discount", "l_tax")

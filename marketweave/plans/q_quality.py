@@ -8,21 +8,24 @@ from marketweave.functions.num import r
 from marketweave.operators import quality as ql
 from marketweave.plans.q_tables import labelled
 from marketweave.plans.registry import query
-from marketweave.plans.roles import BAR_AXIS, SQL_BARS, TICK_AXIS, bars, daily_orders, table
+from marketweave.plans.roles import BAR_AXIS, SQL_BARS, TABLES, TICK_AXIS, bars, daily_orders, sql_inventory, table, table_paths
+from marketweave.sources.inventory import inventory
 
 _LAB = "x AS (SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 
 @query(
     "dataset_quality_scores",
-    f"""WITH x AS (SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-    m AS (SELECT count(*) AS n, count(*) - count(quality) AS mc FROM x), g AS (SELECT sum(c - 1) AS dup FROM (SELECT count(*) AS c FROM x GROUP BY lang, source))
-    SELECT 'documents' AS dataset, n AS rows, mc AS missing_cells, CAST(dup AS BIGINT) AS duplicates, 0::BIGINT AS mixed_columns, round(mc / (n * 4) * 100, 6) AS null_pct, round(dup / n * 100, 6) AS duplicate_pct,
-      CAST(greatest(0, round(100 - least(mc / (n * 4) * 200, 40) - least(dup / n * 100, 20))) AS INT) AS quality_score, CAST(greatest(0, floor(100 - least(mc / (n * 4) * 100, 40) - least(dup / n * 100, 20))) AS INT) AS simple_score FROM m, g""",
+    """WITH x AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+    m AS (SELECT count(*) AS n, count(*) * 7 - count(doc_id) - count(text) - count(lang) - count(source) - count(n_chars) - count(quality) - count(toxic) AS mc FROM x),
+    g AS (SELECT sum(c - 1) AS dup FROM (SELECT doc_id, text, lang, source, n_chars, quality, toxic, count(*) AS c FROM x GROUP BY ALL))
+    SELECT 'documents' AS dataset, n AS rows, mc AS missing_cells, CAST(dup AS BIGINT) AS duplicates, 0::BIGINT AS mixed_columns, round(mc / (n * 7) * 100, 6) AS null_pct, round(dup / n * 100, 6) AS duplicate_pct,
+      CAST(greatest(0, round(100 - least(mc / (n * 7) * 200, 40) - least(dup / n * 100, 20))) AS INT) AS quality_score, CAST(greatest(0, floor(100 - least(mc / (n * 7) * 100, 40) - least(dup / n * 100, 20))) AS INT) AS simple_score FROM m, g""",
 )
 def dataset_quality_scores(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    out = ql.quality_scores(d, "documents", ["lang", "source"])
+    """All columns of the documents with their labels; a duplicate repeats the whole row."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    out = ql.quality_scores(d, "documents")
     return out.select(*[r(c).alias(c) if c in ("null_pct", "duplicate_pct") else F.col(c) for c in out.columns])
 
 
@@ -236,17 +239,12 @@ def repaired_quality_report(spark, sf):
     return ql.quality_scores(e, "before").unionByName(ql.quality_scores(fixed, "after"))
 
 
-@query(
-    "ranked_datasets",
-    """WITH x AS (SELECT 'orders' AS dataset, count(*) AS rows FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents)
-    SELECT dataset, rows, CAST(row_number() OVER (ORDER BY rows DESC, dataset) AS INT) AS rank FROM x""",
-)
+@query("ranked_datasets", f"SELECT dataset, rows, CAST(row_number() OVER (ORDER BY rows DESC, dataset) AS INT) AS rank FROM ({sql_inventory()})")
 def ranked_datasets(spark, sf):
     from marketweave.operators.labels import top_k
-    from marketweave.operators.profile import dataset_rollup
 
-    names = ("orders", "events", "lineitem", "documents")
-    return top_k(dataset_rollup({t: table(spark, sf, t) for t in names}), F.col("rows"), ["dataset"], len(names)).select("dataset", "rows", "rank")
+    found = inventory(spark, table_paths(sf))
+    return top_k(found, F.col("rows"), ["dataset"], len(TABLES)).select("dataset", "rows", "rank")
 
 
 @query("prepared_orders")

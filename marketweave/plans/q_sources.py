@@ -91,7 +91,7 @@ def saved_profile_report(spark, sf):
     from marketweave.operators.profile import full_profile
 
     path = new_shared_path(spark, "report")
-    rd.save_report(full_profile(table(spark, sf, "events").drop("props")), path, "events")
+    rd.save_report(full_profile(table(spark, sf, "events")), path, "events")
     return spark.read.schema("section string, name string, metric string, value string, dataset string").json(path)
 
 

@@ -10,7 +10,8 @@ from marketweave.operators import integrate as ig
 from marketweave.operators import profile as pf
 from marketweave.operators import series as s
 from marketweave.plans.registry import query
-from marketweave.plans.roles import BAR_AXIS, SQL_BARS, SQL_NEWS, bars, daily_orders, table, texts
+from marketweave.plans.roles import BAR_AXIS, SQL_BARS, SQL_NEWS, bars, daily_orders, sql_inventory, table, table_paths, texts
+from marketweave.sources.inventory import inventory
 
 WITH = "WITH " + SQL_BARS
 
@@ -163,7 +164,7 @@ def texts_matched_by_substring(spark, sf):
     f"""{WITH}, {_SQL_GRAMS}, {_SQL_ALIAS}, hit AS (SELECT DISTINCT doc_id, entity FROM w, a WHERE contains(t, ' ' || alias || ' ')),
     n AS (SELECT hit.entity AS key, CAST(o.o_orderdate AS DATE) AS day, count(*) AS news_count, avg(o.o_totalprice / 100000.0) AS news_sentiment
           FROM hit JOIN orders o ON o.o_orderkey = hit.doc_id GROUP BY ALL)
-    SELECT b.key, b.day, b.close, n.news_count, round(n.news_sentiment, 6) AS news_sentiment FROM bars b LEFT JOIN n ON n.key = b.key AND n.day = b.day WHERE b.key IN (0, 1, 2, 3)""",
+    SELECT b.key, b.day, b.close, n.news_count, round(n.news_sentiment, 6) AS news_sentiment FROM bars b LEFT JOIN n ON n.key = b.key AND n.day = b.day""",
 )
 def integrated_entity_panel(spark, sf):
     """Texts of all entities matched in one job, aggregated per day, joined on the bars."""
@@ -173,7 +174,7 @@ def integrated_entity_panel(spark, sf):
     dated = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 100000.0).alias("score")
     )
-    out = integrate_panel(bars(spark, sf).filter(F.col("key").isin(*ENTITIES)), docs, dated, _alias_table(spark))
+    out = integrate_panel(bars(spark, sf), docs, dated, _alias_table(spark))
     return out.select("key", "day", "close", "news_count", r("news_sentiment").alias("news_sentiment"))
 
 
@@ -500,28 +501,18 @@ def labelled(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
 
 
-_TABLES = ("orders", "customer", "events", "documents", "labels")
-
-
-@query(
-    "dataset_inventory",
-    " UNION ALL ".join(
-        f"""SELECT '{t}' AS dataset, count(*) AS rows, {n} AS "columns", {num} AS numeric_columns, {st} AS string_columns, {dt} AS datetime_columns, count(*) * {n} AS cells,
-        0::BIGINT AS missing_cells, 0.0::DOUBLE AS missing_pct, count(*) AS complete_rows FROM {t}"""
-        for t, n, num, st, dt in (("orders", 6, 3, 2, 1), ("customer", 5, 3, 2, 0), ("events", 6, 3, 2, 1), ("documents", 5, 2, 3, 0), ("labels", 3, 3, 0, 0))
-    ),
-)
+@query("dataset_inventory", sql_inventory())
 def dataset_inventory(spark, sf):
-    return pf.dataset_rollup({t: table(spark, sf, t) for t in _TABLES})
+    return inventory(spark, table_paths(sf)).drop("scanned_columns")
 
 
 @query(
     "dataset_summary",
-    """WITH x AS (SELECT 'orders' AS d, count(*) AS n, 6 AS c FROM orders UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'events', count(*), 6 FROM events)
-    SELECT count(*) AS datasets, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(c) AS BIGINT) AS "columns", 0.0::DOUBLE AS avg_missing_pct, arg_max(d, n) AS largest FROM x""",
+    f"""WITH x AS ({sql_inventory()}) SELECT count(*) AS datasets, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum("columns") AS BIGINT) AS "columns", round(avg(missing_pct), 9) AS avg_missing_pct,
+      max({{'n': rows, 'd': dataset}}).d AS largest FROM x""",
 )
 def dataset_summary(spark, sf):
-    return pf.summary_of(pf.dataset_rollup({t: table(spark, sf, t) for t in ("orders", "customer", "events")}))
+    return pf.summary_of(inventory(spark, table_paths(sf))).withColumn("avg_missing_pct", r("avg_missing_pct", 9))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.num import r
@@ -243,13 +244,29 @@ def daily_profit_and_loss(spark, sf):
     return bt.daily_pnl(e, ["event_type"], "ts").select("event_type", "day", r("pnl").alias("pnl"), "trades", r("win_rate").alias("win_rate"))
 
 
-@query("pre_trade_refusals")
+@query(
+    "pre_trade_refusals",
+    f"""WITH RECURSIVE {_BT}, {SQL_NEWS}, g AS (SELECT key % 25 AS portfolio, day, portfolio_value - lag(portfolio_value) OVER (PARTITION BY key ORDER BY rn) AS gain FROM eq),
+    d AS (SELECT portfolio, day, lag(gain) OVER (PARTITION BY portfolio ORDER BY day) AS before FROM (SELECT portfolio, day, sum(gain) AS gain FROM g GROUP BY 1, 2)),
+    o AS (SELECT s.key, s.day, s.key % 25 AS portfolio, close, confidence, risk_level, coalesce(before, 0) < -200 AS lost, coalesce(news_count > 8, false) AND risk_level = 'HIGH' AS veto,
+        least(10000.0, greatest(800.0, least(100000.0 * CASE risk_level WHEN 'HIGH' THEN 0.012 WHEN 'MEDIUM-HIGH' THEN 0.012 WHEN 'MEDIUM' THEN 0.018 ELSE 0.022 END * least(confidence, 1) *
+          CASE risk_level WHEN 'HIGH' THEN 0.35 WHEN 'MEDIUM-HIGH' THEN 0.55 WHEN 'MEDIUM' THEN 0.75 ELSE 0.9 END, 7000.0))) AS size
+      FROM sig s LEFT JOIN d ON d.portfolio = s.key % 25 AND d.day = s.day LEFT JOIN news n ON n.day = s.day),
+    k AS (SELECT *, sum(CASE WHEN confidence < 0.25 OR veto OR lost THEN 0 ELSE 1 END) OVER (PARTITION BY portfolio, day ORDER BY confidence, key ROWS UNBOUNDED PRECEDING) AS n FROM o)
+    SELECT key, day, CAST(floor(size / close) AS BIGINT) AS quantity, CASE WHEN confidence < 0.25 THEN 'low confidence' WHEN lost THEN 'daily loss limit' WHEN veto THEN 'high volatility' WHEN n > 2 THEN 'daily trade limit' END AS refusal FROM k""",
+)
 def pre_trade_refusals(spark, sf):
+    """All signals as orders of 25 portfolios; profit and loss of the portfolio's day before from the
+    backtest, the regime from the news of the day."""
     sig, cap = sg.adaptive_signal(predictions(spark, sf)), F.lit(100000.0)
-    orders = sig.filter(F.col("action") != "HOLD").withColumns(
-        {"price": F.col("close"), "position_size": sg.position_size(cap, F.col("confidence"), F.col("risk_level")), "daily_pnl": F.lit(0.0), "portfolio": F.pmod("key", F.lit(25)), "regime": F.lit("HIGH_VOLATILITY")}
+    per_key, per_portfolio = Window.partitionBy("key").orderBy("day"), Window.partitionBy("portfolio").orderBy("day")
+    gains = equity(spark, sf).select((F.col("key") % 25).alias("portfolio"), "day", (F.col("portfolio_value") - F.lag("portfolio_value").over(per_key)).alias("gain"))
+    daily = gains.groupBy("portfolio", "day").agg(F.sum("gain").alias("gain")).select("portfolio", "day", F.lag("gain").over(per_portfolio).alias("before"))
+    regime = F.when(F.col("news_count") > 8, "HIGH_VOLATILITY").when(F.col("news_count") > 5, "BULLISH").otherwise("BEARISH")
+    orders = sig.withColumn("portfolio", F.col("key") % 25).join(daily, ["portfolio", "day"], "left").join(daily_orders(spark, sf), "day", "left").withColumns(
+        {"price": F.col("close"), "position_size": sg.position_size(cap, F.col("confidence"), F.col("risk_level")), "daily_pnl": F.coalesce("before", F.lit(0.0)), "regime": regime}
     )
-    out = sg.pre_trade_checks(orders, ["portfolio"], "day", ["confidence", "key"], cap, max_trades=2, regime="regime")
+    out = sg.pre_trade_checks(orders, ["portfolio"], "day", ["confidence", "key"], cap, max_trades=2, daily_loss=0.002, regime="regime")
     return out.select("key", "day", "quantity", "refusal")
 
 

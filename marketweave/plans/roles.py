@@ -18,6 +18,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The given tables with their columns, by kind: n number, f floating point, s string, d date-time, o other.
+TABLES = {
+    "region": "n r_regionkey, s r_name",
+    "nation": "n n_nationkey, s n_name, n n_regionkey",
+    "customer": "n c_custkey, s c_name, n c_nationkey, f c_acctbal, s c_mktsegment",
+    "supplier": "n s_suppkey, s s_name, n s_nationkey, f s_acctbal",
+    "part": "n p_partkey, s p_name, s p_brand, s p_type, n p_size, f p_retailprice",
+    "orders": "n o_orderkey, n o_custkey, s o_orderstatus, f o_totalprice, d o_orderdate, s o_orderpriority",
+    "lineitem": "n l_orderkey, n l_partkey, n l_suppkey, n l_linenumber, f l_quantity, f l_extendedprice, f l_discount, f l_tax, s l_returnflag, s l_linestatus, d l_shipdate",
+    "events": "n event_id, d ts, n user_id, s event_type, f value, s props",
+    "documents": "n doc_id, s text, s lang, s source, n n_chars",
+    "embeddings": "n vec_id, o embedding, n label",
+    "pages": "n page_id, s url, s html",
+    "benchmark": "n item_id, s text",
+    "labels": "n doc_id, n quality, n toxic",
+    "conversations": "n conv_id, n turn, s role, s text",
+}
+
+
+def sql_inventory() -> str:
+    """The counts of all given tables: every cell is looked at."""
+    parts = []
+    for name, columns in TABLES.items():
+        cols = [c.split() for c in columns.split(", ")]
+        gaps = [f"CAST({c} IS NULL{f' OR isnan({c})' if kind == 'f' else ''} AS INT)" for kind, c in cols]
+        kinds = [sum(kind in k for kind, _ in cols) for k in ("nf", "s", "d")]
+        parts.append(
+            f"""SELECT '{name}' AS dataset, count(*) AS rows, {len(cols)} AS "columns", {kinds[0]} AS numeric_columns, {kinds[1]} AS string_columns, {kinds[2]} AS datetime_columns, count(*) * {len(cols)} AS cells,
+            CAST(sum({" + ".join(gaps)}) AS BIGINT) AS missing_cells, 100.0 * sum({" + ".join(gaps)}) / (count(*) * {len(cols)}) AS missing_pct, count(*) FILTER ({" + ".join(gaps)} = 0) AS complete_rows FROM {name}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+def table_paths(sf_dir: str) -> dict[str, str]:
+    return {name: f"{sf_dir}/{name}.parquet" for name in TABLES}
+
+
 # Identifiers of the text tables.
 TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
 

@@ -130,3 +130,20 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_normal_scores_and_back(spark):
+    from statistics import NormalDist
+
+    z = [-8.0, -6.5, -5.2, -3.0, -1.0, -1e-9, 0.0, 0.3, 2.5, 5.2, 6.9, 9.0]
+    rows = spark.createDataFrame([(v,) for v in z], "z double").select("z", scl.normal_cdf(F.col("z")).alias("u"), scl._ppf(scl.normal_cdf(F.col("z"))).alias("back")).collect()
+    for r in rows:
+        assert abs(r.u - NormalDist().cdf(r.z)) < 1e-13
+        assert abs(r.z) > 5.2 or abs(r.back - r.z) < 1e-7
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(v),) for v in (*rng.gamma(2, 30, 500), *[7.0] * 100, 0.0)] + [(None,)], "v double")
+    p = scl.fit(df, {"v": "quantile"}, output="normal")
+    out = scl.invert(scl.transform(df, p), p)
+    assert out.where("v IS NULL").first()["v_restored"] is None
+    row = scl.inversion_accuracy(out, ["v"]).first()
+    assert row["is_exact"] == 1 and row["max_error"] < 1e-7

@@ -1,4 +1,4 @@
-"""Text features and cleaning as column expressions; only character references are decoded in Python.
+"""Text features and cleaning as column expressions.
 
 Counts that need each distinct word once fold over the sorted words: the array set functions
 compare strings pairwise, which is quadratic in the length of a text.
@@ -9,15 +9,16 @@ text is split once per row and not once per feature.
 
 from __future__ import annotations
 
+import functools
 import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketweave.functions import lexicons as lx
-from marketweave.functions.num import clip, sdiv
+from marketweave.functions.dictionary import Dictionary
+from marketweave.functions.num import bound, clip, sdiv
 
 SPACE = f"[{lx.SPACE_SIGNS}]+"
 NOT_WORD = f"[^{lx.WORD_SIGNS}{lx.SPACE_SIGNS}]"
@@ -139,15 +140,68 @@ def light_features(text: Column, ws: Column | None = None) -> dict[str, Column]:
 # -- cleaning ---------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+# A character reference behind its ampersand: decimal, hexadecimal, or a name of at most 32 signs.
+REFERENCE = "^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+
+
+@functools.cache
+def _reference_tables() -> tuple[list[tuple[str, str]], list[str], dict[int, str]]:
+    """Names, names that need no semicolon (longest first), and the numbers that do not stand for
+    themselves: all asked of the standard library, so that both agree."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    odd = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(plane * 0x10000 + low for plane in range(17) for low in (0xFFFE, 0xFFFF))]
+    return sorted(html5.items()), bare, {n: html.unescape(f"&#{n};") for n in odd if html.unescape(f"&#{n};") != chr(n)}
+
+
+def _of_number(digits: Column, base: int) -> Column:
+    _, _, special = _reference_tables()
+    odd = Dictionary(((str(n), t) for n, t in special.items()), "t string")
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    far = F.length(plain) > (7 if base == 10 else 6)
+    number = F.when(~far, F.conv(plain, base, 10).cast("long")).otherwise(F.lit(0x110000).cast("long"))
+
+    def sign(n: Column) -> Column:
+        found = odd.find(n.cast("string"))
+        lost = ((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF)
+        return F.when(lost, "\ufffd").when(F.size(found) > 0, F.get(found, F.lit(0))["t"]).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    return bound(number, sign)
+
+
+def _of_name(name: Column) -> Column:
+    names, bare, _ = _reference_tables()
+    table, short = Dictionary(names, "t string"), Dictionary(((n, html5[n]) for n in bare), "t string")
+
+    def longest(known: Column) -> Column:
+        return F.when(known.isNull(), F.concat(F.lit("&"), name)).otherwise(F.concat(F.get(short.find(known), F.lit(0))["t"], F.substr(name, F.length(known) + 1)))
+
+    def decoded(found: Column) -> Column:
+        begins = F.filter(F.split(F.lit(" ".join(bare)), " "), lambda n: F.startswith(name, n))
+        return F.when(F.size(found) > 0, F.get(found, F.lit(0))["t"]).otherwise(bound(F.get(begins, F.lit(0)), longest))
+
+    return bound(table.find(name), decoded)
+
+
+def _decoded(reference: Column) -> Column:
+    body = F.regexp_replace(F.substr(reference, F.lit(2)), ";$", "")
+    hexadecimal = F.lower(F.substr(body, F.lit(1), F.lit(1))) == "x"
+    number = F.when(hexadecimal, bound(F.substr(body, F.lit(2)), lambda d: _of_number(d, 16))).otherwise(bound(body, lambda d: _of_number(d, 10)))
+    return F.when(F.startswith(reference, F.lit("#")), number).otherwise(_of_name(reference))
 
 
 def unescape(c: Column) -> Column:
-    """All named and numeric character references. The table of names is the standard library's; as
-    a map literal in the plan its 2231 entries would cost more than the batch transfer."""
-    return _decoded(c)
+    """All named and numeric character references, as the standard library decodes them, looked up
+    inside the row. Texts without an ampersand are left alone."""
+
+    def turned(part: Column) -> Column:
+        """What stands behind an ampersand, up to the next one."""
+        rest = lambda name: F.substr(part, F.length(name) + 1)
+        return bound(F.regexp_extract(part, REFERENCE, 0), lambda name: F.when(name == "", F.concat(F.lit("&"), part)).otherwise(F.concat(_decoded(name), rest(name))))
+
+    def rebuilt(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(turned(part))), "")
+
+    return bound(c, lambda t: F.when(t.contains("&"), rebuilt(t)).otherwise(t))
 
 
 def squeeze(c: Column) -> Column:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from marketweave.functions import lexicons as lx
 from marketweave.functions import text as tx
+from marketweave.functions.dictionary import Dictionary
 from marketweave.functions.num import sdiv
 from marketweave.operators.integrate import SMALL_LOOKUP
+from marketweave.session import cut
 
 
 def add_features(df: DataFrame, text: str, *families, split=tx.words) -> tuple[DataFrame, dict[str, Column]]:
@@ -37,11 +39,23 @@ def terms(ws: Column) -> Column:
 def term_weights(docs: DataFrame, pk: str, text: str, vocabulary: int = 50, method: str = "tfidf") -> DataFrame:
     """(pk, term, tf, weight) for the most frequent terms of the collection.
 
-    The first pass counts terms; the second makes rows of vocabulary terms only.
+    Words are counted first. A pair is at most as frequent as the rarer of its words, so only pairs
+    of words as frequent as the last word that could be chosen are counted at all; the terms are
+    chosen from both exactly. The last pass makes rows of vocabulary terms only.
     """
-    found = docs.select(pk, content_words(F.col(text)).alias("__ws")).select(pk, terms(F.col("__ws")).alias("__ts"))
-    top = found.select(F.explode("__ts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary)
-    names = [r["term"] for r in top.collect()]  # at most `vocabulary` rows
+    found = docs.select(pk, content_words(F.col(text)).alias("__ws")).select(pk, "__ws", terms(F.col("__ws")).alias("__ts"))
+    count = lambda df: df.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = cut(count(found.select(F.explode("__ws").alias("term"))))
+    chosen = words.orderBy(F.desc("n"), "term").limit(vocabulary).collect()  # at most `vocabulary` rows
+    least = chosen[-1]["n"] if len(chosen) == vocabulary else 0
+    frequent = [r["term"] for r in words.where(F.col("n") >= least).select("term").limit(SMALL_LOOKUP + 1).collect()]
+    both = F.filter("__ws", lambda w: w.isNotNull())
+    if 0 < len(frequent) <= SMALL_LOOKUP:  # else nearly all words tie: count all pairs
+        # other words end a pair, as null
+        both = F.transform("__ws", lambda w: F.when(w.isin(*frequent), w))
+    pairs = F.filter(F.zip_with(both, F.slice(both, 2, F.greatest(F.size(both), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+    counted = words.where(F.col("n") >= least).unionByName(count(found.select(F.explode(pairs).alias("term"))))
+    names = [r["term"] for r in counted.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]
     kept = F.filter("__ts", lambda t: t.isin(*names) if names else F.lit(False))
     tf = found.select(pk, F.explode(kept).alias("term")).groupBy(pk, "term").agg(F.count(F.lit(1)).alias("tf"))
     if method == "count":
@@ -54,27 +68,53 @@ def term_weights(docs: DataFrame, pk: str, text: str, vocabulary: int = 50, meth
     return raw.join(norm, pk).select(pk, "term", "tf", sdiv("w", "norm").alias("weight"))
 
 
-def lexicon_scores(docs: DataFrame, pk: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Word counts and mean polarity per text from a lexicon table (word, polarity, subjectivity)."""
-    size = lexicon.count()
-    side = F.broadcast(lexicon) if size <= SMALL_LOOKUP else lexicon
-    ws = docs.select(pk, F.explode(tx.tokens(F.col(text))).alias("word"))
-    hits = ws.join(side, "word").groupBy(pk).agg(
-        F.count_if(F.col("polarity") > 0.1).alias("positive_words"),
-        F.count_if(F.col("polarity") < -0.1).alias("negative_words"),
-        F.avg("polarity").alias("polarity"),
-        F.avg("subjectivity").alias("subjectivity"),
-    )
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.size(tx.tokens(F.col(text)))
-    base = docs.select(
-        pk,
-        words.alias("word_count"),
-        t.rlike(rf"(?i)\b({'|'.join(lx.NEGATIONS)})\b").cast("int").alias("has_negation"),
-        F.regexp_count(t, F.lit("!")).alias("exclamations"),
-        F.regexp_count(t, F.lit(r"\?")).alias("questions"),
-    )
-    out = base.join(hits, pk, "left").fillna(0, ["positive_words", "negative_words"]).fillna(0.0, ["polarity", "subjectivity"])
+def polarity_columns(text: Column, ws: Column, entries: Dictionary) -> dict[str, Column]:
+    """Counts and means over the lexicon entries of a text's words, inside the row."""
+    zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("size"))
+
+    def add(acc: Column, e: Column) -> Column:
+        return F.struct(
+            (acc["p"] + (e["polarity"] > 0.1).cast("int")).alias("p"), (acc["n"] + (e["polarity"] < -0.1).cast("int")).alias("n"),
+            (acc["a"] + e["polarity"]).alias("a"), (acc["b"] + e["subjectivity"]).alias("b"), (acc["size"] + 1).alias("size"),
+        )
+
+    def result(acc: Column) -> Column:
+        mean = lambda c: F.coalesce(sdiv(acc[c], acc["size"]), F.lit(0.0))
+        return F.struct(acc["p"].cast("long").alias("positive_words"), acc["n"].cast("long").alias("negative_words"), mean("a").alias("polarity"), mean("b").alias("subjectivity"))
+
+    t = F.coalesce(text, F.lit(""))
+    return {
+        "word_count": F.size(ws),
+        "has_negation": t.rlike(rf"(?i)\b({'|'.join(lx.NEGATIONS)})\b").cast("int"),
+        "exclamations": F.regexp_count(t, F.lit("!")),
+        "questions": F.regexp_count(t, F.lit(r"\?")),
+        "__found": F.aggregate(entries.find_all(ws), zero, add, result),
+    }
+
+
+def lexicon_scores(docs: DataFrame, pk: str, text: str, lexicon: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Word counts and mean polarity per text from a lexicon table (word, polarity, subjectivity), with
+    the columns of ``keep``.
+
+    A lexicon of at most SMALL_LOOKUP words becomes a dictionary inside the row: one pass over the
+    texts, no row per word and no shuffle. A larger one is joined word by word.
+    """
+    ws = tx.tokens(F.col(text))
+    known = lexicon.select("word", F.col("polarity").cast("double"), F.col("subjectivity").cast("double")).where("word IS NOT NULL").limit(SMALL_LOOKUP + 1).collect()
+    # polarity and subjectivity are null together: such entries count for nothing
+    if len(known) <= SMALL_LOOKUP:
+        entries = Dictionary(((r["word"], r["polarity"], r["subjectivity"]) for r in known if r["polarity"] is not None and r["subjectivity"] is not None), "polarity double, subjectivity double")
+        staged = docs.select(pk, *keep, F.col(text).alias("__t"), ws.alias("__ws"))
+        out = staged.select(pk, *keep, *[c.alias(n) for n, c in polarity_columns(F.col("__t"), F.col("__ws"), entries).items()])
+        out = out.select(pk, *keep, "word_count", "has_negation", "exclamations", "questions", "__found.*")
+    else:
+        hits = docs.select(pk, F.explode(ws).alias("word")).join(lexicon, "word").groupBy(pk).agg(
+            F.count_if(F.col("polarity") > 0.1).alias("positive_words"), F.count_if(F.col("polarity") < -0.1).alias("negative_words"),
+            F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity"),
+        )
+        none = Dictionary([], "polarity double, subjectivity double")
+        base = docs.select(pk, *keep, *[c.alias(n) for n, c in polarity_columns(F.col(text), ws, none).items() if n != "__found"])
+        out = base.join(hits, pk, "left").fillna(0, ["positive_words", "negative_words"]).fillna(0.0, ["polarity", "subjectivity"])
     return out.withColumns(
         {
             "positive_ratio": F.coalesce(sdiv("positive_words", "word_count"), F.lit(0.0)),

@@ -225,8 +225,7 @@ def text_polarity_scores(spark, sf):
       round(avg(polarity) * (1 - avg(subjectivity)), 6) AS sentiment_score FROM s GROUP BY lang""",
 )
 def corpus_polarity(spark, sf):
-    d = texts(spark, sf, "documents")
-    scored = to.lexicon_scores(d, "doc_id", "text", _lexicon(spark)).join(d.select("doc_id", "lang"), "doc_id")
+    scored = to.lexicon_scores(texts(spark, sf, "documents"), "doc_id", "text", _lexicon(spark), ["lang"])
     out = to.corpus_polarity(scored, ["lang"])
     return out.select("lang", *[r(c).alias(c) for c in ("polarity", "subjectivity", "sentiment_score")], "count")
 
@@ -243,6 +242,12 @@ def text_column_characteristics(spark, sf):
     return out.select(*[r(c).alias(c) if c in ("avg_words", "avg_chars", "richness") else F.col(c) for c in out.columns])
 
 
+@query("text_columns_cleaned", _sql_news("conversations", "text", "conv_id, turn").replace("AS clean FROM", "AS text_clean FROM"))
+def text_columns_cleaned(spark, sf):
+    """The cleaned texts themselves, by the processor that the column's name asks for."""
+    return to.preprocess_columns(texts(spark, sf, "conversations"), ["text"], "auto")[0].select("conv_id", "turn", "text_clean")
+
+
 @query("text_columns_preprocessed")
 def text_columns_preprocessed(spark, sf):
     return to.preprocess_columns(texts(spark, sf, "conversations"), ["text"], "auto")[1]

@@ -10,7 +10,8 @@
    without such a container uses its own vote, a page without any container its whole body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element and by the words of class and id. Character references are decoded, white space
+left out by element and by names in class, id and role: one of the words of ``NOISE`` as a whole name,
+or compounds of them; headings and paragraphs are named by their subject and stay. Character references are decoded, white space
 inside a block becomes one space, ``br`` is white space, blocks are joined by a line feed.
 
 Edge cases: null or empty html gives an empty text; a null or unparsable url is a host of its own
@@ -51,14 +52,19 @@ NOISE = frozenset(
     "form search".split()
 )
 KEPT_WORDS = frozenset("article post entry story content main title headline".split())
+# words that add nothing to a role in a compound name
+PLAIN_WORDS = frozenset("site page top bottom left right inner outer list box bar wrap wrapper container block area section slot unit item link links button buttons icon icons".split())
+# elements whose class or id names their subject, not their role
+NAMED_BY_SUBJECT = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 SCOPES = frozenset("ul ol dl table html body article section div main td th blockquote".split())
 _MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.DOTALL)
-_NAMES = re.compile(r"""\b(class|id|style|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_WORD = re.compile(r"[a-zA-Z]+")
+# one attribute after another: a quoted value is passed over as a whole, whatever it holds
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -71,22 +77,31 @@ class Element:
     anchor: bool
 
 
-def _attributes(text: str) -> tuple[str, frozenset[str], bool]:
-    """Generalised class for the path, lower-case words of class, id and role, and hiddenness."""
-    classes, words, hidden = "", set(), False
-    for name, value in _NAMES.findall(text):
+def _is_noise(names: set[str]) -> bool:
+    """Whether a class, id or role says what the element is for: one of the words as a whole name, or a
+    compound of nothing but such words and plain ones (cookie-banner, site-header; not ad-hoc)."""
+    parts = [set(_WORD.findall(name)) for name in names]
+    return any(p & NOISE and p <= NOISE | PLAIN_WORDS for p in parts) and not any(p & KEPT_WORDS for p in parts)
+
+
+def _attributes(text: str) -> tuple[str, set[str], bool]:
+    """Generalised class for the path, lower-case names in class, id and role, and hiddenness."""
+    classes, names, hidden = "", set(), False
+    for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), value.strip("\"'")
         if name == "class":
             classes = ".".join(sorted({re.sub(r"[0-9]+", "", c) for c in value.lower().split()} - {""}))
-        if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORD.findall(value))
+        if name in ("class", "role"):
+            names.update(value.lower().split())
+        elif name == "id":
+            names.add(value.lower())
         elif name == "style":
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE) is not None
         elif name == "hidden":
             hidden = True
-        else:
+        elif name == "aria-hidden":
             hidden |= value.lower() == "true"
-    return classes, frozenset(words), hidden
+    return classes, names, hidden
 
 
 class Page:
@@ -163,12 +178,12 @@ class Page:
         if tag in VOID:
             return
         up = self.stack[-1] if self.stack else Element("", "", False, -1, False)
-        classes, words, hidden = _attributes(attributes) if attributes.strip(" /") else ("", frozenset(), False)
+        classes, names, hidden = _attributes(attributes) if attributes.strip(" /") else ("", set(), False)
         path = f"{up.path}/{tag}.{classes}" if classes else f"{up.path}/{tag}"
         dropped = up.dropped or hidden or tag in DROPPED
         if tag == "header" and up.tag in ("article", "main", "section"):
             dropped = up.dropped or hidden  # holds the headline of the article
-        if self.by_words and not dropped and tag not in ("html", "body", "article", "main") and words & NOISE and not words & KEPT_WORDS:
+        if self.by_words and not dropped and names and tag not in NAMED_BY_SUBJECT and _is_noise(names):
             dropped = True
         parent = up.parent
         if tag in CONTAINERS and not dropped:

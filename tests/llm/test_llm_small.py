@@ -477,3 +477,21 @@ def test_main_text_follows_the_host(spark):
     assert htmltext.main_texts(table).count() == len(rows)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert htmltext.main_texts(none).collect() == []
+
+
+BLOCKS_OF_THE_ARTICLE = [
+    '<p title="the hidden gem">{}</p>', '<p data-id="form-12">{}</p>', '<div data-class="share">{}</div>', '<p aria-label="see id=comment">{}</p>', '<h2 id="related-work">{}</h2>',
+    '<h2 id="login">{}</h2>', '<section id="promotion-of-health">{}</section>', '<section class="search-results-analysis">{}</section>', '<div class="ad-hoc analysis">{}</div>',
+    "<p class=comment>{}</p>", '<p title=\'class="ad"\'>{}</p>', '<div data-x="a style=display:none b">{}</div>',
+]
+NOISE_BLOCKS = [
+    '<div class="ad">{}</div>', "<div class='box AD2'>{}</div>", '<div id="comments">{}</div>', '<div class="cookie-banner">{}</div>', '<div class="site-header">{}</div>', '<section class="comment-list">{}</section>',
+    '<div role="navigation">{}</div>', '<p hidden>{}</p>', '<p style="color:red; display: none">{}</p>', '<div aria-hidden="true">{}</div>', '<nav title="class=article">{}</nav>',
+]
+
+
+@pytest.mark.parametrize("block", BLOCKS_OF_THE_ARTICLE + NOISE_BLOCKS)
+def test_blocks_of_the_article_stay_and_noise_goes(block):
+    page = f"<html><body><article><h1>Title of it</h1><p>{'First words of it. ' * 9}</p>{block.format('inside words')}<p>{'Last words of it. ' * 9}</p></article></body></html>"
+    texts = [t for t, _, _ in htmltext.Page(page).blocks]
+    assert ("inside words" in texts) == (block in BLOCKS_OF_THE_ARTICLE) and texts[0] == "Title of it" and len(texts) == 3 + (block in BLOCKS_OF_THE_ARTICLE)

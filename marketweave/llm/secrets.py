@@ -53,6 +53,9 @@ LEAST = 12
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 # fixed values: where a run is cut, step by step
 CUTS = tuple(re.compile(c) for c in (r"[^/=]+", r"[^/=.]+", r"[A-Za-z0-9]+"))
+# fixed values: the two sides of an e-mail address
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 BLOCK = 4096  # characters that are encoded at once
 RESULT = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -116,18 +119,30 @@ def random_pieces(text: str, a: int, b: int, encode, max_chars_per_token: float,
             return
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Spans of e-mail addresses. What stands between a colon and @ is a password, after mailto: a name."""
+    found, at = [], text.find("@")
+    back = text[::-1] if at >= 0 else ""
+    while at >= 0:
+        name, domain = LOCAL.match(back, len(text) - at), DOMAIN.match(text, at + 1)
+        if name and domain:
+            start = at - (name.end() - name.start())
+            if text[start - 1 : start] != ":" or text[max(start - 7, 0) : start].lower() == "mailto:":
+                found.append((start, domain.end()))
+        at = text.find("@", at + 1)
+    return found
+
+
 def random_spans(text: str, base: list[tuple[str, int, int]], encode, max_chars_per_token: float) -> list[tuple[str, int, int]]:
     found, k = [], 0
+    mails, e = addresses(text), 0
     for m in RUN.finditer(text):
         a, b = m.span()
         while k < len(base) and base[k][2] <= a:
             k += 1
-        end = b
-        while end > a and text[end - 1] in ".=-_/+":
-            end -= 1
-        if "@" in (text[max(a - 1, 0) : a], text[end : end + 1]):
-            continue
-        taken, j = [u.span() for u in INSIDE.finditer(text, a, b)], k
+        while e < len(mails) and mails[e][1] <= a:
+            e += 1
+        taken, j = [u.span() for u in INSIDE.finditer(text, a, b)] + [u for u in mails[e : e + 2] if u[0] < b], k
         while j < len(base) and base[j][1] < b:
             taken.append(base[j][1:])
             j += 1

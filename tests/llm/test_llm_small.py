@@ -495,3 +495,15 @@ def test_blocks_of_the_article_stay_and_noise_goes(block):
     page = f"<html><body><article><h1>Title of it</h1><p>{'First words of it. ' * 9}</p>{block.format('inside words')}<p>{'Last words of it. ' * 9}</p></article></body></html>"
     texts = [t for t, _, _ in htmltext.Page(page).blocks]
     assert ("inside words" in texts) == (block in BLOCKS_OF_THE_ARTICLE) and texts[0] == "Title of it" and len(texts) == 3 + (block in BLOCKS_OF_THE_ARTICLE)
+
+
+def test_keys_beside_an_at_sign():
+    encode = secrets.encoding().encode_ordinary
+    key = "Z9q2LkV7sXw3TbN8rYc4Mf"
+    spans = lambda t: [t[a:b] for kind, a, b in secrets.random_spans(t, secrets.base_spans(t), encode, 2.0)]
+    for text in (f"https://bob:{key}@host/x", f"see https://bob:{key}@git.example.com/x.git", f"user:{key}@host", f"abc@{key}", f"a@b {key} c@d.org", f"postgres://app:{key}@10.0.0.1:5432/db"):
+        assert spans(text) == [key], text
+    for text in ("write to maria.fernandez-gonzalez@universidad-nacional.example.org now", "mailto:Xq7Rt2Kp9Lm4Zw8v@lists.example.org", "Xq7Rt2Kp9Lm4Zw8v@lists.example.org", "@" * 500, "a" * 50_000 + "@"):
+        assert spans(text) == [], text
+    mixed = f"{key} j.doe@mail.example.org,{key[::-1]}@host a.long-name.of-someone@some.longer.domain.example {key}"
+    assert spans(mixed) == [key, key[::-1], key]

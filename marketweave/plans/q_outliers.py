@@ -11,7 +11,7 @@ from marketweave.operators import outliers as ol
 from marketweave.operators import scaling as scl
 from marketweave.plans.registry import query
 from marketweave.plans.roles import table
-from marketweave.session import spread
+from marketweave.session import cut, spread
 
 COLS = ("l_quantity", "l_extendedprice")
 PK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -140,9 +140,10 @@ def removed_outliers(spark, sf):
 
 @query("outlier_auto_treatment")
 def outlier_auto_treatment(spark, sf):
-    df = _lines(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
     cols = [*COLS, "o_totalprice"]
-    treated = ol.treat(df, ol.treatment_plan(ol.describe_outliers(df, cols)))
+    # joined once: the statistics of each step read what is written here
+    df = cut(_lines(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey").select(*PK, *cols))
+    treated = cut(ol.treat(df, ol.treatment_plan(ol.describe_outliers(df, cols))))
     return ol.effectiveness(df, treated, cols)
 
 

@@ -158,16 +158,19 @@ def _chunks(length: int, gram: int, hot, shards: int, chunk_bytes: int, schema:
         order = np.lexsort((start, ties[doc], ids[doc], zone, anchor))
         doc, start, n, anchor, zone = doc[order], start[order], n[order], anchor[order], zone[order]
         new, gone = _first_of_equals(anchor, zone, ids[doc], ties[doc], start)
-        for s in range(shards):
-            mine = (anchor % np.uint64(shards)) == np.uint64(s)
-            sent = np.flatnonzero(mine & new)
-            sent = sent[np.lexsort((start[sent], doc[sent]))]
-            lost = np.flatnonzero(mine & gone)
-            if len(sent) or len(lost):
-                used, place = np.unique(np.concatenate((doc[sent], doc[lost])), return_inverse=True)
-                message = [ids[used], ties[used], anchor[sent], zone[sent], place[: len(sent)].astype(np.uint32), start[sent].astype(np.uint32), n[sent].astype(np.uint8)]
-                message += [place[len(sent) :].astype(np.uint32), start[lost].astype(np.uint32), n[lost].astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(*message)], pa.binary())], schema=schema)
+        # one sort by shard, cut at its edges: the work doesn't grow with the number of shards
+        shard = anchor % np.uint64(shards)
+        opens, later = np.flatnonzero(new), np.flatnonzero(gone)
+        opens = opens[np.lexsort((start[opens], doc[opens], shard[opens]))]
+        later = later[np.argsort(shard[later], kind="stable")]
+        present = np.union1d(shard[opens], shard[later])
+        edges = [np.searchsorted(shard[x], present, side) for x in (opens, later) for side in ("left", "right")]
+        for s, a, b, c, d in zip(present.tolist(), *(e.tolist() for e in edges), strict=True):
+            sent, lost = opens[a:b], later[c:d]
+            used, place = np.unique(np.concatenate((doc[sent], doc[lost])), return_inverse=True)
+            message = [ids[used], ties[used], anchor[sent], zone[sent], place[: len(sent)].astype(np.uint32), start[sent].astype(np.uint32), n[sent].astype(np.uint8)]
+            message += [place[len(sent) :].astype(np.uint32), start[lost].astype(np.uint32), n[lost].astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(*message)], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, parts, size = [], [], 0
@@ -339,19 +342,19 @@ def _finish(schema: pa.Schema):
 
 def _hot_anchors(docs: DataFrame, length: int, gram: int, sample: int, hot_from: int) -> np.ndarray:
     """Anchors with about ``hot_from`` different surroundings or more, from a sample of the texts."""
-    schema = pa.schema([("anchor", pa.int64()), ("m", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = set()
             for text in byte_texts(batch.column(0)):
                 start, n, anchor = zones_of(text, length, gram)
-                found += {(h, xxhash.xxh3_64_intdigest(text[a : a + k + length - 1])) for a, k, h in zip(start.tolist(), n.tolist(), anchor.tolist(), strict=True)}
-            anchors, m = np.unique(np.array([h for h, _ in set(found)], dtype=np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)[m > 1]), pa.array(m[m > 1], pa.int64())], schema=schema)
+                found.update((h, xxhash.xxh3_64_intdigest(text[a : a + k + length - 1])) for a, k, h in zip(start.tolist(), n.tolist(), anchor.tolist(), strict=True))
+            both = np.array(sorted(found), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
 
-    few = docs.where(F.pmod("tie", F.lit(sample)) == 0).select("text").repartition(16)
-    counted = few.mapInArrow(run, "anchor long, m long").groupBy("anchor").agg(F.sum("m").alias("m"))
+    few = docs.where(F.pmod("tie", F.lit(sample)) == 0).select("text")
+    counted = few.mapInArrow(run, "anchor long, around long").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
     # at most (zones of the sample) / (hot_from / sample) rows
     rows = counted.where(F.col("m") >= max(2, hot_from // sample)).select("anchor").collect()
     return np.array(sorted(r["anchor"] & 0xFFFFFFFFFFFFFFFF for r in rows), dtype=np.uint64)

@@ -147,11 +147,10 @@ class Chunk:
         degree = np.bincount(first, minlength=len(order)).astype(np.uint32)
         edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
         cuts = np.concatenate(([0], np.cumsum(degree.astype(np.int64))))
-        for s in range(shards):
+        for s in np.flatnonzero(np.diff(edges)).tolist():  # at most one message a word, however many shards
             a, b = int(edges[s]), int(edges[s + 1])
-            if b > a:
-                x, y = int(cuts[a]), int(cuts[b])
-                yield ("request", chunk, s, pack(hashes[a:b], own[a:b], degree[a:b], low[x:y].reshape(-1), count[x:y]), None, None)
+            x, y = int(cuts[a]), int(cuts[b])
+            yield ("request", chunk, s, pack(hashes[a:b], own[a:b], degree[a:b], low[x:y].reshape(-1), count[x:y]), None, None)
 
 
 def _read(shards: int, chunk_bytes: int, schema: pa.Schema):
@@ -219,10 +218,13 @@ def count_shard(shards: int):
             out.append(("list", chunk, shard, pack(np.diff(np.sort(at), prepend=0).astype(np.uint32)), None, None))
         out.append(("words", None, shard, pack(words & _LOW), None, None))
         second, before = np.unique(table & _LOW, return_counts=True)
+        # one sort by target, cut at its edges: the work doesn't grow with the number of shards
         to = second % np.uint64(shards)
-        for s in np.unique(to).tolist():
-            mine = to == s
-            out.append(("before", None, int(s), pack(five_bytes(second[mine]).reshape(-1), before[mine].astype(np.uint32)), None, None))
+        order = np.argsort(to, kind="stable")
+        to, second, before = to[order], five_bytes(second[order]), before[order].astype(np.uint32)
+        targets, cuts = np.unique(to, return_index=True)
+        for s, a, b in zip(targets.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
+            out.append(("before", None, int(s), pack(second[a:b].reshape(-1), before[a:b]), None, None))
         start = xxhash.xxh3_64_intdigest(START)
         tokens = count[words != np.uint64(start)]
         numbers = [int(tokens.sum()), int((tokens > 0).sum()), *_tally(totals)]

@@ -181,14 +181,15 @@ def disclosures(rows: DataFrame, texts: DataFrame, generalise_at: float, z: floa
     group = ["set1", "set2", "n_e"]
     members = spool(holds.join(sets, "entity").select("digest", *group).distinct(), "members")
     distinct = F.first(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("terms")
-    met = held.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), distinct).join(members, "digest").select(*group, "k", F.explode("terms").alias("term"))
+    met = held.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), distinct).join(members, "digest").select("digest", *group, "k", F.explode("terms").alias("term"))
     pairs = met.groupBy(*group, "term").agg(F.sum("k").alias("n_te"), F.count(F.lit(1)).alias("texts"))
     # a term stands in n_te rows at least: what is too weak even then needs no count
     pairs = spool(pairs.where(disclosure(n, F.col("n_e"), F.col("n_te"), F.col("n_te"), F.col("texts"), z) >= generalise_at), "pairs")
     frequency = term_frequencies(texts, pairs.select("term").distinct())
     share = disclosure(n, F.col("n_e"), F.col("n"), F.col("n_te"), F.col("texts"), z)
     shown = pairs.join(frequency, "term").withColumn("disclosure", share).where(F.col("disclosure") >= generalise_at)
-    return shown.join(members, group).groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure"))
+    # a term goes only to the texts of its entity that hold it, so rows grow with the texts
+    return met.select("digest", *group, "term").join(shown.select(*group, "term", "disclosure"), [*group, "term"]).groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def personal_data(documents: DataFrame, generalise_at: float = 0.8, z: float = 1.2816) -> DataFrame:

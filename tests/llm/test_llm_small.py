@@ -222,6 +222,33 @@ def test_disclosing_terms_of_entities_in_one_and_two_texts(spark):
 # --- secrets
 
 
+def test_messages_to_shards_grow_with_the_words_only():
+    text = " ".join(f"word{i}" for i in range(500)).encode()
+
+    def sent(shards):
+        chunk = lm.Chunk(0, 0)
+        chunk.add(1, text, False)
+        return [m for m in chunk.messages(shards) if m[0] == "request"]
+
+    for shards in (1, 7, 100_000):
+        parts = [lm.unpack(m[3]) for m in sent(shards)]
+        assert sum(len(p[0]) for p in parts) == 502  # every word, start and end once
+        assert len(parts) <= min(shards, 502)
+
+
+def test_terms_reach_only_the_texts_that_hold_them(spark):
+    rng = random.Random(41)
+    for m in (20, 40):
+        rows = [(i, f"{prose(rng, 30)} write to hub@site.example about code{i}x") for i in range(m)]
+        rows += [(1000 + i, prose(rng, 30)) for i in range(3000)]
+        found = pii.personal_data(documents(spark, rows)).where("shown is not null").collect()
+        texts = dict(rows)
+        assert len(found) == m
+        for r in found:
+            words = {texts[r.doc_id][s["start"] : s["end"]] for s in r.shown}
+            assert {w for w in words if w.startswith("code")} <= {f"code{r.doc_id}x"}
+
+
 def test_secret_scan(spark):
     random_key = "q7Rk2zX9vB4mTy8Wc5Lp1Nd6"
     rows = [

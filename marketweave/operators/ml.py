@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -41,11 +43,12 @@ REGRESSORS = {
 }
 
 
-def feature_pipeline(features: Sequence[str], estimator, scale: bool = True) -> Pipeline:
+def feature_pipeline(features: Sequence[str], estimator=None, scale: bool = True) -> Pipeline:
+    """Assembled, scaled features and the estimator on them, if there is one."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="__raw" if scale else "features", handleInvalid="keep")]
     if scale:
         stages.append(StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, estimator])
+    return Pipeline(stages=[*stages, estimator] if estimator is not None else stages)
 
 
 def fill_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -62,36 +65,48 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("class_weight", w)
 
 
+METRICS = {"classification": ("accuracy", "precision", "recall", "f1"), "regression": ("mse", "rmse", "mae", "r2")}
+
+
 def cross_validate(
     df: DataFrame, axis: Axis, feature_sets: dict[str, Sequence[str]], label: str, models: dict, folds: int = 3, kind: str = "classification",
-    balanced: bool = False,
+    balanced: bool = False, parallelism: int = 4,
 ) -> DataFrame:
     """Metrics per (feature_set, model, fold) with training always before testing in every series.
 
-    The folds are written once; each fit reads its rows from there and is itself distributed.
+    The folds are written once. Each fold and feature set is assembled and scaled once, with the
+    scaler of its training rows, and all models read those vectors; ``parallelism`` models are
+    fitted at a time, each of them distributed. Accuracy of classes is 0 where no row is tested,
+    errors are NaN there.
     """
     spark = df.sparkSession
     every = sorted({c for cols in feature_sets.values() for c in cols})
     base = fill_features(df.dropna(subset=[label]), every).select(*dict.fromkeys([*axis.keys, *axis.order, *every, label])).withColumn(label, F.col(label).cast("double"))
     rows = cut(expanding_folds(base, axis, folds))
+    names, empty = METRICS[kind], 0.0 if kind == "classification" else float("nan")
+
+    def measured(build, train: DataFrame, test: DataFrame) -> tuple[float, ...]:
+        est = build().setLabelCol(label).setFeaturesCol("features")
+        if "class_weight" in train.columns and est.hasParam("weightCol"):
+            est = est.setWeightCol("class_weight")
+        scored = est.fit(train).transform(test)
+        m = (weighted_metrics if kind == "classification" else regression_metrics)(scored, label, "prediction").first()
+        return tuple(float(m[k]) if m[k] is not None else empty for k in names)
+
     out = []
-    for fold in range(folds):
-        train, test = rows.filter((F.col("fold") == fold) & (F.col("role") == "train")), rows.filter((F.col("fold") == fold) & (F.col("role") == "test"))
-        for set_name, cols in feature_sets.items():
-            for model_name, build in models.items():
-                est = build().setLabelCol(label).setFeaturesCol("features")
-                fit_on = train
-                if balanced and est.hasParam("weightCol"):
-                    fit_on, est = balanced_weights(train, label), est.setWeightCol("class_weight")
-                scored = feature_pipeline(cols, est).fit(fit_on).transform(test)
-                if kind == "classification":
-                    m = weighted_metrics(scored, label, "prediction").first()
-                    vals = {k: float(m[k] or 0.0) for k in ("accuracy", "precision", "recall", "f1")}
-                else:
-                    m = regression_metrics(scored, label, "prediction").first()
-                    vals = {k: float(m[k] if m[k] is not None else "nan") for k in ("mse", "rmse", "mae", "r2")}
-                out.append((set_name, model_name, fold, *vals.values()))
-    names = ("accuracy", "precision", "recall", "f1") if kind == "classification" else ("mse", "rmse", "mae", "r2")
+    with ThreadPoolExecutor(parallelism) as pool:
+        for fold in range(folds):
+            train, test = rows.filter((F.col("fold") == fold) & (F.col("role") == "train")), rows.filter((F.col("fold") == fold) & (F.col("role") == "test"))
+            if balanced:
+                train = balanced_weights(train, label)
+            for set_name, cols in feature_sets.items():
+                scale = feature_pipeline(cols).fit(train)
+                sides = [scale.transform(side).select("features", label, *[c for c in ("class_weight",) if c in side.columns]).persist() for side in (train, test)]
+                # one wrapper per call: each carries its own copy of the caller's job properties
+                jobs = {name: pool.submit(inheritable_thread_target(spark)(measured), build, *sides) for name, build in models.items()}
+                out += [(set_name, name, fold, *job.result()) for name, job in jobs.items()]
+                for side in sides:
+                    side.unpersist()
     return spark.createDataFrame(out, "feature_set string, model string, fold int, " + ", ".join(f"{n} double" for n in names))
 
 

@@ -157,12 +157,13 @@ def buy_and_hold(df: DataFrame, keys: Sequence[str], day: str = "day", price: st
 
 
 def compare_strategies(perf: DataFrame, strategy: str = "strategy") -> DataFrame:
-    """Mean metrics per strategy and flags for the best by Sharpe and by return (few rows)."""
+    """Mean metrics per strategy and flags for the best by Sharpe and by return (few rows). Means
+    are compared at nine digits, so that equal strategies tie; ties go to the last name."""
     m = perf.groupBy(strategy).agg(
         F.count(F.lit(1)).alias("symbols"), F.avg("total_return").alias("total_return"), F.avg("sharpe_ratio").alias("sharpe_ratio"), F.avg("max_drawdown").alias("max_drawdown"),
         F.sum("total_trades").alias("total_trades"),
     )
-    best = m.agg(F.max_by(strategy, F.struct("sharpe_ratio", strategy)).alias("__s"), F.max_by(strategy, F.struct("total_return", strategy)).alias("__r"))
+    best = m.agg(*[F.max_by(strategy, F.struct(F.round(c, 9), strategy)).alias(n) for c, n in (("sharpe_ratio", "__s"), ("total_return", "__r"))])
     return m.crossJoin(F.broadcast(best)).withColumns(  # one row
         {"best_sharpe": (F.col(strategy) == F.col("__s")).cast("int"), "best_return": (F.col(strategy) == F.col("__r")).cast("int")}
     ).drop("__s", "__r")

@@ -150,12 +150,28 @@ def trade_attribution(spark, sf):
     return bt.attribution(pairs).select("won", "trades", r("avg_return").alias("avg_return"), r("avg_holding_days").alias("avg_holding_days"))
 
 
-@query("trade_attribution_difference")
+@query(
+    "trade_attribution_difference",
+    f"""WITH RECURSIVE {_PERF}, z AS (SELECT tret > 0 AS won, avg(tret) AS r, avg(hold) AS h, avg(s.confidence) AS c FROM pr JOIN sig s ON s.key = pr.key AND s.day = pr.entry_day GROUP BY 1)
+    SELECT round(w.r - l.r, 6) AS return_difference, round(w.h - l.h, 6) AS holding_days_difference, round(w.c - l.c, 6) AS entry_confidence_difference FROM (SELECT * FROM z WHERE won) w, (SELECT * FROM z WHERE NOT won) l""",
+)
 def trade_attribution_difference(spark, sf):
-    return bt.attribution_difference(bt.attribution(bt.trade_pairs(equity(spark, sf).filter(F.col("traded") != 0), ["key"])))
+    out = bt.attribution_difference(bt.attribution(bt.trade_pairs(equity(spark, sf).filter(F.col("traded") != 0), ["key"])))
+    return out.select(*[r(c).alias(c) for c in out.columns])
+
+
+# the fold and its figures once per strategy: a key is then a strategy with a key
+_SQL_STRATEGIES = """, strategies AS (SELECT name || '/' || key AS key, day, open, high, low, close, CASE WHEN confidence > low_limit THEN action ELSE 'HOLD' END AS action, confidence, risk_level
+  FROM sig, (VALUES ('eager', 0.1), ('normal', 0.3), ('careful', 0.6)) v(name, low_limit)), num AS"""
 
 
-@query("strategy_comparison")
+@query(
+    "strategy_comparison",
+    f"""WITH RECURSIVE {_PERF.replace(", num AS", _SQL_STRATEGIES, 1).replace("FROM sig)", "FROM strategies)", 1).replace("n.c > 0.3", "n.c > 0.0")},
+    g AS (SELECT string_split(key, '/')[1] AS strategy, count(*) AS symbols, avg(tot) AS t, avg(CASE WHEN vol > 0 THEN mean * 252 / vol ELSE 0 END) AS s, avg(dd) AS d, sum(nt) AS n FROM m GROUP BY 1)
+    SELECT strategy, symbols, round(t, 6) AS total_return, round(s, 5) AS sharpe_ratio, round(d, 6) AS max_drawdown, CAST(n AS BIGINT) AS total_trades,
+      CAST(row_number() OVER (ORDER BY round(s, 9) DESC, strategy DESC) = 1 AS INT) AS best_sharpe, CAST(row_number() OVER (ORDER BY round(t, 9) DESC, strategy DESC) = 1 AS INT) AS best_return FROM g""",
+)
 def strategy_comparison(spark, sf):
     """Three confidence limits as strategies, folded side by side per (strategy, key)."""
     sig = sg.adaptive_signal(predictions(spark, sf))
@@ -164,7 +180,9 @@ def strategy_comparison(spark, sf):
         named = sig.withColumn("strategy", F.lit(name)).withColumn("action", F.when(F.col("confidence") > low, F.col("action")).otherwise("HOLD"))
         out = named if out is None else out.unionByName(named)
     perf = bt.performance(bt.run_backtest(out, ["strategy", "key"], min_confidence=0.0), ["strategy", "key"])
-    return bt.compare_strategies(perf)
+    out = bt.compare_strategies(perf)
+    digits = {"total_return": 6, "sharpe_ratio": 5, "max_drawdown": 6}
+    return out.select(*[r(c, digits[c]).alias(c) if c in digits else F.col(c) for c in out.columns])
 
 
 @query(
@@ -312,9 +330,27 @@ def dominant_periods(spark, sf):
     return rk.spectrum(bars(spark, sf), BAR_AXIS).select("key", "rank", r("period").alias("period"), F.round(F.col("power") / 1e6, 3).alias("power"))
 
 
-@query("structural_breaks")
+def _sql_breaks(breaks: int) -> str:
+    """Binary segmentation round by round: the best cut of any segment of a key, by exact cents."""
+    parts = ["r0 AS (SELECT key, day, CAST(round(close * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY key ORDER BY day) AS rn, 0 AS seg FROM bars)"]
+    for k in range(1, breaks + 1):
+        seg = "PARTITION BY key, seg"
+        parts.append(
+            f"""g{k} AS (SELECT *, count(*) OVER ({seg} ORDER BY day) AS n, sum(c) OVER ({seg} ORDER BY day) / 100.0 AS s, count(*) OVER ({seg}) AS nt, sum(c) OVER ({seg}) / 100.0 AS st FROM r{k - 1}),
+            h{k} AS (SELECT key, rn, seg, s * s / n + (st - s) * (st - s) / (nt - n) - st * st / nt AS gain FROM g{k} WHERE n >= 2 AND nt - n >= 2),
+            b{k} AS (SELECT key, rn, seg, gain FROM h{k} QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(gain, 4) DESC, rn, seg DESC) = 1),
+            r{k} AS (SELECT r.key, r.day, r.c, r.rn, CASE WHEN r.seg = b.seg AND r.rn > b.rn THEN {k} ELSE r.seg END AS seg FROM r{k - 1} r LEFT JOIN b{k} b ON b.key = r.key)"""
+        )
+    gains = " UNION ALL ".join(f"SELECT key, {k} AS seg, gain FROM b{k}" for k in range(1, breaks + 1))
+    return f"""WITH {SQL_BARS}, {", ".join(parts)}, gains AS ({gains})
+    SELECT r.key, CAST(r.seg AS INT) AS segment, min(r.day) AS day, count(*) AS rows, round(avg(r.c) / 100, 4) AS mean, round(any_value(g.gain) / 1e6, 4) AS gain FROM r{breaks} r LEFT JOIN gains g ON g.key = r.key AND g.seg = r.seg GROUP BY r.key, r.seg"""
+
+
+@query("structural_breaks", _sql_breaks(5))
 def structural_breaks(spark, sf):
-    return rk.structural_breaks(bars(spark, sf), BAR_AXIS, breaks=5)
+    """Segments between the five best mean shifts of every key; gains in millions."""
+    out = rk.structural_breaks(bars(spark, sf), BAR_AXIS, breaks=5)
+    return out.select("key", "segment", "day", "rows", r("mean", 4).alias("mean"), r(F.col("gain") / 1e6, 4).alias("gain"))
 
 
 @query(

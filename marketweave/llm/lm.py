@@ -299,18 +299,18 @@ def score_chunk(n: int, v: int, bigrams: list[int], pairs: int, before: list[int
         return pd.DataFrame({
             "doc_id": list(body["doc_ids"]), "held_out": list(body["held"]), "n_tokens": lengths.astype(np.int64),
             "n_known": np.add.reduceat((count > 0)[second].astype(np.int64), starts), "train_tokens": n,
-            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts),
+            "base_score": np.add.reduceat(base, starts), "score": (score := np.add.reduceat(logs, starts)), "perplexity": 10.0 ** (-score / lengths),
         })
 
     return run
 
 
 def scores(documents: DataFrame, folds: int = 7, held_out: int = 2, chunk_bytes: int = 12_000_000, shard_bytes: int = 24_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity per token of every row."""
     spark = documents.sparkSession
     docs = text_rows(documents, "doc_id", "text", (fold_of("doc_id", folds) == held_out).alias("held"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = max(1, -(-int(size or 0) // shard_bytes))
     message = MESSAGE.format(id=kind)

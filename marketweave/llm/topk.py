@@ -1,10 +1,11 @@
 """Exact top-k search by inner product: a ball tree per shard.
 
-Vectors become integers, floor(scale * x). They are dealt to shards of at most about ``shard_rows``
-rows by the nearest of a few pivots (fitted on a bounded hash sample of ``pivot_sample`` rows) and,
-inside a pivot's cell, by a hash of the id, so that a group of equal vectors splits as well. Each
-shard is a ball tree: a node knows its centre c and radius r, and no row in it can exceed
-q.c + |q| r.
+Vectors become integers, floor(scale * x). They are dealt to cells by the nearest of a few pivots
+(fitted on a bounded hash sample of ``pivot_sample`` rows) and, inside a cell, to groups of at most
+about 64 MB by a hash of the id. A group is cut in space, at medians, into shards of at most
+``shard_rows`` rows, so shards stay small balls where a cell holds many, and a group of equal
+vectors splits as well. Each shard is a ball tree: a node knows its centre c and radius r, and no
+row in it can exceed q.c + |q| r.
 
 Queries travel in blocks. First every query visits the shard with the largest bound and gets a k-th
 score. That score is shared: a query then visits only shards whose bound still reaches it, and
@@ -14,7 +15,8 @@ Scores are exact integers; ties go to the smaller id.
 Edge cases: vectors that are null, hold null or non-finite components or have another dimension
 than most take no part; an empty table gives an empty result; ids may repeat (each row is a
 candidate; a query does not meet rows of its own id); null ids take no part; other columns are
-ignored.
+ignored. Scores are sums of doubles, exact while no vector's own product reaches 2^53; larger
+vectors are an error, not a wrong score.
 """
 
 from __future__ import annotations
@@ -23,12 +25,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import spool
 
 LEAF = 512
+GROUP_BYTES = 64 << 20
+
+
+def across(part: np.ndarray, away: np.ndarray) -> np.ndarray:
+    """Products of the rows with the direction between two rows far from each other; away: the
+    distances from the centre."""
+    one = part[int(away.argmax())]
+    far = ((part - one) ** 2).sum(axis=1)
+    return part @ (part[int(far.argmax())] - one)
+
+
+def space_cuts(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the rows in parts of at most ``most``, halved at medians."""
+    done, open_ = [], [np.arange(len(rows))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= most:
+            done.append(at)
+            continue
+        part = rows[at]
+        half = len(at) // 2
+        order = np.argpartition(across(part, ((part - part.mean(axis=0)) ** 2).sum(axis=1)), half)
+        open_ += [at[order[half:]], at[order[:half]]]
+    return done
 
 
 class BallTree:
@@ -56,11 +82,8 @@ class BallTree:
             self.nodes[me] = (-1, -1, len(self.leaves))
             self.leaves.append((a, b))
             return me
-        one = part[int(away.argmax())]
-        far = ((part - one) ** 2).sum(axis=1)
-        axis = part[int(far.argmax())] - one
         half = (b - a) // 2
-        order[a:b] = order[a:b][np.argpartition(part @ axis, half)]
+        order[a:b] = order[a:b][np.argpartition(across(part, away), half)]
         left = self._grow(order, a, a + half)
         right = self._grow(order, a + half, b)
         self.nodes[me] = (left, right, -1)
@@ -126,9 +149,12 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     """query_id, rank, vec_id, score for the queries with vec_id divisible by ``every``."""
     spark = embeddings.sparkSession
     rows = integer_vectors(embeddings, scale)
-    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    own = F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v)
+    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("top")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if sizes["top"] >= 2**53:
+        raise ValueError(f"the product of a vector with itself is {sizes['top']:.3g} at scale {scale}: scores from 2^53 on are not exact")
     d, n = int(sizes["d"]), int(sizes["n"])
     rows = rows.where(F.size("x") == d)
     pivots = _pivots(rows, n, shard_rows, pivot_sample)
@@ -141,15 +167,19 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
 
     placed = spool(rows.select("vec_id", "x", nearest("x").alias("cell")), "vectors")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    shards = placed.join(F.broadcast(cells), "cell").select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id", F.hash("x")), F.ceil(F.col("m") / shard_rows)).cast("int").alias("salt"))
+    group_rows = min(16 * shard_rows, max(shard_rows, GROUP_BYTES // (8 * d)))
+    groups = placed.join(F.broadcast(cells), "cell").select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id", F.hash("x")), F.ceil(F.col("m") / group_rows)).cast("int").alias("salt"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["x"])
-        centre = x.mean(axis=0)
-        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
-        return pd.DataFrame([{"shard": f"{key[0]}.{key[1]}", "centre": centre, "radius": radius, **_blocks(pdf)}])
-
-    packed = spool(shards.groupBy("cell", "salt").applyInPandas(pack, "shard string, centre array<double>, radius double, ids binary, rows binary"), "shards")
+        x, ids, out = _matrix(pdf["x"]), pdf["vec_id"].to_numpy(np.int64), []
+        for i, at in enumerate(space_cuts(x, shard_rows)):
+            part = x[at]
+            centre = part.mean(axis=0)
+            radius = float(np.sqrt(((part - centre) ** 2).sum(axis=1)).max())
+            out.append({"shard": f"{key[0]}.{key[1]}.{i}", "centre": centre, "radius": radius, "ids": ids[at].tobytes(), "rows": part.tobytes()})
+        return pd.DataFrame(out)
+
+    packed = spool(groups.groupBy("cell", "salt").applyInPandas(pack, "shard string, centre array<double>, radius double, ids binary, rows binary"), "shards")
     queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.hash("x").alias("check"))
     n_blocks = max(1, -(-queries.count() // block_rows))
     n_balls = max(1, -(-packed.count() // 4096))
@@ -223,11 +253,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     floor = F.when(F.col("m") >= k, F.col("low").cast("double")).otherwise(F.lit(float("-inf")))
     known = known.select(F.col("query_id").alias("vec_id"), "x", "check", F.col("shard").alias("home"), floor.alias("floor"))
     second = searched(spool(routes(known, False).select("query_id", "check", "x", "shard", "floor"), "routes"))
-    merged = first.union(second).groupBy("query_id", "check").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k).alias("best")
-    )
-    out = merged.select("query_id", F.posexplode("best").alias("at", "hit"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).cast("long").alias("score"))
+    best = Window.partitionBy("query_id", "check").orderBy(F.desc("score"), "vec_id")  # at most k rows a query and task reach the shuffle
+    return first.union(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _pivots(rows: DataFrame, n: int, shard_rows: int, pivot_sample: int) -> np.ndarray:

@@ -56,6 +56,22 @@ def test_top_k_equals_brute_force(spark):
     assert got == want
 
 
+def test_top_k_refuses_products_that_doubles_round(spark):
+    far = spark.createDataFrame([(0, [2.0**21, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2\\^53"):
+        topk.top_k(far)
+
+
+def test_space_cuts_are_small_balls():
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.normal(size=(n, 4)) + 50 * c for n, c in zip((300, 500, 200), rng.normal(size=(3, 4)))] + [np.ones((400, 4))])
+    parts = topk.space_cuts(rows, 128)
+    assert max(map(len, parts)) <= 128 and sorted(np.concatenate(parts).tolist()) == list(range(1400))
+    spread = lambda at: np.sqrt(((rows[at] - rows[at].mean(axis=0)) ** 2).sum(axis=1)).max()
+    dealt = [np.flatnonzero(np.arange(1400) % len(parts) == k) for k in range(len(parts))]
+    assert np.mean([spread(p) for p in parts]) < np.mean([spread(p) for p in dealt]) / 2
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).collect() == []
@@ -146,6 +162,7 @@ def test_language_model_is_a_distribution_and_equals_brute_force(spark, corpus):
         base = sum(math.log10((c[w] + 1) / (n + v_size + 1)) for w in s)
         want.append((str(i), held(i), len(s), sum(c[w] > 0 for w in s), n, round(base, 6), round(score, 6)))
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
+    assert all(abs(math.log10(r.perplexity) + r.score / r.n_tokens) < 1e-9 for r in got)
 
 
 def test_language_model_without_rows(spark):

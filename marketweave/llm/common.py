@@ -30,6 +30,12 @@ def text_rows(documents: DataFrame, *columns) -> DataFrame:
     return documents.select(*columns)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def spool(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder, packed tightly, and read it back: later jobs neither
     recompute it nor depend on the executors that made it."""

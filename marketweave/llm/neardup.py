@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import byte_texts, spool, text_digest, text_rows
+from marketweave.llm.common import byte_texts, free_names, spool, text_digest, text_rows
 from marketweave.llm.components import components
 from marketweave.operators.skew import join_key_values
 
@@ -324,9 +324,10 @@ def without_duplicates(documents: DataFrame) -> DataFrame:
     digest = text_digest("text")
 
     def keys(df: DataFrame) -> DataFrame:
-        return df.select(F.col("doc_id").alias("_k_id"), F.col("digest").alias("_k_digest")).distinct()
+        return df.select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest)).distinct()
 
-    same = documents["doc_id"].eqNullSafe(F.col("_k_id")) & (digest == F.col("_k_digest"))
+    k_id, k_digest = free_names(documents, "_k_id", "_k_digest")
+    same = documents["doc_id"].eqNullSafe(F.col(k_id)) & (digest == F.col(k_digest))
     # rows that agree in id and text: all but one of them go, too
     twins = keys(found.where("kept and not wordless").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     gone = keys(found.where("not kept"))

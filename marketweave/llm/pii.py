@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketweave.llm.common import listed_spans, plain_texts, sha256, spool, text_digest, text_rows
+from marketweave.llm.common import free_names, listed_spans, plain_texts, sha256, spool, text_digest, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the patterns of the base kinds
@@ -242,8 +242,9 @@ def sanitised(documents: DataFrame, generalise_at: float = 0.8, remove_at: float
         return pd.Series([t if t is None or b is None else mask(t, b, s, remove_at) for t, b, s in zip(text, base, shown, strict=True)])
 
     found = personal_data(documents, generalise_at, z).where((F.col("base") != "") | F.col("shown").isNotNull())
-    found = found.select(F.col("doc_id").alias("_p_id"), F.col("digest").alias("_p_digest"), "base", "shown").dropDuplicates(["_p_id", "_p_digest"])
-    found = found.withColumnsRenamed({"base": "_p_base", "shown": "_p_shown"})
+    p_id, p_digest, base, shown = free_names(documents, "_p_id", "_p_digest", "_p_base", "_p_shown")
+    found = found.withColumnsRenamed({"doc_id": p_id, "digest": p_digest, "base": base, "shown": shown})
+    found = found.select(p_id, p_digest, base, shown).dropDuplicates([p_id, p_digest])
     key = text_digest("text")
-    joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_p_id")) & (key == F.col("_p_digest")), "left")
-    return joined.withColumn("text", clean("text", "_p_base", "_p_shown")).select(*documents.columns)
+    joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col(p_id)) & (key == F.col(p_digest)), "left")
+    return joined.withColumn("text", clean("text", base, shown)).select(*documents.columns)

@@ -69,3 +69,23 @@ def test_stages_take_empty_and_odd_rows(spark, tmp_path):
         docs = spark.createDataFrame(given, schema)
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, str(tmp_path)).count() >= 0
+
+
+def test_columns_named_like_the_stages_own(spark, tmp_path):
+    """The names that the joins of the stages add may be columns of the documents."""
+    from marketweave.llm import pii
+
+    rng = random.Random(4)
+    text = prose(rng, 80)
+    item = prose(rng, 25)
+    own = ["_k_id", "_k_digest", "_K_id_", "h_id", "h_digest", "_p_id", "_p_digest", "_p_base", "_p_shown"]
+    rows = [(1, text, *own), (2, text, *own), (2, text, *own), (3, f"{prose(rng, 40)} {item}", *own), (4, f"{prose(rng, 60)} write to jo@example.org", *own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in own))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, left in ((corpus_pipeline.near_duplicates, [1, 3, 4]), (corpus_pipeline.decontamination, [1, 2, 2, 4])):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == left
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns
+    assert [r.text[-7:] for r in clean.where("doc_id = 4").collect()] == ["[EMAIL]"]

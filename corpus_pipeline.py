@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import spool, table, text_digest
+from marketweave.llm.common import free_names, spool, table, text_digest
 from marketweave.llm.decontaminate import contamination
 from marketweave.llm.neardup import without_duplicates
 from marketweave.llm.packing import packing_report
@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents holding any window of a benchmark item go."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("h_id")) & (text_digest("text") == F.col("h_digest")), "left_anti")
+    h_id, h_digest = free_names(docs, "h_id", "h_digest")
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias(h_id), F.col("digest").alias(h_digest)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(h_id)) & (text_digest("text") == F.col(h_digest)), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact quantiles with a bounded amount of memory per task.
 
 ``percentile`` keeps every distinct value in one task, so it is used only when few rows are left.
-Otherwise approximate quantiles bracket the wanted ranks, one aggregate counts the rows below
-each bracket, and only the bracket is searched again.
+Otherwise the rows of all columns are counted in bins of equal width, and only the bins that hold a
+wanted rank are divided again. A round is one aggregate over all columns with one row per bin.
 """
 
 from __future__ import annotations
@@ -10,12 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.functions.num import nan_to_null
+from marketweave.session import cut
 
-EXACT_ROWS = 2_000_000
+EXACT_ROWS = 200_000
+#: Bins of one round, over all columns: what the driver reads.
+BINS = 32_768
 
 
 def exact_quantiles(
@@ -33,57 +36,98 @@ def exact_quantiles(
         ).first()
         for c in small:
             out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
-    for c in cols:
-        if c not in out:
-            out[c] = _select_ranks(df.select(F.col(c).alias("v")).dropna(), counts[c], probs, limit)
+    large = [c for c in cols if c not in out]
+    if large:
+        ranks = {c: sorted({k for p in probs for k in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}) for c in large}
+        found = _values_at(df.select(*large), large, counts, ranks, limit)
+        for c in large:
+            out[c] = [_between(found[c], p * (counts[c] - 1)) for p in probs]
     return out
 
 
-def _select_ranks(values: DataFrame, n: int, probs: Sequence[float], limit: int) -> list[float]:
-    ranks = sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    found: dict[int, float] = {}
-    # (rows below the range, rank list, lowest value, highest value)
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    work = [(0, n, ranks, low, high)]
-    while work:
-        below, size, wanted, lo, hi = work.pop()
-        if lo == hi:
-            found.update({k: lo for k in wanted})
-            continue
-        part = values.filter(F.col("v").between(lo, hi))
-        if size <= limit:
-            picks = [
-                F.expr(f"percentile_disc({(k - below + 0.5) / size!r}) within group (order by v)").alias(f"k{k}")
-                for k in wanted
-            ]
-            row = part.agg(*picks).first()
-            found.update({k: row[f"k{k}"] for k in wanted})
-            continue
-        cuts = [i / 64 for i in range(1, 64)]
-        edges = sorted(set(part.agg(F.percentile_approx("v", cuts, 10_000).alias("e")).first()["e"]) | {lo, hi})
-        # classes: value equal to an edge, or strictly between two neighbouring edges
-        row = part.agg(
-            *[F.count_if(F.col("v") < e).alias(f"l{i}") for i, e in enumerate(edges)],
-            *[F.count_if(F.col("v") <= e).alias(f"q{i}") for i, e in enumerate(edges)],
-            *[
-                F.struct(
-                    F.min(F.when((F.col("v") > edges[i]) & (F.col("v") < edges[i + 1]), F.col("v"))).alias("a"),
-                    F.max(F.when((F.col("v") > edges[i]) & (F.col("v") < edges[i + 1]), F.col("v"))).alias("b"),
-                ).alias(f"s{i}")
-                for i in range(len(edges) - 1)
-            ],
-        ).first()
-        for i, e in enumerate(edges):
-            here = [k for k in wanted if row[f"l{i}"] <= k - below < row[f"q{i}"]]
-            found.update({k: e for k in here})
-            if i + 1 < len(edges):
-                between = [k for k in wanted if row[f"q{i}"] <= k - below < row[f"l{i + 1}"]]
-                if between:
-                    count = row[f"l{i + 1}"] - row[f"q{i}"]
-                    work.append((below + row[f"q{i}"], count, between, row[f"s{i}"]["a"], row[f"s{i}"]["b"]))
-    out = []
-    for p in probs:
-        at = p * (n - 1)
-        lo, hi = math.floor(at), math.ceil(at)
-        out.append(found[lo] + (found[hi] - found[lo]) * (at - lo))
-    return out
+def _between(found: dict[int, float], at: float) -> float:
+    a, b = found[math.floor(at)], found[math.ceil(at)]
+    return a if a == b else a + (b - a) * (at - math.floor(at))
+
+
+def _constant(values: Sequence, kind: str) -> Column:
+    """An array that is one literal in the plan, however long it is."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def _values_at(df: DataFrame, cols: Sequence[str], counts, ranks: dict[str, list[int]], limit: int) -> dict[str, dict[int, float]]:
+    """Column -> rank -> value at that rank of the sorted column."""
+    inf = float("inf")
+    ends = df.agg(
+        *[
+            F.struct(
+                F.count_if(F.col(c) == -inf).alias("below"), F.count_if(F.col(c) == inf).alias("above"),
+                F.min(F.when(F.abs(F.col(c)) != inf, F.col(c))).alias("lo"), F.max(F.when(F.abs(F.col(c)) != inf, F.col(c))).alias("hi"),
+            ).alias(c)
+            for c in cols
+        ]
+    ).first()
+    found: dict[str, dict[int, float]] = {c: {} for c in cols}
+    # ranges that are searched: (column, lowest value, highest value, rows below, ranks)
+    slots = []
+    for c in cols:
+        e = ends[c]
+        found[c].update({k: -inf for k in ranks[c] if k < e["below"]})
+        found[c].update({k: inf for k in ranks[c] if k >= counts[c] - e["above"]})
+        slots.append((c, e["lo"], e["hi"], e["below"], [k for k in ranks[c] if k not in found[c]]))
+    slots = [s for s in slots if s[4]]
+    if not slots:
+        return found
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(s[0]).alias("v")) for i, s in enumerate(slots)])).alias("x"))
+    rows = rows.select("x.*").filter(F.abs("v") != inf)
+    while slots:
+        rows, bins = _binned(rows, slots)
+        by_slot: dict[int, list] = {}
+        for row in rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # at most a row per bin
+            by_slot.setdefault(row["s"], []).append(row)
+        left, size, to = [], 0, [-1] * (bins * len(slots))
+        for i, (c, _, _, below, wanted) in enumerate(slots):
+            for row in sorted(by_slot[i], key=lambda r: r["b"]):
+                here = [k for k in wanted if below <= k < below + row["n"]]
+                known = {k: row["lo"] if row["lo"] == row["hi"] or k == below else row["hi"] for k in here if row["lo"] == row["hi"] or k in (below, below + row["n"] - 1)}
+                found[c].update(known)
+                if len(known) < len(here):
+                    to[i * bins + row["b"]] = len(left)
+                    left.append((c, row["lo"], row["hi"], below, [k for k in here if k not in known]))
+                    size += row["n"]
+                below += row["n"]
+        slots = left
+        if slots:
+            rows = rows.select(F.get(_constant(to, "int"), F.col("s") * bins + F.col("b")).alias("s"), "v").filter(F.col("s") >= 0)
+            if size <= limit:
+                for c, values in _settled(rows, slots):
+                    found[c].update(values)
+                break
+            rows = cut(rows)
+    return found
+
+
+def _binned(rows: DataFrame, slots: Sequence[tuple]) -> tuple[DataFrame, int]:
+    """Rows (s, v, b) with their bin of equal width inside their range, and the bins of a range. The
+    lowest and the highest value of a range never share a bin, so each round divides it."""
+    bins = max(16, BINS // len(slots))
+    # a range wider than the largest number is measured in quarters
+    unit = [1.0 if math.isfinite(hi - lo) else 0.25 for _, lo, hi, _, _ in slots]
+    low = [lo * u for (_, lo, *_), u in zip(slots, unit)]
+    width = [(hi * u - lo * u) or 1.0 for (_, lo, hi, *_), u in zip(slots, unit)]
+    of = lambda values: F.get(_constant(values, "double"), F.col("s"))
+    at = F.floor((F.col("v") * of(unit) - of(low)) / of(width) * bins)
+    return rows.select("s", "v", F.least(at, F.lit(bins - 1)).cast("int").alias("b")), bins
+
+
+def _settled(rows: DataFrame, slots: Sequence[tuple]):
+    """(column, rank -> value) of ranges that hold few rows together."""
+    values: dict[int, list] = {}
+    for row in rows.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `limit` rows
+        values.setdefault(row["s"], []).append((row["v"], row["n"]))
+    for i, (c, _, _, below, wanted) in enumerate(slots):
+        found = {}
+        for v, n in sorted(values[i]):
+            found.update({k: v for k in wanted if below <= k < below + n})
+            below += n
+        yield c, found

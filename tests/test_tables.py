@@ -178,3 +178,26 @@ def test_isolation_forest_finds_the_far_row(spark):
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (1, 0.1)], "y int, s double")
     assert abs(ev.roc_auc(df, "y", "s").first()[0] - 4.0 / 6) < 1e-12
+
+
+def test_ranks_of_several_columns_take_few_jobs(spark):
+    """Copies, wide ranges, infinities and gaps; all columns share the jobs of a round."""
+    rng = np.random.default_rng(4)
+    n, inf = 5000, float("inf")
+    wide = pd.DataFrame({
+        "heavy": rng.lognormal(0, 8, n), "copies": rng.integers(0, 3, n).astype(float), "edges": rng.choice([-1.7e308, -1.0, 0.0, 5e-324, 1e-300, 1.7e308], n),
+        "open": rng.choice([-inf, 1.0, 2.5, inf], n), **{f"c{i}": rng.normal(size=n) for i in range(6)},
+    })
+    df = spark.createDataFrame(wide)
+    probs, sc = [0.0, 0.013, 0.25, 0.5, 0.99, 1.0], spark.sparkContext
+    sc.setJobGroup("ranks", "quantiles of ten columns")
+    got = exact_quantiles(df, list(wide), probs, limit=40)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("ranks"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    for c in wide:
+        ordered = np.sort(wide[c].to_numpy())
+        for p, value in zip(probs, got[c], strict=True):
+            at = p * (n - 1)
+            a, b = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            assert value == pytest.approx(a if a == b else a + (b - a) * (at - np.floor(at)), rel=1e-12)
+    assert jobs < 60

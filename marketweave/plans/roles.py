@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.operators.axis import Axis
-from marketweave.session import spread
+from marketweave.session import dealt, spread
 
 # Bars per key are limited by the calendar, so their windows may run whole.
 BAR_AXIS = Axis(keys=("key",), order=("day",), bounded=True)
@@ -64,16 +64,22 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name), *TEXT_KEYS[name])
 
 
+def most_bars(spark: SparkSession, sf_dir: str) -> int:
+    """There are no more bars than lines; their number stands in the footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier. The aggregation combines on the map side, so a supplier with a
-    third of all lines costs one row per day after the shuffle."""
+    third of all lines costs one row per day after the shuffle. Bars of large tables are dealt by
+    supplier in tasks of bounded size, which the windows over them keep."""
     lines = table(spark, sf_dir, "lineitem")
     price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100
     # order of the day's trades as one fixed-width number: a struct would force sort aggregation
     cents = F.round(F.col("price") * 100).cast("decimal(12,0)")
     line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(19,0)")
     rank = line * F.lit(10**12).cast("decimal(13,0)") + cents
-    return (
+    daily = (
         lines.select(
             F.col("l_suppkey").alias("key"),
             F.to_date("l_shipdate").alias("day"),
@@ -92,6 +98,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("trades"),
         )
     )
+    return dealt(daily, most_bars(spark, sf_dir), "key")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task of a window over whole series should hold.
+ROWS_PER_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal at most ``rows`` rows by key so that the rows of a task do not grow with the table.
+
+    Later windows and groups by these keys need no shuffle of their own, so it replaces theirs, whose
+    number of tasks is fixed and made smaller again at run time. Few rows are left as they are.
+    """
+    parts = -(-rows // ROWS_PER_TASK)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a source that Spark reads in fewer splits than it has cores.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marketweave.functions.num import sdiv
 from marketweave.operators.signals import ENHANCED_RISK, REGIME_FACTOR
-from marketweave.session import cut
+from marketweave.session import cut, dealt
 
 
 def commission(value: float) -> float:
@@ -116,6 +116,7 @@ def performance(path: DataFrame, keys: Sequence[str], day: str = "day", price: s
     """Return, volatility, Sharpe, drawdown and its duration, trades, win rate, profit factor, Calmar."""
     keys = list(keys)
     path = cut(path)  # read twice, by the curve and by the trades: the fold behind it runs once
+    path = dealt(path, path.count(), *keys)
     w = Window.partitionBy(*keys).orderBy(day)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col("portfolio_value")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from marketweave import session
+from marketweave.operators import backtest as bt
 from marketweave.operators import series as s
+from marketweave.operators import signals as sg
 from marketweave.plans import q_trading, roles
 
 DATA = "/root/testdata/sf0.001"
@@ -23,3 +25,17 @@ def test_strategies_do_not_depend_on_the_dealing(spark, monkeypatch):
     few = q_trading.strategy_comparison(spark, DATA).collect()
     monkeypatch.setattr(session, "ROWS_PER_TASK", 500)
     assert q_trading.strategy_comparison(spark, DATA).collect() == few
+
+
+def test_signals_read_the_bars_once(spark):
+    plan = q_trading.enhanced(spark, DATA)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("l_suppkey") and plan.split("== Optimized Logical Plan ==")[1].split("== Physical")[0].count("Relation [l_") == 1
+
+
+def test_curves_of_backtests_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 50)
+    path = bt.run_backtest(sg.adaptive_signal(q_trading.predictions(spark, DATA)), ["key"])
+    rows = path.count()
+    assert rows > 50 * 16
+    plan = bt.performance(path, ["key"])._jdf.queryExecution().toString()
+    assert "hashpartitioning(key#" in plan and f", {-(-rows // 50)})" in plan

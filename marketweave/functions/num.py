@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +51,15 @@ def r(c, n: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def rounded(df: DataFrame, keep: Sequence[str], digits: dict[str, int]) -> DataFrame:
+    """The columns ``keep`` and the rounded ones. Many columns are rounded inside one array per number
+    of digits: rounded one by one, their code is one method too large for the JVM to compile."""
+    groups = {n: [c for c, m in digits.items() if m == n] for n in dict.fromkeys(digits.values())}
+    to = lambda n: lambda x: F.round(x, n)
+    arrays = [F.transform(F.array(*[F.col(c).cast("double") for c in cols]), to(n)).alias(f"__r{n}") for n, cols in groups.items()]
+    return df.select(*keep, *arrays).select(*keep, *[F.col(f"__r{n}")[groups[n].index(c)].alias(c) for c, n in digits.items()])
+
+
 def numeric_columns(df) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

@@ -321,12 +321,18 @@ def rolling_features(
     stats: Sequence[str] = ("mean", "std", "min", "max", "median", "q25", "q75"),
     relative: bool = True,
 ) -> DataFrame:
-    """Rolling statistics, each null until its frame is full, and the position of the row in them."""
+    """Rolling statistics, each null until its frame is full, and the position of the row in them.
+
+    A sliding frame is gone through again for every row and aggregate. Whether it is full is therefore
+    told by running counts, and a sorted frame, where there is one, also gives its ends.
+    """
     aggs = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     shares = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+    seen: Stage = {f"__{c}_seen": (lambda f, c=c: F.count(c).over(f.running())) for c in cols}
     first: Stage = {}
     second: Stage = {}
-    drop = []
+    third: Stage = {}
+    drop = list(seen)
 
     def at_share(arr: str, n: int, q: float):
         """Linear interpolation in a sorted frame of exactly n values."""
@@ -338,22 +344,30 @@ def rolling_features(
 
     for c in cols:
         for n in windows:
-            for st in stats:
-                if st in aggs:
-                    first[f"{c}_rolling_{st}_{n}"] = _full(n, aggs[st], c)
-            wanted = [st for st in stats if st in shares]
-            if wanted:
+            before, arr = f"__{c}_seen_{n}", f"__{c}_frame_{n}"
+            first[before] = lambda f, c=c, n=n: F.lag(f"__{c}_seen", n, 0).over(f.w)
+            full = F.col(f"__{c}_seen") - F.col(before) == n
+            ordered = any(st in shares for st in stats)
+            drop.append(before)
+            if ordered:
                 # one sorted frame serves all its quantiles
-                arr = f"__{c}_frame_{n}"
-                first[arr] = lambda f, c=c, n=n: F.array_sort(F.collect_list(c).over(f.rows(n)))
+                first[arr] = lambda f, c=c, n=n: F.sort_array(F.collect_list(c).over(f.rows(n)))
                 drop.append(arr)
-                for st in wanted:
-                    second[f"{c}_rolling_{st}_{n}"] = lambda f, arr=arr, n=n, q=shares[st]: at_share(arr, n, q)
+            for st in stats:
+                name = f"{c}_rolling_{st}_{n}"
+                if st in shares:
+                    second[name] = lambda f, arr=arr, n=n, q=shares[st]: at_share(arr, n, q)
+                elif ordered and st in ("min", "max"):
+                    second[name] = lambda f, arr=arr, full=full, at=0 if st == "min" else n - 1: F.when(full, F.col(arr)[at])
+                else:
+                    first[f"__{name}"] = lambda f, c=c, n=n, st=st: f.over(aggs[st], c, n)
+                    second[name] = lambda f, name=name, full=full: F.when(full, F.col(f"__{name}"))
+                    drop.append(f"__{name}")
             if relative:
                 mean, std = f"{c}_rolling_mean_{n}", f"{c}_rolling_std_{n}"
-                second[f"{c}_vs_rolling_mean_{n}"] = lambda f, c=c, m=mean: sdiv(c, m) - 1
-                second[f"{c}_zscore_{n}"] = lambda f, c=c, m=mean, s=std: sdiv(F.col(c) - F.col(m), F.col(s))
-    return apply_stages(df, axis, [first, second] if second else [first], back=max(windows) - 1, drop=drop)
+                third[f"{c}_vs_rolling_mean_{n}"] = lambda f, c=c, m=mean: sdiv(c, m) - 1
+                third[f"{c}_zscore_{n}"] = lambda f, c=c, m=mean, s=std: sdiv(F.col(c) - F.col(m), F.col(s))
+    return apply_stages(df, axis, [seen, first, second, third], back=max(windows) - 1, drop=drop)
 
 
 # -- sentiment panels -------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketweave.functions.num import r
+from marketweave.functions.num import r, rounded
 from marketweave.operators import labels as lab
 from marketweave.operators import series as s
 from marketweave.plans.registry import query
@@ -278,10 +278,8 @@ def _sql_rolling(windows) -> str:
 def _rolling_query(windows):
     def run(spark, sf):
         out = s.rolling_features(bars(spark, sf), BAR_AXIS, ["close"], windows)
-        return out.select(
-            "key", "day", *[r(f"close_rolling_{st}_{n}", 4).alias(f"close_rolling_{st}_{n}") for n in windows for st in _ROLL],
-            *[r(c, 6).alias(c) for n in windows for c in (f"close_vs_rolling_mean_{n}", f"close_zscore_{n}")],
-        )
+        digits = {f"close_rolling_{st}_{n}": 4 for n in windows for st in _ROLL}
+        return rounded(out, ["key", "day"], digits | {c: 6 for n in windows for c in (f"close_vs_rolling_mean_{n}", f"close_zscore_{n}")})
 
     return run
 
@@ -298,7 +296,7 @@ query("rolling_statistics_long", _sql_rolling((10, 14, 20, 30)))(_rolling_query(
 def compact_rolling_set(spark, sf):
     stats = ("mean", "std", "min", "max")
     out = s.rolling_features(bars(spark, sf), BAR_AXIS, ["close", "volume"], (5, 10, 20), stats, relative=False)
-    return _pick(out, *[f"{c}_rolling_{st}_{n}" for c in ("close", "volume") for n in (5, 10, 20) for st in stats])
+    return rounded(out, ["key", "day"], {f"{c}_rolling_{st}_{n}": 4 for c in ("close", "volume") for n in (5, 10, 20) for st in stats})
 
 
 # -- the same windows on raw events, where one user may hold a third of the table ---------------

@@ -20,10 +20,13 @@ SETS = {"stock_only": STOCK, "integrated": [*STOCK, *NEWS]}
 
 
 def training_rows(spark, sf):
-    """Labelled feature rows of all keys, written once: every fit reads them several times."""
+    """Labelled feature rows of all keys, written once: every fit reads them several times. Only
+    what the fits read is written, so that no window is computed for columns nobody looks at; the
+    news are one row per calendar day."""
     b = s.volume_features(s.volatility(bars(spark, sf), BAR_AXIS), BAR_AXIS)
     b = s.average_spreads(b, BAR_AXIS)
-    return cut(lab.next_return(b, BAR_AXIS).join(daily_orders(spark, sf), "day", "left").dropna(subset=["volatility_20d"]))
+    rows = lab.next_return(b, BAR_AXIS).dropna(subset=["volatility_20d"]).join(F.broadcast(daily_orders(spark, sf)), "day", "left")
+    return cut(rows.select("key", "day", *STOCK, *NEWS, "target_return", "target_up"))
 
 
 @query(

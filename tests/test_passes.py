@@ -35,3 +35,20 @@ def test_full_frames_are_told_by_running_counts(spark):
             mean = sum(frame) / 3
             assert row["x_rolling_mean_3"] == pytest.approx(mean)
             assert row["x_rolling_std_3"] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in frame) / 2))
+
+
+def test_class_report_reads_its_rows_once(spark):
+    from marketweave.operators import evaluate as ev
+
+    df = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 1.0), (1.0, None), (None, 1.0)], "y double, p double")
+    out = ev.class_report(df, "y", "p")
+    assert plan_of(out).count("LogicalRDD") == 1
+    got = {r["class"]: (r["support"], r["tp"], r["precision"], r["recall"]) for r in out.where("support > 0").collect()}
+    assert got == {0.0: (2, 1, 1.0, 0.5), 1.0: (2, 1, 0.25, 0.5), 2.0: (1, 0, 0.0, 0.0)}
+
+
+def test_training_rows_hold_only_what_fits_read(spark):
+    from marketweave.plans import q_models as qm
+
+    rows = qm.training_rows(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["key", "day", *qm.STOCK, *qm.NEWS, "target_return", "target_up"]

@@ -170,16 +170,19 @@ def loadings(model, spark, names: Sequence[str], component: int = 0) -> DataFram
 def cluster(df: DataFrame, k: int = 3, features: str = "features") -> tuple[DataFrame, DataFrame]:
     """Rows with their cluster, and one row with silhouette and Calinski-Harabasz score."""
     model = KMeans(k=k, seed=42, featuresCol=features, predictionCol="cluster").fit(df)
-    scored = model.transform(df)
+    scored = cut(model.transform(df))  # read by every score and by the caller
     centers = [c.tolist() for c in model.clusterCenters()]
     silhouette = ClusteringEvaluator(featuresCol=features, predictionCol="cluster").evaluate(scored)
     v = vector_to_array(features)
     dims = len(centers[0])
-    mean = scored.agg(*[F.avg(v[i]).alias(f"m{i}") for i in range(dims)]).first()
     center_of = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers]), F.col("cluster") + 1)
     sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    whole = F.array(*[F.lit(float(mean[f"m{i}"])) for i in range(dims)])
-    within, between, n = scored.agg(F.sum(sq(v, center_of)), F.sum(sq(center_of, whole)), F.count(F.lit(1))).first()
+    parts = scored.withColumn("__v", v).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(sq(F.col("__v"), center_of)).alias("within"), F.array(*[F.sum(F.col("__v")[i]) for i in range(dims)]).alias("sums")
+    ).collect()  # one row per cluster
+    n, within = sum(p["n"] for p in parts), sum(p["within"] for p in parts)
+    whole = [sum(p["sums"][i] for p in parts) / n for i in range(dims)]
+    between = sum(p["n"] * sum((x - m) ** 2 for x, m in zip(centers[p["cluster"]], whole)) for p in parts)
     ch = (between / (k - 1)) / (within / (n - k)) if within else float("nan")
     return scored, df.sparkSession.createDataFrame([(k, float(silhouette), float(ch))], "k int, silhouette double, calinski_harabasz double")
 

@@ -184,8 +184,10 @@ def cluster_quality(spark, sf):
 def regime_clusters(spark, sf):
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    rows = s.regime_vector(bars(spark, sf), BAR_AXIS).dropna(subset=["daily_return", "volatility_20d", "momentum_20"])
-    vec = VectorAssembler(inputCols=["daily_return", "volatility_20d", "momentum_20"], outputCol="__raw").transform(rows)
+    cols = ["daily_return", "volatility_20d", "momentum_20"]
+    # written once: scaler, clusters and scores each read the rows anew
+    rows = cut(s.regime_vector(bars(spark, sf), BAR_AXIS).select(*cols).dropna())
+    vec = VectorAssembler(inputCols=cols, outputCol="__raw").transform(rows)
     vec = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vec).transform(vec)
     return ml.cluster(vec, 3)[0].groupBy("cluster").agg(F.count(F.lit(1)).alias("bars"), F.avg("daily_return").alias("daily_return"), F.avg("volatility_20d").alias("volatility_20d"))
 

@@ -52,3 +52,26 @@ def test_training_rows_hold_only_what_fits_read(spark):
 
     rows = qm.training_rows(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["key", "day", *qm.STOCK, *qm.NEWS, "target_return", "target_up"]
+
+
+def test_clusters_do_not_read_the_source_again(spark):
+    from marketweave.plans import q_models as qm
+
+    out = qm.regime_clusters(spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+    assert out.count() == 3
+
+
+def test_cluster_scores_match_their_definition(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from marketweave.operators import ml
+
+    x = np.random.default_rng(2).normal(size=(60, 2)) + np.repeat([[0, 0], [9, 0], [0, 9]], 20, axis=0)
+    scored, scores = ml.cluster(spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["i", "features"]), 3)
+    c = np.array([r["cluster"] for r in scored.orderBy("i").collect()])
+    means = np.array([x[c == k].mean(axis=0) for k in range(3)])
+    within = ((x - means[c]) ** 2).sum()
+    between = ((means[c] - x.mean(axis=0)) ** 2).sum()
+    assert scores.first()["calinski_harabasz"] == pytest.approx((between / 2) / (within / 57), rel=1e-6)

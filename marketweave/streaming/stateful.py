@@ -1,19 +1,23 @@
 """Typed state per key over rows in the order of their event time.
 
-Rows of a key wait in list state until the watermark has passed them; a timer of the key then takes
+Rows of a key wait in map state until the watermark has passed them, many rows of one slice of time
+in one typed entry, so a hot key is read slice by slice; a timer of the key then takes
 the rows that are complete, in the order of time and tie, through a fold whose result is the key's
 value state. Results therefore depend neither on the order of arrival nor on how the rows fall into
 micro-batches, and a restart goes on from the checkpoint. A key that had no rows for ``idle_ms`` of
 event time, and whose state equals a fresh one, is removed.
 
-A fold is sequential by nature, so one key is one task; what that task holds is limited by the
-rows of one micro-batch and of the watermark delay (``files_per_batch`` of the source).
+A fold is sequential by nature, so one key is one task; what that task holds is limited by
+``ROWS_HELD`` rows on arrival and by the rows of the key in one slice in the fold, besides the calls of
+few rows that wait unsliced. Checkpoints of the earlier list state cannot be continued.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,8 @@ from marketweave.streaming.streams import run_available
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Rows of a key that one call holds, rows of a call that are not worth slices, and the time of a slice.
+ROWS_HELD, ROWS_LOOSE, SLICE_US, LOOSE = 200_000, 10_000, 3_600_000_000, -(2**62)
 
 
 class OrderedFold(StatefulProcessor):
@@ -47,40 +53,83 @@ class OrderedFold(StatefulProcessor):
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        kinds = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in self.carried.split(", ")))
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, tie long, {self.carried}")
+        self.waiting = handle.getMapState("waiting", "slice long, part long", f"at array<long>, tie array<long>, {kinds}")
         self.value = handle.getValueState("value", self.state)
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
+        first, held, size, part = None, [], 0, 1 + max((k[1] for k in self.waiting.keys()), default=-1)
         for pdf in rows:
-            at = pdf[self.ts].to_numpy("datetime64[us]").astype(np.int64)
+            at = pdf[self.ts].to_numpy("datetime64[us]").astype(np.int64).tolist()
             cells = [[None if v is None or v != v else v for v in pdf[c].tolist()] for c in self.columns]
-            self.waiting.appendList(list(zip(at.tolist(), pdf[self.tie].tolist(), *cells, strict=True)))
-            first = int(at.min()) if first is None else min(first, int(at.min()))
+            held.append([at, pdf[self.tie].tolist(), *cells])
+            first, size = min(at) if first is None else min(first, min(at)), size + len(at)
+            if size >= ROWS_HELD:
+                self._keep(held, part, sliced=True)
+                held, size, part = [], 0, part + 1
+        if held:
+            self._keep(held, part, sliced=size > ROWS_LOOSE)
         self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
+    def _keep(self, held: list[list[list]], part: int, sliced: bool) -> None:
+        rows = [list(chain.from_iterable(column)) for column in zip(*held)]
+        if not sliced:
+            self.waiting.updateValue((LOOSE, part), tuple(rows))
+            return
+        at = np.array(rows[0]) // SLICE_US
+        order = np.argsort(at, kind="stable")
+        for where in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            self.waiting.updateValue((int(at[where[0]]), part), tuple([column[i] for i in where] for column in rows))
+
+    def _rows(self, keys: list[tuple]) -> list[tuple]:
+        return [row for k in keys for row in zip(*self.waiting.getValue(k))]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get(), key=lambda row: row[:2]) if self.waiting.exists() else []
-        cut = next((i for i, row in enumerate(held) if row[0] > passed), len(held))
-        if cut:
-            state, out = self.fold(tuple(self.value.get()) if self.value.exists() else self.fresh(), [tuple(r)[1:] for r in held[:cut]])
+        parts: dict[int, list[tuple]] = {}
+        for k in self.waiting.keys():
+            parts.setdefault(k[0], []).append(tuple(k))
+        part = 1 + max((k[1] for keys in parts.values() for k in keys), default=-1)
+        loose = sorted(self._rows(parts.get(LOOSE, [])), key=lambda row: row[:2])
+        due = sorted(n for n in parts if n != LOOSE and n * SLICE_US <= passed)
+        later = [n for n in parts if n != LOOSE and n * SLICE_US > passed]
+        state = at = None
+        left: list[tuple] = []
+        # without slices all rows are one group; else a group ends with its slice
+        for n in due or [LOOSE]:
+            end = passed if n in (LOOSE, *due[-1:]) else min((n + 1) * SLICE_US - 1, passed)
+            mine = bisect_right(loose, end, key=lambda row: row[0])
+            held = sorted([*loose[:mine], *self._rows(parts[n] if n != LOOSE else [])], key=lambda row: row[:2])
+            loose, cut = loose[mine:], bisect_right(held, end, key=lambda row: row[0])
+            left = held[cut:]
+            if cut:
+                state = state or (tuple(self.value.get()) if self.value.exists() else self.fresh())
+                state, out = self.fold(state, [row[1:] for row in held[:cut]])
+                at = held[cut - 1][0]
+                yield pd.DataFrame({self.key: [key[0]] * cut, self.ts: pd.to_datetime([r[0] for r in held[:cut]], unit="us", utc=True), self.tie: [r[1] for r in held[:cut]], **out})
+        if at is not None:
             self.value.update(state)
-            self.last.update((held[cut - 1][0],))
+            self.last.update((at,))
+        if not later:
             self.waiting.clear()
-            if held[cut:]:
-                self.waiting.put([tuple(r) for r in held[cut:]])
-            yield pd.DataFrame({self.key: [key[0]] * cut, self.ts: pd.to_datetime([r[0] for r in held[:cut]], unit="us", utc=True), self.tie: [r[1] for r in held[:cut]], **out})
-        if held[cut:]:
-            self.handle.registerTimer(-(-held[cut][0] // 1000))
-        elif self.last.exists():
-            ends = self.last.get()[0] // 1000 + self.idle_ms
+        else:
+            for k in (k for n in (LOOSE, *due) for k in parts.get(n, [])):
+                self.waiting.removeKey(k)
+        for n, rows in ((LOOSE, loose), (due[-1] if due else LOOSE, left)):
+            if rows:
+                self.waiting.updateValue((n, part), tuple(map(list, zip(*rows))))
+                part += 1
+        ahead = [rows[0][0] for rows in (loose, left) if rows] + [n * SLICE_US for n in later]
+        if ahead:
+            self.handle.registerTimer(-(-min(ahead) // 1000))
+        elif at is not None or self.last.exists():
+            ends = (self.last.get()[0] if at is None else at) // 1000 + self.idle_ms
             if ends > passed // 1000:
                 self.handle.registerTimer(ends)
-            elif not self.value.exists() or tuple(self.value.get()) == self.fresh():
+            elif (tuple(self.value.get()) if state is None and self.value.exists() else state or self.fresh()) == self.fresh():
                 self.value.clear()
                 self.last.clear()
 

@@ -129,3 +129,54 @@ def test_weeks_from_the_days_of_the_same_stream(spark):
         wanted.append((DAY + datetime.timedelta(days=7 * week), prices[0], max(prices), min(prices), prices[-1], len(mine), 7))
     assert sorted(tuple(r)[1:] for r in weeks.collect()) == wanted
     assert days.where(F.col("start") < DAY + datetime.timedelta(days=28)).agg(F.sum("volume")).first()[0] == sum(w[5] for w in wanted)
+
+
+class _Kept:
+    """Map and value state in memory."""
+
+    def __init__(self, keys=None, schema=None):
+        self.rows, self.one = {}, None
+
+    keys = lambda self: iter(list(self.rows))
+    getValue = lambda self, k: self.rows[k]
+    updateValue = lambda self, k, v: self.rows.__setitem__(k, v)
+    removeKey = lambda self, k: self.rows.pop(k)
+    exists = lambda self: self.one is not None
+    get = lambda self: self.one
+    update = lambda self, v: setattr(self, "one", v)
+    clear = lambda self: (self.rows.clear(), setattr(self, "one", None))
+
+
+def test_a_hot_key_is_folded_slice_by_slice(monkeypatch):
+    """Rows in any order over calls of many and of few rows: each fold sees one slice, results are those of one fold."""
+    import types
+
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "ROWS_HELD", 50)
+    monkeypatch.setattr(stateful, "ROWS_LOOSE", 20)
+    rng, timers, sizes = random.Random(4), [], []
+    p = stateful.ErrorDrift("k", "ts", "id", ("error",), window=20)
+    handle = types.SimpleNamespace(getMapState=lambda n, k, v: _Kept(), getValueState=lambda n, s: _Kept(), registerTimer=timers.append)
+    p.init(handle)
+    fold = p.fold
+    p.fold = lambda state, rows: (sizes.append(len(rows)), fold(state, rows))[1]
+    rows = [(DAY + datetime.timedelta(minutes=3 * i), i, rng.random()) for i in range(900)]
+    rng.shuffle(rows)
+    calls = [rows[:600], rows[600:610], rows[610:]]
+    got = []
+    for n, call in enumerate(calls):
+        frames = [pd.DataFrame(call[i : i + 30], columns=["ts", "id", "error"]) for i in range(0, len(call), 30)]
+        assert list(p.handleInputRows(("x",), iter(frames), None)) == []
+        if n < 2:  # nothing has passed yet: the rows wait on
+            mark = pd.Timestamp(DAY).value // 10**6 - 1
+            assert list(p.handleExpiredTimer(("x",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark), None)) == []
+    for minutes in (1000, 1001, 9000):
+        mark = pd.Timestamp(DAY + datetime.timedelta(minutes=minutes)).value // 10**6
+        got += list(p.handleExpiredTimer(("x",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark), None))
+    have = pd.concat(got)
+    rows.sort()
+    want = fold(p.fresh(), [r[1:] for r in rows])[1]
+    assert have["id"].tolist() == [r[1] for r in rows] and have["rows"].tolist() == want["rows"]
+    assert have["recent_error"].tolist() == pytest.approx(want["recent_error"]) and have["drift"].tolist() == want["drift"]
+    assert max(sizes) <= 20 and not p.waiting.rows

@@ -21,14 +21,31 @@ EXACT_ROWS = 200_000
 BINS = 32_768
 
 
+def column_ends(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+    """Per column the rows with a value, how many of them are infinite (``below``, ``above``), the ends of
+    the finite ones and the mean, in one pass."""
+    aggs = []
+    for c in dict.fromkeys(cols):
+        x = nan_to_null(c)
+        finite = F.when(F.abs(x) != math.inf, x)
+        aggs.append(
+            F.struct(
+                F.count(x).alias("n"), F.count_if(x == -math.inf).alias("below"), F.count_if(x == math.inf).alias("above"),
+                F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.avg(x).alias("mean"),
+            ).alias(c)
+        )
+    return {c: e.asDict() for c, e in df.agg(*aggs).first().asDict().items()} if aggs else {}
+
+
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = EXACT_ROWS
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = EXACT_ROWS, ends: dict[str, dict] | None = None
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column (null and NaN ignored) as driver scalars."""
+    """Linearly interpolated quantiles per column (null and NaN ignored) as driver scalars. ``ends``: what
+    ``column_ends`` has found already."""
     cols, probs = list(dict.fromkeys(cols)), list(probs)
+    ends = column_ends(df, cols) if ends is None else ends
     df = df.select(*[nan_to_null(c).alias(c) for c in cols])
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    small = [c for c in cols if counts[c] <= limit]
+    small = [c for c in cols if ends[c]["n"] <= limit]
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(
@@ -38,10 +55,11 @@ def exact_quantiles(
             out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
     large = [c for c in cols if c not in out]
     if large:
-        ranks = {c: sorted({k for p in probs for k in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}) for c in large}
-        found = _values_at(df.select(*large), large, counts, ranks, limit)
+        at = {c: [p * (ends[c]["n"] - 1) for p in probs] for c in large}
+        ranks = {c: sorted({k for a in at[c] for k in (math.floor(a), math.ceil(a))}) for c in large}
+        found = _values_at(df.select(*large), large, ends, ranks, limit)
         for c in large:
-            out[c] = [_between(found[c], p * (counts[c] - 1)) for p in probs]
+            out[c] = [_between(found[c], a) for a in at[c]]
     return out
 
 
@@ -55,69 +73,75 @@ def _constant(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def _values_at(df: DataFrame, cols: Sequence[str], counts, ranks: dict[str, list[int]], limit: int) -> dict[str, dict[int, float]]:
+def _values_at(df: DataFrame, cols: Sequence[str], ends: dict[str, dict], ranks: dict[str, list[int]], limit: int) -> dict[str, dict[int, float]]:
     """Column -> rank -> value at that rank of the sorted column."""
-    inf = float("inf")
-    ends = df.agg(
-        *[
-            F.struct(
-                F.count_if(F.col(c) == -inf).alias("below"), F.count_if(F.col(c) == inf).alias("above"),
-                F.min(F.when(F.abs(F.col(c)) != inf, F.col(c))).alias("lo"), F.max(F.when(F.abs(F.col(c)) != inf, F.col(c))).alias("hi"),
-            ).alias(c)
-            for c in cols
-        ]
-    ).first()
+    inf = math.inf
     found: dict[str, dict[int, float]] = {c: {} for c in cols}
     # ranges that are searched: (column, lowest value, highest value, rows below, ranks)
     slots = []
     for c in cols:
         e = ends[c]
         found[c].update({k: -inf for k in ranks[c] if k < e["below"]})
-        found[c].update({k: inf for k in ranks[c] if k >= counts[c] - e["above"]})
+        found[c].update({k: inf for k in ranks[c] if k >= e["n"] - e["above"]})
         slots.append((c, e["lo"], e["hi"], e["below"], [k for k in ranks[c] if k not in found[c]]))
     slots = [s for s in slots if s[4]]
     if not slots:
         return found
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(s[0]).alias("v")) for i, s in enumerate(slots)])).alias("x"))
-    rows = rows.select("x.*").filter(F.abs("v") != inf)
+    rows, bins = _first_bins(df, slots)
     while slots:
-        rows, bins = _binned(rows, slots)
         by_slot: dict[int, list] = {}
-        for row in rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # at most a row per bin
-            by_slot.setdefault(row["s"], []).append(row)
+        for row in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # at most a row per bin
+            by_slot.setdefault(row["k"] // bins, []).append(row)
         left, size, to = [], 0, [-1] * (bins * len(slots))
         for i, (c, _, _, below, wanted) in enumerate(slots):
-            for row in sorted(by_slot[i], key=lambda r: r["b"]):
+            for row in sorted(by_slot[i], key=lambda r: r["k"]):
                 here = [k for k in wanted if below <= k < below + row["n"]]
                 known = {k: row["lo"] if row["lo"] == row["hi"] or k == below else row["hi"] for k in here if row["lo"] == row["hi"] or k in (below, below + row["n"] - 1)}
                 found[c].update(known)
                 if len(known) < len(here):
-                    to[i * bins + row["b"]] = len(left)
+                    to[row["k"]] = len(left)
                     left.append((c, row["lo"], row["hi"], below, [k for k in here if k not in known]))
                     size += row["n"]
                 below += row["n"]
         slots = left
         if slots:
-            rows = rows.select(F.get(_constant(to, "int"), F.col("s") * bins + F.col("b")).alias("s"), "v").filter(F.col("s") >= 0)
+            rows = rows.select(F.get(_constant(to, "int"), F.col("k")).alias("s"), "v").filter(F.col("s") >= 0)
             if size <= limit:
                 for c, values in _settled(rows, slots):
                     found[c].update(values)
                 break
-            rows = cut(rows)
+            rows, bins = _binned(cut(rows), slots)
     return found
 
 
-def _binned(rows: DataFrame, slots: Sequence[tuple]) -> tuple[DataFrame, int]:
-    """Rows (s, v, b) with their bin of equal width inside their range, and the bins of a range. The
-    lowest and the highest value of a range never share a bin, so each round divides it."""
-    bins = max(16, BINS // len(slots))
+def _scales(slots: Sequence[tuple]) -> tuple[int, list[tuple[float, float, float]]]:
+    """The bins of a range, and unit, lowest value and width of each. The lowest and the highest value
+    of a range never share a bin, so each round divides it."""
     # a range wider than the largest number is measured in quarters
-    unit = [1.0 if math.isfinite(hi - lo) else 0.25 for _, lo, hi, _, _ in slots]
-    low = [lo * u for (_, lo, *_), u in zip(slots, unit)]
-    width = [(hi * u - lo * u) or 1.0 for (_, lo, hi, *_), u in zip(slots, unit)]
-    of = lambda values: F.get(_constant(values, "double"), F.col("s"))
-    at = F.floor((F.col("v") * of(unit) - of(low)) / of(width) * bins)
-    return rows.select("s", "v", F.least(at, F.lit(bins - 1)).cast("int").alias("b")), bins
+    units = [1.0 if math.isfinite(hi - lo) else 0.25 for _, lo, hi, _, _ in slots]
+    return max(16, BINS // len(slots)), [(u, lo * u, (hi * u - lo * u) or 1.0) for u, (_, lo, hi, _, _) in zip(units, slots)]
+
+
+def _bin(v: Column, unit, low, width, bins: int) -> Column:
+    return F.least(F.floor((v * unit - low) / width * bins), F.lit(bins - 1)).cast("int")
+
+
+def _first_bins(df: DataFrame, slots: Sequence[tuple]) -> tuple[DataFrame, int]:
+    """Rows (v, k) with the number of their bin among those of all ranges: one range per column."""
+    bins, scales = _scales(slots)
+    pairs = []
+    for i, ((c, *_), (unit, low, width)) in enumerate(zip(slots, scales)):
+        v = F.col(c)
+        finite = F.abs(v) != math.inf
+        pairs.append(F.struct(v.alias("v"), F.when(finite, _bin(v, F.lit(unit), F.lit(low), F.lit(width), bins) + i * bins).alias("k")))
+    return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").filter(F.col("k").isNotNull()), bins
+
+
+def _binned(rows: DataFrame, slots: Sequence[tuple]) -> tuple[DataFrame, int]:
+    """The same for rows (s, v) of any number of ranges s."""
+    bins, scales = _scales(slots)
+    of = lambda i: F.get(_constant([x[i] for x in scales], "double"), F.col("s"))
+    return rows.select("v", (F.col("s") * bins + _bin(F.col("v"), of(0), of(1), of(2), bins)).alias("k")), bins
 
 
 def _settled(rows: DataFrame, slots: Sequence[tuple]):

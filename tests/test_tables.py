@@ -201,3 +201,19 @@ def test_ranks_of_several_columns_take_few_jobs(spark):
             a, b = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
             assert value == pytest.approx(a if a == b else a + (b - a) * (at - np.floor(at)), rel=1e-12)
     assert jobs < 60
+
+
+def test_column_statistics_keep_small_differences(spark):
+    """Shapes far from zero are as exact as around it, and infinities, gaps and constants keep their meaning."""
+    from marketweave.operators import outliers as ol
+
+    rng = np.random.default_rng(5)
+    near = np.round(rng.gamma(2.0, 8.0, 20_000)) / 2**20
+    wide = pd.DataFrame({"near": near, "far": 1e9 + near, "open": np.where(near > near.mean(), np.inf, near), "same": 0.1, "gaps": np.where(near > 4 / 2**20, near, np.nan)})
+    st = ol.column_stats(spark.createDataFrame(wide), list(wide))
+    for c, x in (("near", near), ("far", near), ("gaps", wide["gaps"].dropna().to_numpy())):
+        x = pd.Series(x)
+        assert (st[c].n, st[c].std, st[c].skew, st[c].kurt) == (len(x), *(pytest.approx(v, rel=1e-6) for v in (x.std(), x.skew(), x.kurt())))
+    assert (st["same"].low, st["same"].high, st["same"].std, st["same"].skew, st["same"].kurt) == (0.1, 0.1, 0.0, 0.0, 0.0)
+    assert st["open"].high == np.inf and st["open"].low == near.min() and np.isnan(st["open"].skew)
+    assert st["far"].median - 1e9 == np.median(near)

@@ -40,6 +40,33 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes
     return at
 
 
+#: Rows that walk down a tree together; their arrays stay in the cache.
+WALKING_ROWS = 2048
+
+
+def _walkable(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Feature and cut of each node, right and left child, depth of each leaf, levels. A leaf leads to itself."""
+    feature, own = nodes["feature"].to_numpy(), np.arange(len(nodes))
+    inner = feature >= 0
+    child = np.column_stack([np.where(inner, nodes["right"], own), np.where(inner, nodes["left"], own)]).astype(np.intp)
+    levels, at = 0, np.zeros(1, dtype=np.intp)
+    while inner[at].any():
+        levels, at = levels + 1, child[at[inner[at]]].ravel()
+    return np.where(inner, feature, 0).astype(np.intp), np.where(inner, nodes["cut"], -np.inf), child.ravel(), nodes["depth"].to_numpy(float), levels
+
+
+def _depths(x: np.ndarray, forest: list) -> np.ndarray:
+    """Sum over the trees of the depth each row comes to."""
+    flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    total = np.zeros(len(x))
+    for feature, cut, child, depth, levels in forest:
+        at = np.zeros(len(x), dtype=np.intp)
+        for _ in range(levels):
+            at = child.take(2 * at + (flat.take(first + feature.take(at)) < cut.take(at)))
+        total += depth.take(at)
+    return total
+
+
 def isolation_forest(
     df: DataFrame, cols: Sequence[str], pk: Sequence[str], trees: int = 100, rows_per_tree: int = 256, contamination: float | None = None, seed: int = 42
 ) -> DataFrame:
@@ -79,7 +106,7 @@ def isolation_forest(
         grow, "tree int, node int, feature int, cut double, left int, right int, depth double, n int"
     )
     table = grown.toPandas()  # at most trees * (2 * rows_per_tree - 1) nodes
-    forest = [g.sort_values("node")[["feature", "cut", "left", "right", "depth"]].to_numpy(float) for _, g in table.groupby("tree")]
+    forest = [_walkable(g.sort_values("node")) for _, g in table.groupby("tree")]
     norm = _path_norm(float(table["n"].max()))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
@@ -87,17 +114,7 @@ def isolation_forest(
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
             x = np.column_stack([c.to_numpy(float) for c in columns])
-            total = np.zeros(len(x))
-            for t in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                for _ in range(limit + 1):
-                    f = t[at, 0].astype(int)
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    goes_left = x[np.arange(len(x)), np.where(inner, f, 0)] < t[at, 1]
-                    at = np.where(inner, np.where(goes_left, t[at, 2], t[at, 3]).astype(int), at)
-                total += t[at, 4]
+            total = np.concatenate([_depths(x[i : i + WALKING_ROWS], shared.value) for i in range(0, len(x), WALKING_ROWS)]) if len(x) else np.zeros(0)
             yield pd.Series(np.power(2.0, -total / len(shared.value) / norm))
 
     complete = F.lit(True)

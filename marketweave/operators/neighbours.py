@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from marketweave.session import cut
 
 CELL_REGIONS = 256
+LEAF_ROWS = 128
 ASKING_ROWS = 20_000
 BLOCK_CELLS = 4_000_000
 
@@ -152,22 +153,77 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 FOUND = "p array<long>, dist array<double>, n array<long>"
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, others: pd.DataFrame, k: int) -> Iterator[tuple]:
-    """Per asking row: the ids, distances and counts of its nearest points, its own copies first."""
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distances of points to boxes, column by column."""
+    out = np.zeros((len(x), len(low)))
+    for c in range(x.shape[1]):
+        out += np.maximum(np.maximum(low[None, :, c] - x[:, c, None], x[:, c, None] - high[None, :, c]), 0) ** 2
+    return np.sqrt(out)
+
+
+def _box_gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distances of the box around the points to boxes."""
+    gap = np.maximum(np.maximum(low - x.max(axis=0), x.min(axis=0) - high), 0)
+    return np.sqrt((gap**2).sum(axis=1))
+
+
+def _wider(radius: np.ndarray) -> np.ndarray:
+    return radius * (1 + 1e-12) + 1e-300
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, radius: np.ndarray | None, others: pd.DataFrame, k: int) -> Iterator[tuple]:
+    """Per asking row: the ids, distances and counts of its nearest points, its own copies first, none
+    beyond its radius. Without radii the others are the asking rows, in the same order."""
     others = others.sort_values("id")
     at, y, many = others["id"].to_numpy(), _matrix(others["v"]), others["w"].to_numpy()
-    step = max(1, BLOCK_CELLS // max(len(at), 1))
-    for a in range(0, len(ids), step):
-        part = slice(a, a + step)
-        dist = _distances(x[part], y)
-        me = ids[part][:, None] == at[None, :]
-        count = np.broadcast_to(many, dist.shape) - me
-        dist[count == 0] = np.inf
-        near = _best(dist, at, k)
-        d, c = np.take_along_axis(dist, near, axis=1), np.take_along_axis(count, near, axis=1)
-        for i in range(len(d)):
-            known = int(np.isfinite(d[i]).sum())
-            yield a + i, at[near[i, :known]].tolist(), d[i, :known].tolist(), c[i, :known].tolist()
+    tree = Splits(y, max(1, len(y) // max(LEAF_ROWS, 4 * k)))
+    leaf = tree.place(y)
+    order = np.argsort(leaf, kind="stable")
+    starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+    low, high = np.minimum.reduceat(y[order], starts), np.maximum.reduceat(y[order], starts)
+    leaves = np.split(order, starts[1:])
+    where = tree.place(x)
+    asking = np.argsort(where, kind="stable")
+    for rows in np.split(asking, np.flatnonzero(np.diff(where[asking])) + 1):
+        home = np.flatnonzero(leaf[order][starts] == where[rows[0]])
+        step = max(1, BLOCK_CELLS // len(at))
+        for part in (rows[a : a + step] for a in range(0, len(rows), step)):
+            bound = np.full(len(part), np.inf)
+            if radius is not None:
+                bound = radius[part]
+            elif len(home) and len(leaves[home[0]]) > k:
+                inner = _distances(x[part], y[leaves[home[0]]])
+                inner[ids[part][:, None] == at[leaves[home[0]]][None, :]] = np.inf
+                bound = np.partition(inner, k - 1, axis=1)[:, k - 1]
+            reach = _wider(bound)
+            near = np.flatnonzero(_box_gaps(x[part], low, high) <= reach.max())
+            near = near[(_gaps(x[part], low[near], high[near]) <= reach[:, None]).any(axis=0)]
+            if not len(near):
+                continue
+            mine = np.sort(np.concatenate([leaves[i] for i in near]))
+            dist = _distances(x[part], y[mine])
+            count = np.broadcast_to(many[mine], dist.shape) - (ids[part][:, None] == at[mine][None, :])
+            dist[(count == 0) | (dist > reach[:, None])] = np.inf
+            best = _best(dist, at[mine], k)
+            d, c = np.take_along_axis(dist, best, axis=1), np.take_along_axis(count, best, axis=1)
+            p, known = at[mine][best], np.isfinite(d).sum(axis=1)
+            for i, n in enumerate(known.tolist()):
+                yield int(part[i]), p[i, :n].tolist(), d[i, :n].tolist(), c[i, :n].tolist()
+
+
+def _reached(x: np.ndarray, radius: np.ndarray, own: int, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[list[int]]:
+    """Per point of a region the other regions whose box reaches into its ball."""
+    found: list[list[int]] = [[] for _ in range(len(x))]
+    reach = _wider(radius)
+    order = np.argsort(reach, kind="stable")  # so that few wide balls meet many boxes
+    for rows in (order[a : a + 256] for a in range(0, len(order), 256)):
+        near = np.flatnonzero((_box_gaps(x[rows], low, high) <= reach[rows].max()) & (names != own))
+        for a in range(0, len(near), 4096):
+            some = near[a : a + 4096]
+            i, box = np.nonzero(_gaps(x[rows], low[some], high[some]) <= reach[rows][:, None])
+            for row, region in zip(rows[i].tolist(), names[some[box]].tolist()):
+                found[row].append(region)
+    return found
 
 
 def nearest_points(points: DataFrame, k: int, region_rows: int = 4096, cells: int = 1024, sample_rows: int = 50_000) -> DataFrame:
@@ -179,44 +235,28 @@ def nearest_points(points: DataFrame, k: int, region_rows: int = 4096, cells: in
         return spark.createDataFrame([], "q long, p long, dist double, n long")
     placed = into_regions(points, rows, region_rows, cells, sample_rows)
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x, w = pdf["id"].to_numpy(), _matrix(pdf["v"]), pdf["w"].to_numpy()
-        out = []
-        for i, p, d, n in _nearest(ids, x, w, w, pdf, k):
-            reached = np.searchsorted(np.cumsum(n), k)
-            out.append((int(ids[i]), x[i].tolist(), int(pdf["region"].iloc[0]), d[reached] if reached < len(d) else math.inf, p, d, n))
-        return pd.DataFrame(out, columns=["q", "v", "region", "radius", "p", "dist", "n"])
-
-    inside = cut(placed.groupBy("region").applyInPandas(local, f"q long, v array<double>, region long, radius double, {FOUND}"))
     dims = range(len(placed.select("v").first()["v"]))
     corners = placed.groupBy("region").agg(F.array(*[F.min(F.col("v")[i]) for i in dims]).alias("low"), F.array(*[F.max(F.col("v")[i]) for i in dims]).alias("high"))
-    boxes = corners.orderBy("region").collect()  # one row per region
-    names, low, high = np.array([b["region"] for b in boxes]), _matrix(b["low"] for b in boxes), _matrix(b["high"] for b in boxes)
-    starts = np.flatnonzero(np.diff(names // CELL_REGIONS, prepend=-1))
-    ends = np.append(starts[1:], len(names))
-    cell_low, cell_high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-    shared = spark.sparkContext.broadcast((names, low, high, starts, ends, cell_low, cell_high))
-
-    @F.pandas_udf("array<long>")
-    def reached(v: pd.Series, region: pd.Series, radius: pd.Series) -> pd.Series:
-        names, low, high, starts, ends, cell_low, cell_high = shared.value
-        x, r, own = _matrix(v), radius.to_numpy() * (1 + 1e-12) + 1e-300, region.to_numpy()
-        found = [[] for _ in range(len(x))]
-        for a in range(0, len(x), 1024):
-            y = x[a : a + 1024]
-            gap = np.maximum(np.maximum(cell_low[None] - y[:, None], y[:, None] - cell_high[None]), 0)
-            i, cell = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= r[a : a + 1024, None])
-            sizes = (ends - starts)[cell]
-            i = np.repeat(i, sizes)
-            box = np.repeat(starts[cell], sizes) + np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            gap = np.maximum(np.maximum(low[box] - y[i], y[i] - high[box]), 0)
-            hit = (np.sqrt((gap**2).sum(axis=1)) <= r[a + i]) & (names[box] != own[a + i])
-            for row, b in zip((a + i[hit]).tolist(), names[box[hit]].tolist()):
-                found[row].append(b)
-        return pd.Series(found)
-
-    asked = inside.select("q", "v", "radius", F.explode(reached("v", "region", "radius")).alias("region"))
-    asked = cut(asked.select(F.col("q").alias("id"), "v", "radius", "region"))
+    boxes = corners.collect()  # one row per region
+    shared = spark.sparkContext.broadcast((np.array([b["region"] for b in boxes]), _matrix(b["low"] for b in boxes), _matrix(b["high"] for b in boxes)))
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, x, region = pdf["id"].to_numpy(), _matrix(pdf["v"]), int(pdf["region"].iloc[0])
+        radius, out = np.full(len(x), np.inf), [None] * len(x)
+        for i, p, d, n in _nearest(ids, x, None, pdf, k):
+            taken = []  # k rows in all
+            for many in n:
+                taken.append(min(many, k - sum(taken)))
+                if sum(taken) == k:
+                    radius[i] = d[len(taken) - 1]
+                    break
+            out[i] = (int(ids[i]), x[i].tolist(), region, p[: len(taken)], d[: len(taken)], taken)
+        inside = pd.DataFrame(out, columns=["q", "v", "region", "p", "dist", "n"])
+        return inside.assign(radius=radius, asked=_reached(x, radius, region, *shared.value))
+
+    inside = cut(placed.groupBy("region").applyInPandas(local, f"q long, v array<double>, region long, radius double, asked array<long>, {FOUND}"))
+    asked = inside.select(F.col("q").alias("id"), "v", "radius", F.explode("asked").alias("region"))
     chunks = asked.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / ASKING_ROWS).cast("int").alias("chunks"))
     left = asked.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks")
     right = placed.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -225,21 +265,20 @@ def nearest_points(points: DataFrame, k: int, region_rows: int = 4096, cells: in
         out = []
         if len(pdf) and len(others):
             ids, x = pdf["id"].to_numpy(), _matrix(pdf["v"])
-            for i, p, d, n in _nearest(ids, x, None, None, others, k):
+            for i, p, d, n in _nearest(ids, x, pdf["radius"].to_numpy(), others, k):
                 out.append((int(ids[i]), p, d, n))
         return pd.DataFrame(out, columns=["q", "p", "dist", "n"])
 
     by = ("region", "chunk")
     beyond = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(outside, f"q long, {FOUND}")
-    borders = asked.select(F.col("id").alias("q")).distinct()
-    lists = inside.select("q", "p", "dist", "n").join(borders, "q", "left_semi").unionByName(beyond)
+    border = F.size("asked") > 0
     flat = lambda df: df.select("q", F.inline(F.arrays_zip("p", "dist", "n")))
     nearer = Window.partitionBy("q").orderBy("dist", "p")
-    ranked = flat(lists).withColumn("__rank", F.row_number().over(nearer)).where(F.col("__rank") <= k)  # k points per row are enough
-    both = flat(inside.select("q", "p", "dist", "n").join(borders, "q", "left_anti")).unionByName(ranked.drop("__rank"))
+    lists = flat(inside.where(border)).unionByName(flat(beyond))
+    ranked = lists.withColumn("__rank", F.row_number().over(nearer)).where(F.col("__rank") <= k)  # k points per row are enough
     before = F.coalesce(F.sum("n").over(nearer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = both.withColumn("__left", F.lit(k) - before).where(F.col("__left") > 0)
-    return taken.select("q", "p", "dist", F.least("n", "__left").cast("long").alias("n"))
+    taken = ranked.withColumn("__left", F.lit(k) - before).where(F.col("__left") > 0)
+    return flat(inside.where(~border)).unionByName(taken.select("q", "p", "dist", F.least("n", "__left").cast("long").alias("n")))
 
 
 def add_local_outlier_factor(df: DataFrame, cols: Sequence[str], pk: Sequence[str], k: int = 20, threshold: float = 1.5, **index) -> DataFrame:

@@ -51,6 +51,53 @@ def test_neighbours_are_exact(spark, monkeypatch, shape, cells):
     np.testing.assert_allclose(got["dist"].to_numpy().reshape(-1, 7), np.sort(d, axis=1)[:, :7], rtol=1e-12)
 
 
+@pytest.mark.parametrize("shape", ["clusters", "one wide column"])
+def test_leaves_of_a_region_lose_no_neighbour(monkeypatch, shape):
+    monkeypatch.setattr(nb, "LEAF_ROWS", 6)
+    looked = []
+    distances_of = nb._distances
+    monkeypatch.setattr(nb, "_distances", lambda a, b: looked.append(len(a) * len(b)) or distances_of(a, b))
+    x = np.round(shapes(shape), 1)
+    x = np.unique(x, axis=0)
+    ids, d = np.random.default_rng(1).permutation(len(x)), distances(x)
+    others = pd.DataFrame({"id": ids, "v": list(x), "w": 1}).sort_values("id")
+    got = {ids_: (p, dist) for ids_, p, dist, _ in nb._nearest(others["id"].to_numpy(), nb._matrix(others["v"]), None, others, 5)}
+    for i, me in enumerate(ids):
+        want = sorted(zip(d[i], ids))[:5]
+        assert got[me][0] == [w[1] for w in want] and np.allclose(got[me][1], [w[0] for w in want])
+    assert sum(looked) < 0.7 * len(x) ** 2
+    radius = np.sort(d, axis=1)[:, 2][np.argsort(ids)]
+    for i, p, dist, _ in nb._nearest(others["id"].to_numpy(), nb._matrix(others["v"]), radius, others, 5):
+        assert len(p) >= 3 and i not in p and dist[2] == pytest.approx(radius[i]) and max(dist) <= radius[i] * (1 + 1e-9)
+
+
+def test_forest_walk_equals_the_nodes():
+    from marketweave.operators import anomalies as an
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 3))
+    forest, walked = [], []
+    for t in range(4):
+        nodes = []
+        an._grow(x[:200], np.random.default_rng(t), 0, 8, nodes)
+        forest.append(nodes)
+        walked.append(an._walkable(pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "depth"])))
+    x[5] = [np.inf, -np.inf, np.nan]
+
+    def depth(nodes, row):
+        f, cut, left, right, depth = nodes[0]
+        while f >= 0:
+            f, cut, left, right, depth = nodes[left if row[f] < cut else right]
+        return depth
+
+    np.testing.assert_allclose(an._depths(x, walked), [sum(depth(n, row) for n in forest) for row in x], rtol=1e-12)
+
+
+def test_forest_scores_each_line_once(spark):
+    plan = qo.outlier_auto_detection(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_regions_stay_small(spark):
     x = shapes("clusters").repeat(6, axis=0) + np.random.default_rng(3).normal(0, 1e-3, (4560, 3))
     points = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "v": x.tolist(), "w": 1}), "id long, v array<double>, w long")

@@ -29,11 +29,16 @@ def content_words(text: Column, stop_words: Sequence[str] = lx.STOP_WORDS) -> Co
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{lx.WORD_SIGNS}]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
 
 
-def terms(ws: Column) -> Column:
-    """The words and the pairs of neighbours among them."""
+def _pairs(ws: Column) -> Column:
+    """The pairs of neighbours, null where one of them is."""
     tail = F.slice(ws, 2, F.greatest(F.size(ws), F.lit(0)))
-    pairs = F.filter(F.zip_with(ws, tail, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-    return F.concat(ws, pairs)
+    return F.zip_with(ws, tail, lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _rows(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """A row per term that is not null. A plain explode would make Spark filter by the size of the array
+    first, for which it would split each text a second time."""
+    return df.select(*keep, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
 
 
 def term_weights(docs: DataFrame, pk: str, text: str, vocabulary: int = 50, method: str = "tfidf") -> DataFrame:
@@ -41,23 +46,26 @@ def term_weights(docs: DataFrame, pk: str, text: str, vocabulary: int = 50, meth
 
     Words are counted first. A pair is at most as frequent as the rarer of its words, so only pairs
     of words as frequent as the last word that could be chosen are counted at all; the terms are
-    chosen from both exactly. The last pass makes rows of vocabulary terms only.
+    chosen from both exactly. The last pass makes rows of vocabulary terms only and writes their counts,
+    so each text is split three times in all.
     """
-    found = docs.select(pk, content_words(F.col(text)).alias("__ws")).select(pk, "__ws", terms(F.col("__ws")).alias("__ts"))
+    found = docs.select(pk, content_words(F.col(text)).alias("__ws"))
     count = lambda df: df.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    words = cut(count(found.select(F.explode("__ws").alias("term"))))
+    words = cut(count(_rows(found, F.col("__ws"))))
     chosen = words.orderBy(F.desc("n"), "term").limit(vocabulary).collect()  # at most `vocabulary` rows
     least = chosen[-1]["n"] if len(chosen) == vocabulary else 0
     frequent = [r["term"] for r in words.where(F.col("n") >= least).select("term").limit(SMALL_LOOKUP + 1).collect()]
-    both = F.filter("__ws", lambda w: w.isNotNull())
+    both = F.col("__ws")
     if 0 < len(frequent) <= SMALL_LOOKUP:  # else nearly all words tie: count all pairs
         # other words end a pair, as null
         both = F.transform("__ws", lambda w: F.when(w.isin(*frequent), w))
-    pairs = F.filter(F.zip_with(both, F.slice(both, 2, F.greatest(F.size(both), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-    counted = words.where(F.col("n") >= least).unionByName(count(found.select(F.explode(pairs).alias("term"))))
+    counted = words.where(F.col("n") >= least).unionByName(count(_rows(found, _pairs(both))))
     names = [r["term"] for r in counted.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]
-    kept = F.filter("__ts", lambda t: t.isin(*names) if names else F.lit(False))
-    tf = found.select(pk, F.explode(kept).alias("term")).groupBy(pk, "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = sorted({w for name in names for w in name.split(" ")})
+    kept = F.transform("__ws", lambda w: F.when(w.isin(*parts) if parts else F.lit(False), w))
+    pieces = found.select(pk, kept.alias("__ws"))
+    kept = F.filter(F.concat("__ws", _pairs(F.col("__ws"))), lambda t: t.isin(*names) if names else F.lit(False))
+    tf = cut(_rows(pieces, kept, pk).groupBy(pk, "term").agg(F.count(F.lit(1)).alias("tf")))  # at most `vocabulary` rows a text
     if method == "count":
         return tf.withColumn("weight", F.col("tf").cast("double"))
     n = docs.count()

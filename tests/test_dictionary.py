@@ -65,3 +65,15 @@ def test_terms_chosen_with_few_pairs_counted(spark, monkeypatch):
         got = to.term_weights(docs, "id", "t", k, "count").collect()
         assert {r.term for r in got} == want
         assert sum(r.tf for r in got) == sum(counts[t] for t in want)
+
+
+def test_terms_are_counted_without_splitting_texts_again(spark):
+    """No text is read after the counts are written, and no pass filters by the size of its words first."""
+    texts = ["red hot chili", "red hot", None, "", "chili red hot red hot", "the and"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    out = to.term_weights(docs, "id", "t", 4)
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.term): r.tf for r in out.collect()}
+    assert got == {(0, "hot"): 1, (0, "red"): 1, (0, "red hot"): 1, (0, "chili"): 1, (1, "hot"): 1, (1, "red"): 1, (1, "red hot"): 1, (4, "chili"): 1, (4, "hot"): 2, (4, "red"): 2, (4, "red hot"): 2}
+    rows = to._rows(docs.select("id", to.content_words(F.col("t")).alias("w")), F.col("w"), "id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -143,8 +143,9 @@ def outlier_auto_treatment(spark, sf):
     cols = [*COLS, "o_totalprice"]
     # joined once: the statistics of each step read what is written here
     df = cut(_lines(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey").select(*PK, *cols))
-    treated = cut(ol.treat(df, ol.treatment_plan(ol.describe_outliers(df, cols))))
-    return ol.effectiveness(df, treated, cols)
+    described = ol.describe_outliers(df, cols)
+    treated = cut(ol.treat(df, ol.treatment_plan(described)))
+    return ol.effectiveness(df, treated, cols, described)
 
 
 # -- anomaly detectors ------------------------------------------------------------------------

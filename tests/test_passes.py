@@ -75,3 +75,13 @@ def test_cluster_scores_match_their_definition(spark):
     within = ((x - means[c]) ** 2).sum()
     between = ((means[c] - x.mean(axis=0)) ** 2).sum()
     assert scores.first()["calinski_harabasz"] == pytest.approx((between / 2) / (within / 57), rel=1e-6)
+
+
+def test_treatment_describes_its_rows_once_before_and_once_after(spark, monkeypatch):
+    from marketweave.operators import outliers as ol
+    from marketweave.plans import q_outliers as qo
+
+    calls, describe = [], ol.describe_outliers
+    monkeypatch.setattr(ol, "describe_outliers", lambda df, cols: calls.append(cols) or describe(df, cols))
+    assert qo.outlier_auto_treatment(spark, "/root/testdata/sf0.001").count() == 3
+    assert len(calls) == 2

@@ -103,6 +103,16 @@ def expanding_folds(df: DataFrame, axis: Axis, folds: int = 3) -> DataFrame:
     return numbered.withColumn("role", role).filter(F.col("role").isNotNull()).drop("__pos", "__size")
 
 
+def fold_blocks(df: DataFrame, axis: Axis, folds: int = 3, name: str = "block") -> DataFrame:
+    """The folds of ``expanding_folds`` with every row once: fold i tests block i + 1 and trains on the
+    blocks before it; block 0 is what no fold tests."""
+    out = _with_position(df, axis)
+    size = F.floor(F.col("__size") / (folds + 1))
+    past = F.col("__pos") - (F.col("__size") - size * folds)
+    block = F.when((size == 0) | (past < 0), 0).otherwise(F.floor(past / F.greatest(size, F.lit(1))) + 1)
+    return out.withColumn(name, block.cast("int")).drop("__pos", "__size")
+
+
 def stratified_split(
     df: DataFrame, label: str, pk: Sequence[str], shares: Sequence[tuple[str, float]] = (("train", 0.7), ("val", 0.15), ("test", 0.15)),
     buckets: int = 65536,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,9 +22,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.operators import forests
 from marketweave.operators.axis import Axis
 from marketweave.operators.evaluate import regression_metrics, roc_auc, weighted_metrics
-from marketweave.operators.labels import expanding_folds
+from marketweave.operators.labels import fold_blocks
 from marketweave.operators.profile import near_constant_columns, target_correlation
 from marketweave.operators.quantiles import exact_quantiles
 from marketweave.session import cut
@@ -55,13 +56,17 @@ def fill_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)) for c in features})
 
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
+def class_weights(df: DataFrame, label: str) -> dict:
     """rows / (classes * rows of the class), from one small aggregate."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     total = sum(counts.values())
+    return {k: total / (len(counts) * n) for k, n in counts.items()}
+
+
+def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     w = F.lit(1.0)
-    for k, n in counts.items():
-        w = F.when(F.col(label) == k, total / (len(counts) * n)).otherwise(w)
+    for k, weight in class_weights(df, label).items():
+        w = F.when(F.col(label) == k, weight).otherwise(w)
     return df.withColumn("class_weight", w)
 
 
@@ -74,39 +79,71 @@ def cross_validate(
 ) -> DataFrame:
     """Metrics per (feature_set, model, fold) with training always before testing in every series.
 
-    The folds are written once. Each fold and feature set is assembled and scaled once, with the
-    scaler of its training rows, and all models read those vectors; ``parallelism`` models are
-    fitted at a time, each of them distributed. Accuracy of classes is 0 where no row is tested,
+    The rows are written once, with the block that tells the folds they take part in. Forests and
+    boosted trees of all folds and sets are grown together, level by level, from the same binned
+    blocks (``forests``). The other models see the columns scaled by mean and deviation of the training
+    rows, which one pass finds for all folds. ``parallelism``
+    jobs run at a time, each of them distributed. Accuracy of classes is 0 where no row is tested,
     errors are NaN there.
     """
     spark = df.sparkSession
     every = sorted({c for cols in feature_sets.values() for c in cols})
     base = fill_features(df.dropna(subset=[label]), every).select(*dict.fromkeys([*axis.keys, *axis.order, *every, label])).withColumn(label, F.col(label).cast("double"))
-    rows = cut(expanding_folds(base, axis, folds))
+    rows = cut(fold_blocks(base, axis, folds, "__block"))
     names, empty = METRICS[kind], 0.0 if kind == "classification" else float("nan")
+    sides = lambda fold: (rows.filter(F.col("__block") <= fold), rows.filter(F.col("__block") == fold + 1))
+    settings = {name: s for name, build in models.items() if (s := forests.Settings.of(build())) and s.classes == (kind == "classification") and not (balanced and s.boosted)}
 
-    def measured(build, train: DataFrame, test: DataFrame) -> tuple[float, ...]:
+    def measured(scored: DataFrame) -> tuple[float, ...]:
+        m = (weighted_metrics if kind == "classification" else regression_metrics)(scored, label, "prediction").first()
+        return tuple(float(m[k]) if m[k] is not None else empty for k in names)
+
+    def fitted(build, train: DataFrame, test: DataFrame) -> tuple[float, ...]:
         est = build().setLabelCol(label).setFeaturesCol("features")
         if "class_weight" in train.columns and est.hasParam("weightCol"):
             est = est.setWeightCol("class_weight")
-        scored = est.fit(train).transform(test)
-        m = (weighted_metrics if kind == "classification" else regression_metrics)(scored, label, "prediction").first()
-        return tuple(float(m[k]) if m[k] is not None else empty for k in names)
+        return measured(est.fit(train).transform(test))
 
-    out = []
+    found = {}
     with ThreadPoolExecutor(parallelism) as pool:
-        for fold in range(folds):
-            train, test = rows.filter((F.col("fold") == fold) & (F.col("role") == "train")), rows.filter((F.col("fold") == fold) & (F.col("role") == "test"))
+        # one wrapper per call: each carries its own copy of the caller's job properties
+        start = lambda f, *a: pool.submit(inheritable_thread_target(spark)(f), *a)
+        grown = []
+        if settings:
+            size = rows.agg(F.count_if(F.col("__block") < folds).alias("n"), F.max(label).alias("top")).first()
+            weights = {f: class_weights(sides(f)[0], label) for f in range(folds)} if balanced else {}
+        for bins in sorted({s.bins for s in settings.values()}):
+            ends = forests.cuts(rows, every, "__block", range(folds), bins)
+            blocks = forests.blocks(rows, every, label, "__block", [*axis.keys, *axis.order], ends, forests.tasks(spark, size["n"])).persist(StorageLevel.MEMORY_AND_DISK)
+            for name, s in settings.items():
+                if s.bins == bins:
+                    classes = int(size["top"] or 0) + 1 if s.classes and not s.boosted else 0
+                    given = {f: [w.get(float(k), 0.0) for k in range(int(size["top"] or 0) + 1)] for f, w in weights.items()}
+                    fits = {(set_name, f): forests.Fit(f, [every.index(c) for c in cols], classes, given.get(f)) for f in range(folds) for set_name, cols in feature_sets.items()}
+                    grown.append((name, s, fits, ends, blocks, start(forests.grow_boosted if s.boosted else forests.grow_forests, blocks, list(fits.values()), s, bins)))
+        others = {name: build for name, build in models.items() if name not in settings}
+        jobs = {}
+        of = lambda f, c: F.when(F.col("__block") <= f, F.col(c))
+        moments = rows.agg(*[m(of(f, c)).alias(f"{k}{f}_{c}") for f in range(folds) for c in every for k, m in (("mean", F.avg), ("std", F.stddev_samp))]).first() if others else None
+        for fold in range(folds) if others else ():
+            train, test = sides(fold)
             if balanced:
                 train = balanced_weights(train, label)
+            scaled = {c: (F.col(c) - F.lit(moments[f"mean{fold}_{c}"])) * F.lit(1 / s if (s := moments[f"std{fold}_{c}"]) else 0.0) for c in every}
             for set_name, cols in feature_sets.items():
-                scale = feature_pipeline(cols).fit(train)
-                sides = [scale.transform(side).select("features", label, *[c for c in ("class_weight",) if c in side.columns]).persist() for side in (train, test)]
-                # one wrapper per call: each carries its own copy of the caller's job properties
-                jobs = {name: pool.submit(inheritable_thread_target(spark)(measured), build, *sides) for name, build in models.items()}
-                out += [(set_name, name, fold, *job.result()) for name, job in jobs.items()]
-                for side in sides:
-                    side.unpersist()
+                # linear models read their input twice and keep blocks of their own, so it is not kept as well
+                vector = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
+                pair = [vector.transform(side.withColumns(scaled)).select("features", label, *[c for c in ("class_weight",) if c in side.columns]) for side in (train, test)]
+                jobs |= {(set_name, name, fold): start(fitted, build, *pair) for name, build in others.items()}
+        for name, s, fits, ends, _, growth in grown:
+            growth.result()
+            for (set_name, fold), fit in fits.items():
+                scored = forests.scored(sides(fold)[1], every, label, fit, s, ends[fold])
+                jobs[set_name, name, fold] = start(measured, scored)
+        found |= {key: job.result() for key, job in jobs.items()}
+        for blocks in {id(g[4]): g[4] for g in grown}.values():
+            blocks.unpersist()
+    out = [(set_name, name, fold, *found[set_name, name, fold]) for fold in range(folds) for set_name in feature_sets for name in models]
     return spark.createDataFrame(out, "feature_set string, model string, fold int, " + ", ".join(f"{n} double" for n in names))
 
 
@@ -192,6 +229,6 @@ def mlp(layers: Sequence[int]):
 
 
 __all__ = [
-    "CLASSIFIERS", "REGRESSORS", "balanced_weights", "cluster", "components_for", "cross_validate", "importances", "loadings", "mlp",
+    "CLASSIFIERS", "REGRESSORS", "balanced_weights", "class_weights", "cluster", "components_for", "cross_validate", "importances", "loadings", "mlp",
     "principal_components", "roc_auc", "score_new_rows", "select_features", "standardised", "to_vectors", "training_medians",
 ]

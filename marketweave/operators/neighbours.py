@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.session import cut
@@ -226,13 +226,25 @@ def _reached(x: np.ndarray, radius: np.ndarray, own: int, names: np.ndarray, low
     return found
 
 
+def _flat(lists: pd.DataFrame, *names: str) -> list[np.ndarray]:
+    """The place of the list of each entry, and the entries of these columns."""
+    sizes = lists[names[0]].map(len).to_numpy(dtype=np.int64)
+    return [np.repeat(np.arange(len(lists)), sizes), *[np.concatenate(lists[c].to_list()) for c in names]]
+
+
 def nearest_points(points: DataFrame, k: int, region_rows: int = 4096, cells: int = 1024, sample_rows: int = 50_000) -> DataFrame:
     """(q, p, dist, n): the nearest other rows of a row at q, n of them at p, k in all. Rows at
     equal distance go by the id of their point."""
+    return nearest_lists(points, k, region_rows, cells, sample_rows).select("q", F.inline(F.arrays_zip("p", "dist", "n")))
+
+
+def nearest_lists(points: DataFrame, k: int, region_rows: int = 4096, cells: int = 1024, sample_rows: int = 50_000) -> DataFrame:
+    """``nearest_points`` with one row per q: its region, and p, dist and n as arrays. Lists are written,
+    the rows of a region side by side, and go from task to task as arrays."""
     spark = points.sparkSession
     rows = points.count()
     if not rows:
-        return spark.createDataFrame([], "q long, p long, dist double, n long")
+        return spark.createDataFrame([], f"region long, q long, {FOUND}")
     placed = into_regions(points, rows, region_rows, cells, sample_rows)
 
     dims = range(len(placed.select("v").first()["v"]))
@@ -256,7 +268,7 @@ def nearest_points(points: DataFrame, k: int, region_rows: int = 4096, cells: in
         return inside.assign(radius=radius, asked=_reached(x, radius, region, *shared.value))
 
     inside = cut(placed.groupBy("region").applyInPandas(local, f"q long, v array<double>, region long, radius double, asked array<long>, {FOUND}"))
-    asked = inside.select(F.col("q").alias("id"), "v", "radius", F.explode("asked").alias("region"))
+    asked = inside.select(F.col("q").alias("id"), "v", "radius", F.col("region").alias("home"), F.explode("asked").alias("region"))
     chunks = asked.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / ASKING_ROWS).cast("int").alias("chunks"))
     left = asked.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks")
     right = placed.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -264,21 +276,48 @@ def nearest_points(points: DataFrame, k: int, region_rows: int = 4096, cells: in
     def outside(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(pdf) and len(others):
-            ids, x = pdf["id"].to_numpy(), _matrix(pdf["v"])
+            ids, x, home = pdf["id"].to_numpy(), _matrix(pdf["v"]), pdf["home"].to_numpy()
             for i, p, d, n in _nearest(ids, x, pdf["radius"].to_numpy(), others, k):
-                out.append((int(ids[i]), p, d, n))
-        return pd.DataFrame(out, columns=["q", "p", "dist", "n"])
+                out.append((int(home[i]), int(ids[i]), p, d, n))
+        return pd.DataFrame(out, columns=["region", "q", "p", "dist", "n"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest of all lists of a row."""
+        row, p, d, n = _flat(pdf, "p", "dist", "n")
+        q = pdf["q"].to_numpy()[row]
+        order = np.lexsort((p, d, q))
+        q, p, d, n = (x[order] for x in (q, p, d, n))
+        first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+        before = np.cumsum(n) - n
+        before = before - np.repeat(before[first], np.diff(first, append=len(q)))
+        kept = before < k
+        q, p, d, n = q[kept], p[kept], d[kept], np.minimum(n, k - before)[kept]
+        first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+        lists = [[part.tolist() for part in np.split(x, first[1:])] for x in (p, d, n)]
+        return pd.DataFrame({"region": int(pdf["region"].iloc[0]), "q": q[first], "p": lists[0], "dist": lists[1], "n": lists[2]})
 
     by = ("region", "chunk")
-    beyond = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(outside, f"q long, {FOUND}")
-    border = F.size("asked") > 0
-    flat = lambda df: df.select("q", F.inline(F.arrays_zip("p", "dist", "n")))
-    nearer = Window.partitionBy("q").orderBy("dist", "p")
-    lists = flat(inside.where(border)).unionByName(flat(beyond))
-    ranked = lists.withColumn("__rank", F.row_number().over(nearer)).where(F.col("__rank") <= k)  # k points per row are enough
-    before = F.coalesce(F.sum("n").over(nearer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = ranked.withColumn("__left", F.lit(k) - before).where(F.col("__left") > 0)
-    return flat(inside.where(~border)).unionByName(taken.select("q", "p", "dist", F.least("n", "__left").cast("long").alias("n")))
+    row = f"region long, q long, {FOUND}"
+    beyond = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(outside, row)
+    names, border, some = ["region", "q", "p", "dist", "n"], F.size("asked") > 0, F.size("p") > 0
+    lists = inside.where(border).select(*names).unionByName(beyond).where(some)
+    return inside.where(~border).select(*names).where(some).unionByName(cut(lists.groupBy("region").applyInPandas(merged, row)))
+
+
+def _of_neighbours(lists: DataFrame, wanted: DataFrame, value: DataFrame, measure, column: str, *used: str) -> DataFrame:
+    """(q, column): ``measure`` of the starts of the lists of a region, the values of their points and the arrays ``used``. Each region is sent
+    the value (q, x) of a point once, however many of its lists hold it (``wanted``: region, p)."""
+
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"q": [], column: []})
+        known = known.sort_values("p")
+        row, p, *rest = _flat(pdf, "p", *used)
+        x = known["x"].to_numpy()[np.searchsorted(known["p"].to_numpy(), p)]
+        return pd.DataFrame({"q": pdf["q"].to_numpy(), column: measure(np.flatnonzero(np.diff(row, prepend=-1)), x, *rest)})
+
+    values = wanted.join(value.select(F.col("q").alias("p"), "x"), "p")
+    return lists.select("region", "q", "p", *used).groupBy("region").cogroup(values.groupBy("region")).applyInPandas(run, f"q long, {column} double")
 
 
 def add_local_outlier_factor(df: DataFrame, cols: Sequence[str], pk: Sequence[str], k: int = 20, threshold: float = 1.5, **index) -> DataFrame:
@@ -289,16 +328,13 @@ def add_local_outlier_factor(df: DataFrame, cols: Sequence[str], pk: Sequence[st
 
     cols, pk = list(cols), list(pk)
     places = cut(weighted_points(df, cols, pk))
-    near = cut(nearest_points(places.select("id", F.array(*cols).alias("v"), "w"), k, **index))
-    reach = near.groupBy("q").agg(F.max("dist").alias("k_dist"))
-    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
-    dens = cut(
-        near.join(reach.select(F.col("q").alias("p"), "k_dist"), "p").groupBy("q").agg((1.0 / (mean(F.greatest("k_dist", "dist")) + 1e-10)).alias("lrd"))
-    )
-    lof = (
-        near.join(dens.select(F.col("q").alias("p"), F.col("lrd").alias("p_lrd")), "p").groupBy("q").agg(mean(F.col("p_lrd")).alias("m"))
-        .join(dens, "q").select(F.col("q").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
-    )
+    near = nearest_lists(places.select("id", F.array(*cols).alias("v"), "w"), k, **index)
+    wanted = cut(near.select("region", F.explode("p").alias("p")).distinct())
+    mean = lambda first, x, n: np.add.reduceat(n * x, first) / np.add.reduceat(n, first)
+    reach = near.select("q", F.array_max("dist").alias("x"))
+    dens = cut(_of_neighbours(near, wanted, reach, lambda first, x, d, n: 1.0 / (mean(first, np.maximum(x, d), n) + 1e-10), "lrd", "dist", "n"))
+    around = _of_neighbours(near, wanted, dens.withColumnRenamed("lrd", "x"), mean, "m", "n")
+    lof = around.join(dens, "q").select(F.col("q").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
     keys = [f"__v{i}" for i in range(len(cols))]
     values = places.join(lof, "id", "left").select(*[F.col(c).alias(v) for c, v in zip(cols, keys)], F.col("w").alias("__w"), "lof")
     rows = df.withColumns({v: F.col(c).cast("double") + 0.0 for c, v in zip(cols, keys)})

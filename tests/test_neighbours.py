@@ -158,3 +158,15 @@ def test_plan_rules(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=60), "b": rng.pareto(0.6, 60), "c": rng.normal(size=60)}))
     assert ol.detection_plan(df, ["a", "b", "c"]) == {"iqr": ["a", "b", "c"], "mad": ["a", "b", "c"], "zscore": ["a", "c"], "isolation_forest": ["a", "b", "c"], "lof": ["a", "b", "c"]}
     assert set(ol.detection_plan(df, ["a", "c"])) == {"iqr", "mad", "zscore", "lof"}
+
+
+def test_a_region_is_sent_the_value_of_a_point_once(spark, monkeypatch):
+    """Rows that go to the densities: as many as regions know points, not as lists have entries."""
+    x = shapes("clusters")
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(id=np.arange(len(x))))
+    sent = []
+    of = nb._of_neighbours
+    monkeypatch.setattr(nb, "_of_neighbours", lambda lists, wanted, *a: sent.append((wanted.count(), wanted.distinct().count())) or of(lists, wanted, *a))
+    got = nb.local_outlier_factor(df, ["a", "b", "c"], ["id"], 10, region_rows=100).toPandas().set_index("id").sort_index()
+    np.testing.assert_allclose(got["lof"], brute_lof(x, 10), rtol=1e-9)
+    assert len(sent) == 2 and all(rows == different < 0.5 * 10 * len(x) for rows, different in sent)
